@@ -1,0 +1,7 @@
+"""No stream operators.
+
+The data arrives in batches and time is cut into periods. Rows that arrive
+late are handled where batches are read: periods filter on the event time of a
+row (``cleaning.within``, ``cleaning.not_before``), never on the folder or the
+arrival time.
+"""
