@@ -18,7 +18,7 @@ def of_one_user(t: Inputs):
 
 def of_two_users(t: Inputs):
     from tiescope.plans.inputs import PERIODS
-    return pairing.co_occurrences_of(t.binned, 7, 12, PERIODS[0], t.perimeters).select(
+    return pairing.co_occurrences_of(t.binned, 12, 16, PERIODS[0], t.perimeters).select(
         "id", "spatial_bin", "time_bins", "own_bins")
 
 
@@ -54,9 +54,9 @@ QUERIES = {
         """SELECT b.id, b.spatial_bin, array_to_string(b.time_bins, ',') AS time_bins,
  array_to_string(o.own_bins, ',') AS own_bins FROM far b JOIN own o ON b.spatial_bin = o.spatial_bin
  WHERE list_has_any(b.time_bins, o.own_bins) AND list_min(b.time_bins) >= 0 AND list_max(b.time_bins) < 240""",
-        """own AS (SELECT DISTINCT spatial_bin, time_bins AS own_bins FROM binned WHERE useruuid = 7
+        """own AS (SELECT DISTINCT spatial_bin, time_bins AS own_bins FROM binned WHERE useruuid = 12
    AND list_min(time_bins) >= 0 AND list_max(time_bins) < 240),
-far AS (SELECT * FROM binned b WHERE useruuid = 12 AND NOT EXISTS (SELECT 1 FROM perimeters q
+far AS (SELECT * FROM binned b WHERE useruuid = 16 AND NOT EXISTS (SELECT 1 FROM perimeters q
  WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(q.lat - b.latitude) / 2), 2)
  + cos(radians(b.latitude)) * cos(radians(q.lat)) * pow(sin(radians(q.lng - b.longitude) / 2), 2))) <= 150))""")),
     "d3_met_in_bin": Query(lambda t: pairing.met_in_bin(t.presence, 7, 12, 300), sql(
@@ -92,9 +92,10 @@ far AS (SELECT * FROM binned b WHERE useruuid = 12 AND NOT EXISTS (SELECT 1 FROM
  FROM c1 JOIN ent USING (spatial_bin) GROUP BY ALL""", ENTROPY_SQL)),
     "d11_user_lookup": Query(
         lambda t: pairing.attach_both(pairing.dyads(pairing.co_occurrences(t.presence_in(1))),
-                                      t.people.select("useruuid", "gender", "age")),
-        sql("""SELECT user1, user2, a.gender AS gender1, CAST(a.age AS BIGINT) AS age1, b.gender AS gender2,
- CAST(b.age AS BIGINT) AS age2 FROM (SELECT DISTINCT user1, user2 FROM c1) c
+                                      t.people.select("useruuid", "gender", "age"))
+        .fillna(-1, ["age1", "age2"]),
+        sql("""SELECT user1, user2, a.gender AS gender1, coalesce(CAST(a.age AS BIGINT), -1) AS age1, b.gender AS gender2,
+ coalesce(CAST(b.age AS BIGINT), -1) AS age2 FROM (SELECT DISTINCT user1, user2 FROM c1) c
  LEFT JOIN aged a ON a.useruuid = user1 LEFT JOIN aged b ON b.useruuid = user2""")),
     "d12_only_in_one": Query(
         lambda t: pairing.only_in_one(t.locations, t.people),

@@ -138,8 +138,9 @@ QUERIES = {
         f"""SELECT country, {r6('any_value(q25)')} AS q25, {r6('any_value(q50)')} AS q50, {r6('any_value(q75)')} AS q75,
  min(n) FILTER (n BETWEEN lo AND hi) AS whisker_low, max(n) FILTER (n BETWEEN lo AND hi) AS whisker_high,
  count(*) FILTER (n NOT BETWEEN lo AND hi) AS outliers FROM rpu JOIN fen USING (country) GROUP BY 1""", BOX_SQL)),
-    "e9_outliers": Query(lambda t: profiles.outliers(profiles.rows_per_user(t.locations), "rows", "country"), sql(
-        "SELECT country, useruuid, n AS rows FROM rpu JOIN fen USING (country) WHERE n NOT BETWEEN lo AND hi", BOX_SQL)),
+    "e9_outliers": Query(lambda t: profiles.outliers(profiles.rows_per_user(t.locations), "rows", "country", k=0.5), sql(
+        "SELECT country, useruuid, n AS rows FROM rpu JOIN fen USING (country) WHERE n NOT BETWEEN lo AND hi",
+        BOX_SQL.replace("1.5", "0.5"))),
     "e10_updates_cdf": Query(lambda t: profiles.updates_cdf(t.locations), sql(
         f"""SELECT country, n AS rows, users, {r6('sum(users) OVER (PARTITION BY country ORDER BY n) / sum(users) OVER (PARTITION BY country)')} AS cdf
  FROM (SELECT country, n, count(*) AS users FROM (SELECT country, useruuid, count(*) AS n FROM loc GROUP BY ALL) GROUP BY ALL)""")),
@@ -176,8 +177,8 @@ QUERIES = {
     "e20_coocs_per_bin": Query(lambda t: profiles.coocs_per_bin(t.locations, t.perimeters, CONFIG), sql(
         f"""SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(time_bin AS BIGINT)), '%Y-%m') AS month, time_bin, a.c AS total,
  coalesce(b.c, 0) AS away FROM {per_bin_sql('binned')} a LEFT JOIN {per_bin_sql('away')} b USING (time_bin)""")),
-    "e21_pair_per_day": Query(lambda t: profiles.pair_per_day(t.presence, 7, 12, CONFIG, FIRST_DAY, LAST_DAY), sql(
-        """SELECT day, count(time_bin) AS coocs FROM days LEFT JOIN co ON user1 = 7 AND user2 = 12 AND time_bin // 24 = d GROUP BY 1""")),
+    "e21_pair_per_day": Query(lambda t: profiles.pair_per_day(t.presence, 12, 16, CONFIG, FIRST_DAY, LAST_DAY), sql(
+        """SELECT day, count(time_bin) AS coocs FROM days LEFT JOIN co ON user1 = 12 AND user2 = 16 AND time_bin // 24 = d GROUP BY 1""")),
     "e22_updates_by_period": Query(lambda t: cohorts.updates_by_period(t.presence, PERIODS), sql(
         """SELECT useruuid, a AS rows1, b AS rows2, c AS rows3, CAST(a = 0 AS BIGINT) + CAST(b = 0 AS BIGINT) + CAST(c = 0 AS BIGINT)
  AS empty_periods FROM (SELECT useruuid, count(*) FILTER (time_bin BETWEEN 0 AND 239) AS a,

@@ -150,7 +150,7 @@ QUERIES = {
     "a6_insert_location": Query(insert, sql(
         "SELECT id, useruuid, country, spatial_bin, array_to_string(time_bins, ',') AS time_bins FROM binned")),
     "a7_libsvm": Query(lambda t: libsvm(t, None), LIBSVM_SQL),
-    "a8_intermediate": Query(lambda t: stage(co_occurrences(t.presence), "coocs"), sql(
+    "a8_intermediate": Query(lambda t: stage(co_occurrences(t.presence).drop("people"), "coocs"), sql(
         "SELECT user1, user2, spatial_bin, time_bin FROM co")),
     "a9_missing_rows": Query(missing, sql(
         f"SELECT id, {r6('longitude')} AS longitude, {r6('latitude')} AS latitude FROM loc WHERE country = ''")),

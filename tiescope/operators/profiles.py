@@ -79,14 +79,14 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = (),
 
 def boxplot(df: DataFrame, value: str, by: str, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (last values within k IQR) and number of outliers."""
-    counted = df.groupBy(by, value).agg(F.count("*").alias("rows"))
+    counted = df.groupBy(by, value).agg(F.count("*").alias("_rows"))
     fenced = counted.join(_fences(df, value, by, k), by)
     inside = F.col(value).between(F.col("low"), F.col("high"))
     return fenced.groupBy(by).agg(
         F.first("q25").alias("q25"), F.first("q50").alias("q50"), F.first("q75").alias("q75"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("rows"))).alias("outliers"))
+        F.sum(F.when(inside, 0).otherwise(F.col("_rows"))).alias("outliers"))
 
 
 def outliers(df: DataFrame, value: str, by: str, k: float = 1.5) -> DataFrame:
