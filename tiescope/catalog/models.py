@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 
 from tiescope.catalog.base import Query, r6, sql
 from tiescope.ml import metrics, models
-from tiescope.operators.features import CORE_FEATURES, labelled_features, place_features
+from tiescope.operators.features import CORE_FEATURES, place_features
 from tiescope.operators.pairing import co_occurrences, met_next
+from tiescope.plans.dataset import build_dataset
 from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 from tiescope.session import stage
 
 TREES = 20
 
 
-def train_set(t: Inputs):
-    return stage(labelled_features(t.presence, CONFIG, PERIODS[0], PERIODS[1]), "train")
+def both_sets(t: Inputs):
+    train, test = build_dataset(t.locations, CONFIG, PERIODS)
+    return stage(train, "train"), stage(test, "test")
 
 
-def test_set(t: Inputs):
-    return stage(labelled_features(t.presence, CONFIG, PERIODS[1], PERIODS[2]), "test")
+def train_set(t: Inputs):
+    return stage(build_dataset(t.locations, CONFIG, PERIODS)[0], "train")
 
 
 def scores(model, table):
@@ -32,7 +34,8 @@ def scores(model, table):
 
 
 def baseline(t: Inputs):
-    return scores(models.fit_baseline(train_set(t)), test_set(t))
+    train, test = both_sets(t)
+    return scores(models.fit_baseline(train), test)
 
 
 def forest_model(table):
@@ -40,11 +43,13 @@ def forest_model(table):
 
 
 def forest(t: Inputs):
-    return scores(forest_model(train_set(t)), test_set(t))
+    train, test = both_sets(t)
+    return scores(forest_model(train), test)
 
 
 def scaled_forest(t: Inputs):
-    return scores(models.fit_forest(train_set(t), CORE_FEATURES, trees=TREES, scaled=True), test_set(t))
+    train, test = both_sets(t)
+    return scores(models.fit_forest(train, CORE_FEATURES, trees=TREES, scaled=True), test)
 
 
 def search(t: Inputs):
@@ -55,7 +60,7 @@ def search(t: Inputs):
 
 
 def two_fold(t: Inputs):
-    return models.two_fold(train_set(t), test_set(t), forest_model)
+    return models.two_fold(*both_sets(t), forest_model)
 
 
 def forest_importances(t: Inputs):
@@ -64,7 +69,8 @@ def forest_importances(t: Inputs):
 
 def areas(t: Inputs):
     """Areas by Spark's evaluator next to the exact ones."""
-    result = models.scored(models.fit_baseline(train_set(t)), test_set(t))
+    train, test = both_sets(t)
+    result = stage(models.scored(models.fit_baseline(train), test).select("label", "probability", "score"), "scored")
     exact = metrics.roc_auc(result).withColumnRenamed("auc", "exact_roc")
     return exact.withColumns({"evaluator_roc": F.lit(metrics.area_under(result)),
                               "evaluator_pr": F.lit(metrics.area_under(result, "areaUnderPR")),

@@ -18,7 +18,7 @@ from tiescope.config import BinConfig, Period
 from tiescope.functions.binning import bin_start
 from tiescope.functions.calendar import is_evening, is_saturday_night, is_weekend
 from tiescope.operators.cleaning import in_period, plausible_people, sessions_in_period
-from tiescope.operators.graph import common_contacts, degrees
+from tiescope.operators.graph import common_contacts
 from tiescope.operators.pairing import (BLOCK_ROWS, attach_both, both_selected, co_occurrences,
                                         met_next)
 from tiescope.operators.presence import (CELL, location_entropy, user_activity, with_arrivals)
@@ -121,7 +121,14 @@ def diversity_of(visits: str, num: Column, log_base: str = "2") -> Column:
 
 
 def cell_visits(coocs: DataFrame) -> DataFrame:
-    return coocs.groupBy(*PAIR, "spatial_bin").agg(F.count("*").alias("visits"))
+    """Co-occurrences of each pair per cell, partitioned by pair.
+
+    One shuffle by pair serves this count and every aggregate per pair that
+    follows; counting first would not make the rows of a shuffle much fewer,
+    as a pair seldom meets twice in the rows of one task.
+    """
+    return (coocs.select(*PAIR, "spatial_bin").repartition(*PAIR)
+            .groupBy(*PAIR, "spatial_bin").agg(F.count("*").alias("visits")))
 
 
 def place_features(coocs: DataFrame, log_base: str = "2") -> DataFrame:
@@ -188,8 +195,7 @@ def mutual(pairs: DataFrame, closed: bool = False) -> DataFrame:
     Open neighbourhoods leave the two users themselves out; closed ones count
     both of them in both sets.
     """
-    shared = common_contacts(pairs)
-    return mutual_from(attach_both(shared, degrees(pairs)), closed)
+    return mutual_from(common_contacts(pairs), closed)
 
 
 def mutual_from(table: DataFrame, closed: bool = False) -> DataFrame:
@@ -230,10 +236,10 @@ def similarity_columns() -> dict[str, Column]:
     return {name: F.coalesce(flag, F.lit(False)).cast("int") for name, flag in flags.items()}
 
 
-def user_profiles(people: DataFrame, pairs: DataFrame, apps: DataFrame | None,
+def user_profiles(people: DataFrame, apps: DataFrame | None,
                   demographics: DataFrame | None) -> DataFrame:
     """Everything known per user, so that a pair needs two joins only."""
-    profiles = user_activity(people).join(degrees(pairs), "useruuid", "left")
+    profiles = user_activity(people)
     if apps is not None:
         profiles = profiles.join(app_sets(apps), "useruuid", "left")
     else:
@@ -244,33 +250,46 @@ def user_profiles(people: DataFrame, pairs: DataFrame, apps: DataFrame | None,
     return profiles.withColumns({"gender": F.lit(None).cast("string"), "age": F.lit(None).cast("bigint")})
 
 
-def dyad_features(people: DataFrame, cfg: BinConfig, period: Period,
-                  apps: DataFrame | None = None, demographics: DataFrame | None = None,
-                  users: DataFrame | None = None, zone: str = "Europe/Stockholm",
-                  closed: bool = False, denominator: str = "presences") -> DataFrame:
-    """Feature table of one period, a row per pair that met in it.
+def period_pairs(people: DataFrame, cfg: BinConfig, period: Period,
+                 zone: str = "Europe/Stockholm") -> tuple[DataFrame, DataFrame]:
+    """Staged presence of a period and staged co-occurrence features of its pairs.
+
+    Contacts, user lookups and labels all start from these two tables.
+    """
+    present = stage(in_period(people, period), "presence")
+    return present, stage(cooc_features(present, cfg, zone), "pairs")
+
+
+def complete_features(present: DataFrame, base: DataFrame, cfg: BinConfig, period: Period,
+                      apps: DataFrame | None = None, demographics: DataFrame | None = None,
+                      users: DataFrame | None = None, closed: bool = False,
+                      denominator: str = "presences") -> DataFrame:
+    """Adds what depends on contacts, activity, apps and demographics.
 
     Contact sets, populations and entropies use everybody; ``users`` only
-    restricts the pairs that are returned. The co-occurrence aggregates are
-    staged, as contacts, degrees and the result all start from them.
+    restricts the pairs that are returned.
     """
-    people = stage(in_period(people, period), "presence")
-    base = stage(cooc_features(people, cfg, zone), "pairs")
-    pairs = base.select(*PAIR)
     if apps is not None:
         apps = sessions_in_period(apps, cfg, period)
     if demographics is not None:
         demographics = plausible_people(demographics)
-    table = base.join(common_contacts(pairs), PAIR)
+    table = base.join(common_contacts(base.select(*PAIR)), PAIR)
     if users is not None:
         table = both_selected(table, users)
-    table = mutual_from(attach_both(table, user_profiles(people, pairs, apps, demographics)), closed)
+    table = mutual_from(attach_both(table, user_profiles(present, apps, demographics)), closed)
     return (table
             .withColumns({"specificity": specificity_of(denominator), "app_jaccard": app_jaccard_of(),
                           **similarity_columns()})
             .select(*PAIR, *FEATURES, "saturday_nights"))
 
 
+def dyad_features(people: DataFrame, cfg: BinConfig, period: Period,
+                  zone: str = "Europe/Stockholm", **options: object) -> DataFrame:
+    """Feature table of one period, a row per pair that met in it."""
+    present, base = period_pairs(people, cfg, period, zone)
+    return complete_features(present, base, cfg, period, **options)
+
+
 def labelled_features(people: DataFrame, cfg: BinConfig, period: Period, following: Period,
                       **options: object) -> DataFrame:
     """Feature table of one period with the label of the following one."""

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tiescope.operators.ordering import running_total
+from tiescope.operators.ordering import encode, running_total
 from tiescope.session import stage
 
 PAIR = ["user1", "user2"]
@@ -50,25 +49,21 @@ def degree_distribution(pairs: DataFrame) -> DataFrame:
                          ((F.col("upto") - 1) / F.col("upto_all")).alias("cdf_last"))
 
 
-def _contact_masks(neighbours: DataFrame, groups: int) -> DataFrame:
+def _contact_masks(neighbours: DataFrame) -> DataFrame:
     """Contacts of a user as 64-bit masks: (user, block of users, mask).
 
-    Users are numbered inside hash groups; the number gives block and bit. The
-    number depends on the user ids alone, so a recomputed task agrees.
+    Users are numbered in the order of their ids; the number gives block and
+    bit. It depends on the ids alone, so a recomputed task agrees.
     """
-    group = F.pmod(F.xxhash64("useruuid"), F.lit(groups))
-    place = Window.partitionBy("slot_group").orderBy("useruuid")
-    slots = (neighbours.select("useruuid").distinct().withColumn("slot_group", group)
-             .withColumn("position", F.row_number().over(place) - 1)
-             .select(F.col("useruuid").alias("contact"),
-                     F.concat_ws("/", "slot_group", F.floor(F.col("position") / 64)).alias("block"),
-                     F.expr("shiftleft(1L, cast(position % 64 as int))").alias("bit")))
+    slots = encode(neighbours, "useruuid").select(
+        F.col("useruuid").alias("contact"), F.shiftright("code", 6).alias("block"),
+        F.expr("shiftleft(1L, cast(code % 64 as int))").alias("bit"))
     return (neighbours.join(slots, "contact")
             .groupBy("useruuid", "block").agg(F.bit_or("bit").alias("mask")))
 
 
-def common_contacts(pairs: DataFrame, groups: int = 32) -> DataFrame:
-    """Number of users who met both users of each pair.
+def common_contacts(pairs: DataFrame) -> DataFrame:
+    """Per pair: users who met both (``common``) and the degrees of the two.
 
     From each edge the contacts of the end with fewer contacts are looked up
     in those of the other end, 64 contacts per row. The work is at most the
@@ -77,21 +72,22 @@ def common_contacts(pairs: DataFrame, groups: int = 32) -> DataFrame:
     pairs = pairs.select(*PAIR)
     neighbours = ends(pairs)
     degree = degrees(pairs)
-    masks = _contact_masks(neighbours, groups)
+    masks = _contact_masks(neighbours)
     sized = pairs
     for side in ("1", "2"):
         sized = sized.join(degree.select(F.col("useruuid").alias(f"user{side}"),
                                          F.col("degree").alias(f"degree{side}")), f"user{side}")
     first_is_small = F.col("degree1") <= F.col("degree2")
     lookups = sized.select(
-        *PAIR,
+        *PAIR, "degree1", "degree2",
         F.when(first_is_small, F.col("user1")).otherwise(F.col("user2")).alias("small"),
         F.when(first_is_small, F.col("user2")).otherwise(F.col("user1")).alias("large"))
     small = masks.select(F.col("useruuid").alias("small"), "block", F.col("mask").alias("small_mask"))
     large = masks.select(F.col("useruuid").alias("large"), "block", F.col("mask").alias("large_mask"))
     shared = F.bit_count(F.col("small_mask").bitwiseAND(F.col("large_mask")))
     return (lookups.join(small, "small").join(large, ["large", "block"], "left")
-            .groupBy(*PAIR).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("common")))
+            .groupBy(*PAIR, "degree1", "degree2")
+            .agg(F.coalesce(F.sum(shared), F.lit(0)).alias("common")))
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
@@ -100,7 +96,8 @@ def clustering(pairs: DataFrame) -> DataFrame:
     A common contact of two users who met closes a triangle; each triangle of
     a user is seen from two of the user's edges.
     """
-    per_user = (ends(common_contacts(pairs)).groupBy("useruuid")
+    shared = common_contacts(pairs).select(*PAIR, "common")
+    per_user = (ends(shared).groupBy("useruuid")
                 .agg(F.count("*").alias("degree"), (F.sum("common") / 2).cast("bigint").alias("triangles")))
     possible = F.col("degree") * (F.col("degree") - 1)
     return per_user.withColumn(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tiescope.config import BinConfig, Period
+from tiescope.operators.cleaning import in_period
 from tiescope.operators.cohorts import cross_occupancy
-from tiescope.operators.features import labelled_features
+from tiescope.operators.features import complete_features, period_pairs
+from tiescope.operators.pairing import co_occurrences, met_next
 from tiescope.operators.presence import presence
 from tiescope.session import stage
 
@@ -22,6 +24,11 @@ def build_dataset(locations: DataFrame, cfg: BinConfig, periods: list[Period],
     first, second, third = periods
     people = stage(presence(locations, cfg, Period(first.start, third.end)), "presence")
     users = stage(cross_occupancy(people, periods, share), "users") if share is not None else None
-    options = {"apps": apps, "demographics": demographics, "users": users, "zone": zone}
-    return (labelled_features(people, cfg, first, second, **options),
-            labelled_features(people, cfg, second, third, **options))
+    options = {"apps": apps, "demographics": demographics, "users": users}
+    early, early_pairs = period_pairs(people, cfg, first, zone)
+    late, late_pairs = period_pairs(people, cfg, second, zone)
+    # The pairs of the second period are also the labels of the first.
+    train = met_next(complete_features(early, early_pairs, cfg, first, **options), late_pairs)
+    test = met_next(complete_features(late, late_pairs, cfg, second, **options),
+                    co_occurrences(in_period(people, third)))
+    return train, test
