@@ -15,19 +15,21 @@ def _hour_chunk() -> F.Column:
     return F.floor(F.unix_micros("start_time") / F.lit(3_600_000_000))
 
 
-def mean_speed(df: DataFrame) -> DataFrame:
+def mean_speed(df: DataFrame, *by: str) -> DataFrame:
     """Mean km/h between consecutive updates of a user, ascending.
 
     The time runs from the start of one update to the end of the next; steps
-    without positive time are skipped, users without any step get 0.
+    without positive time are skipped, users without any step get 0. ``by``
+    names further keys, e.g. the country.
     """
-    steps = with_previous(df, ["useruuid"], ORDER, _hour_chunk(), ["start_time", "longitude", "latitude"])
+    keys = [*by, "useruuid"]
+    steps = with_previous(df, keys, ORDER, _hour_chunk(), ["start_time", "longitude", "latitude"])
     seconds = (F.unix_micros("end_time") - F.unix_micros("previous_start_time")) / 1e6
     metres = distance_m(F.col("previous_longitude"), F.col("previous_latitude"),
                         F.col("longitude"), F.col("latitude"))
     speed = F.when(seconds > 0, speed_kmh(metres, seconds))
-    return (steps.groupBy("useruuid").agg(F.coalesce(F.avg(speed), F.lit(0.0)).alias("kmh"))
-            .orderBy("kmh", "useruuid"))
+    return (steps.groupBy(*keys).agg(F.coalesce(F.avg(speed), F.lit(0.0)).alias("kmh"))
+            .orderBy("kmh", *keys))
 
 
 def update_gaps(df: DataFrame, ref_compat: bool = False) -> DataFrame:

@@ -54,13 +54,13 @@ def categories(df: DataFrame, column: str) -> DataFrame:
             .orderBy(F.desc("rows"), F.asc(column)))
 
 
-def mean_duration(df: DataFrame, by: str, decimals: int = 2) -> DataFrame:
-    """Mean stay in seconds per country or user, ascending; blank keys left out."""
+def mean_duration(df: DataFrame, *by: str, decimals: int = 2) -> DataFrame:
+    """Mean stay in seconds per country or user, ascending; blank countries left out."""
     seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6
-    if by == "country":
+    if "country" in by:
         df = df.filter(~country_is_missing())
-    return (df.groupBy(by).agg(F.round(F.avg(seconds), decimals).alias("seconds"), F.count("*").alias("rows"))
-            .orderBy("seconds", by))
+    return (df.groupBy(*by).agg(F.round(F.avg(seconds), decimals).alias("seconds"), F.count("*").alias("rows"))
+            .orderBy("seconds", *by))
 
 
 def rows_per_user(df: DataFrame) -> DataFrame:
