@@ -77,3 +77,14 @@ def test_near_duplicate_groups_of_chained_users(spark):
     groups = cohorts.near_duplicates(table, "2024-01-01", "2024-01-30", 30).collect()
     assert sorted((row["useruuid"], row["duplicate_group"]) for row in groups) == [
         ("a", "a"), ("b", "a"), ("c", "a"), ("e", "a")]
+
+
+def test_near_patterns_by_flips_and_by_bands(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2 ** 20, 8)
+    words = sorted({int(word ^ sum(1 << int(day) for day in rng.integers(0, 20, 3))) for word in base for _ in range(12)})
+    patterns = spark.createDataFrame([(n, [word]) for n, word in enumerate(words)], "useruuid bigint, pattern array<bigint>")
+    expected = {(a, b) for a in range(len(words)) for b in range(a + 1, len(words))
+                if bin(words[a] ^ words[b]).count("1") <= 3}
+    for near in (cohorts._near_by_flips, cohorts._near_by_bands):
+        assert {tuple(row) for row in near(patterns, 20, 3).collect()} == expected

@@ -60,10 +60,9 @@ VALUE_SQL = """vc AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS source, '
 
 
 def extent(t: Inputs):
-    """Two files per country, written and read back; files are named by Spark."""
+    """Extent of every written file, then of all; files are named by Spark."""
     path = scratch_path(t.spark, "extent")
-    (t.locations.select("id", "country", "start_time", "end_time").repartition(2, "id")
-     .write.parquet(path))
+    t.locations.select("id", "country", "start_time", "end_time").write.partitionBy("country").parquet(path)
     found = file_extent(t.spark.read.parquet(path))
     return found.agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
 

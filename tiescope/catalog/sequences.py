@@ -29,25 +29,26 @@ reach AS (SELECT x AS node, x AS other FROM sim UNION SELECT r.node, s.y FROM re
 
 
 def trajectories(t: Inputs):
-    lines = mobility.trajectories(t.locations)
+    lines = mobility.trajectories(t.locations, part_rows=25)
 
     def text(values, digits):
         return F.array_join(F.transform(values, lambda v: F.format_string(f"%.{digits}f", v)), ",")
     return lines.select(
-        "useruuid", "day",
+        "useruuid", "part",
         F.when(F.col("joins").isNull(), "").otherwise(text("joins", 4)).alias("joins"),
         text(F.flatten("points"), 4).alias("points"),
         F.array_join(F.transform("times", lambda v: F.unix_seconds(v).cast("string")), ",").alias("times"),
         F.aggregate("shares", F.lit(0.0), lambda total, part: total + part).alias("share"))
 
 
-TRAJECTORY_SQL = sql("""SELECT useruuid, strftime(DATE '2024-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day,
- coalesce(lag(last_point) OVER (PARTITION BY useruuid ORDER BY d), '') AS joins, points, times, round(share, 6) + 0.0 AS share
- FROM (SELECT useruuid, d, last(pt ORDER BY s0, s1, id) AS last_point, string_agg(pt, ',' ORDER BY s0, s1, id) AS points,
-  string_agg(CAST(s0 + 1704067200 AS VARCHAR), ',' ORDER BY s0, s1, id) AS times,
+TRAJECTORY_SQL = sql("""SELECT useruuid, part,
+ coalesce(lag(last_point) OVER (PARTITION BY useruuid ORDER BY part), '') AS joins, points, times, round(share, 6) + 0.0 AS share
+ FROM (SELECT useruuid, part, last(pt ORDER BY n) AS last_point, string_agg(pt, ',' ORDER BY n) AS points,
+  string_agg(CAST(s0 + 1704067200 AS VARCHAR), ',' ORDER BY n) AS times,
   sum((s1 - s0) / total) AS share FROM (
-   SELECT *, s0 // 86400 AS d, printf('%.4f', longitude) || ',' || printf('%.4f', latitude) AS pt,
-   sum(s1 - s0) OVER (PARTITION BY useruuid) AS total FROM loc) GROUP BY useruuid, d)""")
+   SELECT *, (n - 1) // 25 AS part FROM (SELECT *, row_number() OVER (PARTITION BY useruuid ORDER BY s0, s1, id) AS n,
+   printf('%.4f', longitude) || ',' || printf('%.4f', latitude) AS pt,
+   sum(s1 - s0) OVER (PARTITION BY useruuid) AS total FROM loc)) GROUP BY useruuid, part)""")
 
 QUERIES = {
     "f1_mean_speed": Query(lambda t: mobility.mean_speed(in_country(t.locations, "Japan")), sql(

@@ -159,5 +159,5 @@ QUERIES = {
     "a11_geojson": Query(geojson, sql(
         f"SELECT 'Point' AS type, useruuid, {r6('longitude')} AS longitude, {r6('latitude')} AS latitude,"
         " count(*) AS rows FROM met GROUP BY ALL", MET_SQL)),
-    "a12_merge_parts": Query(lambda t: libsvm(t, 4), LIBSVM_SQL),
+    "a12_merge_parts": Query(lambda t: libsvm(t, t.spark.sparkContext.defaultParallelism), LIBSVM_SQL),
 }

@@ -67,11 +67,12 @@ def slots_of_day(start: Column, end: Column, minutes: int) -> Column:
     return F.when(first < stop, F.sequence(first, stop - 1)).otherwise(nothing)
 
 
-def magnitude_bucket(value: Column, per_octave: int = 16) -> Column:
+def magnitude_bucket(value: Column, per_octave: int = 256) -> Column:
     """Coarse bucket that never decreases when ``value`` grows.
 
-    At most a few thousand buckets exist for any double, so bucket totals are
-    small while each bucket holds a slice of the values.
+    Values of one octave (from a power of two to the next) fall into
+    ``per_octave`` buckets, so the number of buckets is bounded for any number
+    while each bucket holds a slice of the values.
     """
     size = F.floor(F.log2(F.abs(value.cast("double")) + 1.0) * float(per_octave))
     return F.when(value < 0, -size).otherwise(size)

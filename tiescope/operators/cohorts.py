@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import ceil
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tiescope.config import Period
 from tiescope.functions.calendar import local
 from tiescope.operators.graph import components
 from tiescope.operators.heatmaps import user_days
-from tiescope.operators.ordering import key_bucket, running_total, with_previous
+from tiescope.operators.ordering import running_total, with_bucket, with_previous
 from tiescope.operators.pairing import grid_join
 from tiescope.operators.presence import activity_by_period, period_of
 
@@ -157,14 +158,53 @@ def near_duplicates(df: DataFrame, first_day: str, last_day: str, days: int,
     """Groups of users whose active days agree on at least ``agree`` of the days.
 
     Users active on less than ``active`` of the days are left out. Users with
-    equal patterns form one node; nodes are compared when they are equal on
-    one of m + 1 bands of days, where m is the number of days that may differ,
-    which finds every pair. Groups are the components of the similar nodes.
+    equal patterns form one node, so a common pattern costs one row. Groups are
+    the components of the similar nodes.
     """
     allowed = days - ceil(days * agree)
     users = day_patterns(df, first_day, last_day).filter(
         F.col("active") >= days - ceil(days * (1 - active)))
     patterns = users.groupBy("pattern").agg(F.min("useruuid").alias("useruuid"), F.count("*").alias("members"))
+    near = _near_by_flips if days <= WORD and _flips(days, (allowed + 1) // 2) <= 2000 else _near_by_bands
+    similar = near(patterns, days, allowed)
+    joined = patterns.join(components(similar), "useruuid", "left").select(
+        "pattern", "members", F.coalesce("component", "useruuid").alias("component"))
+    grouped = users.join(joined, "pattern").select("useruuid", "component")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
+    return grouped.join(sizes, "component").select("useruuid", F.col("component").alias("duplicate_group"))
+
+
+def _flips(days: int, most: int) -> int:
+    """Number of ways to change at most ``most`` of the days."""
+    return sum(comb(days, count) for count in range(most + 1))
+
+
+def _near_by_flips(patterns: DataFrame, days: int, allowed: int) -> DataFrame:
+    """Pairs that differ on at most ``allowed`` days, for short ranges.
+
+    Two such patterns meet in a third one that differs from the first on half
+    of these days at most and from the second on the rest. A meeting point has
+    a bounded number of patterns around it, whatever the number of users.
+    """
+    def around(most: int) -> F.Column:
+        masks = [sum(1 << day for day in chosen)
+                 for count in range(most + 1) for chosen in combinations(range(days), count)]
+        changed = F.transform(F.array(*[F.lit(mask).cast("bigint") for mask in masks]),
+                              lambda mask: F.col("pattern")[0].bitwiseXOR(mask))
+        return F.explode(changed).alias("meeting")
+
+    left = patterns.select(F.col("useruuid").alias("user1"), around((allowed + 1) // 2))
+    right = patterns.select(F.col("useruuid").alias("user2"), around(allowed // 2))
+    return (left.join(right, "meeting").filter(F.col("user1") != F.col("user2"))
+            .select(F.least("user1", "user2").alias("user1"), F.greatest("user1", "user2").alias("user2"))
+            .distinct())
+
+
+def _near_by_bands(patterns: DataFrame, days: int, allowed: int) -> DataFrame:
+    """Pairs that differ on at most ``allowed`` days, for long ranges.
+
+    Of ``allowed + 1`` bands of days at least one is equal in such a pair.
+    """
     edges = [round(index * days / (allowed + 1)) for index in range(allowed + 2)]
     bands = F.array(*[F.struct(F.lit(index).alias("band"),
                                F.transform("pattern", lambda word, number: _band(word, number, low, high))
@@ -174,15 +214,10 @@ def near_duplicates(df: DataFrame, first_day: str, last_day: str, days: int,
         "useruuid", "pattern", "key.*")
     left = keyed.select(F.col("useruuid").alias("user1"), F.col("pattern").alias("pattern1"), "band", "slice")
     right = keyed.select(F.col("useruuid").alias("user2"), F.col("pattern").alias("pattern2"), "band", "slice")
-    similar = (grid_join(left, right, ["band", "slice"], "user1", "user2")
-               .filter((F.col("user1") < F.col("user2"))
-                       & (_different(F.col("pattern1"), F.col("pattern2")) <= allowed))
-               .select("user1", "user2").distinct())
-    joined = patterns.join(components(similar), "useruuid", "left").select(
-        "pattern", "members", F.coalesce("component", "useruuid").alias("component"))
-    grouped = users.join(joined, "pattern").select("useruuid", "component")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
-    return grouped.join(sizes, "component").select("useruuid", F.col("component").alias("duplicate_group"))
+    return (grid_join(left, right, ["band", "slice"], "user1", "user2")
+            .filter((F.col("user1") < F.col("user2"))
+                    & (_different(F.col("pattern1"), F.col("pattern2")) <= allowed))
+            .select("user1", "user2").distinct())
 
 
 def _band(word: F.Column, number: F.Column, low: int, high: int) -> F.Column:
@@ -198,8 +233,8 @@ def adjacent_duplicates(df: DataFrame, first_day: str, last_day: str, days: int,
                         agree: float = 0.9, active: float = 0.5) -> DataFrame:
     """Similar neighbours only: users sorted by active days, each compared with the next."""
     allowed = days - ceil(days * agree)
-    users = day_patterns(df, first_day, last_day)
-    chunk = F.struct(F.col("active"), key_bucket(users, "useruuid").alias("part"))
+    users = with_bucket(day_patterns(df, first_day, last_day), "useruuid")
+    chunk = F.struct("active", "_part")
     lined = with_previous(users, [], ["active", "useruuid"], chunk, ["useruuid", "pattern", "active"])
     busy = F.col("previous_active") >= days - ceil(days * (1 - active))
     return (lined.filter(F.col("previous_useruuid").isNotNull() & busy

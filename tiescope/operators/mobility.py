@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiescope.functions.geography import distance_m, speed_kmh
-from tiescope.operators.ordering import with_previous
+from tiescope.operators.ordering import numbered, with_previous
 
 ORDER = ["start_time", "end_time", "id"]
 
@@ -54,27 +54,28 @@ def mean_gap(df: DataFrame, ref_compat: bool = False) -> DataFrame:
     return update_gaps(df, ref_compat).agg(F.avg("minutes").alias("minutes"))
 
 
-def trajectories(df: DataFrame) -> DataFrame:
-    """Ordered points of every user, one row per user and day.
+def trajectories(df: DataFrame, part_rows: int = 1000) -> DataFrame:
+    """Ordered points of every user, one row per ``part_rows`` updates.
 
-    A day starts with the last point of the day before (``joins``), so the
-    lines of a user connect. ``shares`` is each stay as a part of the user's
-    total stay, 1 for stays without positive length.
+    A part starts with the last point of the part before it (``joins``), so
+    the lines of a user connect and no row grows without bound. ``shares`` is
+    each stay as a part of the user's total stay, 1 for stays without length.
     """
     seconds = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6
-    timed = df.withColumns({"seconds": seconds, "day": F.to_date("start_time")})
+    timed = df.select("useruuid", *ORDER, F.array("longitude", "latitude").alias("point"),
+                      seconds.alias("seconds"))
     totals = timed.groupBy("useruuid").agg(F.sum("seconds").alias("total"))
     share = F.when(F.col("seconds") > 0, F.col("seconds") / F.col("total")).otherwise(1.0)
-    point = F.array("longitude", "latitude")
-    rows = timed.join(totals, "useruuid").withColumn("share", share)
-    daily = rows.groupBy("useruuid", "day").agg(F.sort_array(F.collect_list(F.struct(
-        "start_time", "end_time", "id", point.alias("point"), "share"))).alias("stops"))
-    # One short row per user and day: the chunk is the month of the day.
+    placed = numbered(timed, [F.col(name) for name in ORDER], [_hour_chunk()], by=["useruuid"])
+    parts = (placed.withColumn("part", F.floor((F.col("number") - 1) / part_rows))
+             .join(totals, "useruuid").withColumn("share", share)
+             .groupBy("useruuid", "part")
+             .agg(F.array_sort(F.collect_list(F.struct("number", "start_time", "point", "share"))).alias("stops")))
     linked = with_previous(
-        daily.withColumn("leave", F.element_at("stops", -1).getField("point")),
-        ["useruuid"], ["day"], F.trunc("day", "month"), ["leave"])
+        parts.withColumn("leave", F.element_at("stops", -1).getField("point")),
+        ["useruuid"], ["part"], F.floor(F.col("part") / 1000), ["leave"])
     return linked.select(
-        "useruuid", "day", F.col("previous_leave").alias("joins"),
+        "useruuid", "part", F.col("previous_leave").alias("joins"),
         F.transform("stops", lambda stop: stop["point"]).alias("points"),
         F.transform("stops", lambda stop: stop["start_time"]).alias("times"),
         F.transform("stops", lambda stop: stop["share"]).alias("shares"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tiescope.functions.binning import magnitude_bucket
+from tiescope.session import stage
 
 
 def running_total(df: DataFrame, order: Sequence[Column], bucket: Sequence[Column],
@@ -56,18 +57,23 @@ def numbered(df: DataFrame, order: Sequence[Column], bucket: Sequence[Column],
                          {"_one": name}, by).drop("_one")
 
 
-def key_bucket(df: DataFrame, column: str) -> Column:
-    """Bucket for keys: a text prefix, or the number without its low bits."""
-    kind = dict(df.dtypes)[column]
-    if kind == "string":
-        return F.substring(column, 1, 3)
-    return F.floor(F.col(column) / 1024)
+def with_bucket(df: DataFrame, column: str, name: str = "_part") -> DataFrame:
+    """Adds a bucket that never decreases along the column.
+
+    Numbers use their magnitude. For texts Spark's range partitioner finds
+    slices of even size; the number of the slice is staged with the rows, as
+    it must not change when a task runs again.
+    """
+    if dict(df.dtypes)[column] == "string":
+        sliced = df.repartitionByRange(F.col(column)).withColumn(name, F.spark_partition_id())
+        return stage(sliced, "slices")
+    return df.withColumn(name, magnitude_bucket(F.col(column), per_octave=1024))
 
 
 def encode(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Distinct values numbered 1..K in their order."""
-    values = df.select(column).distinct()
-    coded = numbered(values, [F.col(column)], [key_bucket(values, column)], code)
+    values = with_bucket(df.select(column).distinct(), column)
+    coded = numbered(values, [F.col(column)], [F.col("_part")], code)
     return coded.select(column, code)
 
 

@@ -12,7 +12,7 @@ from tiescope.config import BinConfig
 from tiescope.functions.binning import bin_start, slots_of_day, spatial_bin
 from tiescope.functions.calendar import local
 from tiescope.operators.cleaning import country_is_missing, outside
-from tiescope.operators.ordering import key_bucket, quantiles, running_total
+from tiescope.operators.ordering import quantiles, running_total, with_bucket
 from tiescope.operators.pairing import pair_count
 from tiescope.operators.presence import CELL, presence
 
@@ -112,8 +112,8 @@ def updates_cdf(df: DataFrame) -> DataFrame:
 def shares(counts: DataFrame, label: str, count: str = "rows") -> DataFrame:
     """Normalised counts in descending order and their running sum."""
     order = [F.desc(count), F.asc(label)]
-    bucket = [-F.col(count), key_bucket(counts, label)]
-    placed = running_total(counts, order, bucket, {count: "upto"})
+    placed = running_total(with_bucket(counts, label), order, [-F.col(count), F.col("_part")],
+                           {count: "upto"})
     return placed.select(label, count, (F.col(count) / F.col("upto_all")).alias("share"),
                          (F.col("upto") / F.col("upto_all")).alias("cdf"))
 
