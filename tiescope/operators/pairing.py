@@ -19,6 +19,10 @@ from tiescope.operators.presence import CELL, cell_population
 BLOCK_ROWS = 2048
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def co_occurrences(people: DataFrame, cells: DataFrame | None = None,
                    carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs user1 < user2 that share a cell and a bin.
@@ -52,7 +56,12 @@ def co_occurrences(people: DataFrame, cells: DataFrame | None = None,
         mine, theirs = F.col(f"left_{name}"), F.col(f"right_{name}")
         both.append(F.when(ordered, mine).otherwise(theirs).alias(f"{name}1"))
         both.append(F.when(ordered, theirs).otherwise(mine).alias(f"{name}2"))
-    return (left.join(right, [*CELL, "low", "high"]).filter(once)
+    # The output is much larger than either input, so the number of tasks must
+    # not follow from the size of the input: a sort-merge join over a fixed
+    # number of partitions, which can spill, in place of a broadcast.
+    keys, tasks = [*CELL, "low", "high"], _tasks(people)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return (left.join(right.hint("merge"), keys).filter(once)
             .select(F.least("left_user", "right_user").alias("user1"),
                     F.greatest("left_user", "right_user").alias("user2"),
                     *CELL, *kept, *both))
@@ -140,9 +149,10 @@ def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                 .withColumn(f"_{other}", F.explode(F.sequence(zero, other_blocks - 1)))
                 .drop("left_blocks", "right_blocks"))
 
-    return (spread(left, left_id, "left", "right")
-            .join(spread(right, right_id, "right", "left"), [*keys, "_left", "_right"])
-            .drop("_left", "_right"))
+    joined, tasks = [*keys, "_left", "_right"], _tasks(left)
+    cut_left = spread(left, left_id, "left", "right").repartition(tasks, *joined)
+    cut_right = spread(right, right_id, "right", "left").repartition(tasks, *joined)
+    return cut_left.join(cut_right.hint("merge"), joined).drop("_left", "_right")
 
 
 def containing_updates(locations: DataFrame, tolerance_minutes: int = 24 * 60,
