@@ -15,6 +15,7 @@ from tiescope.operators.heatmaps import user_days
 from tiescope.operators.ordering import running_total, with_bucket, with_previous
 from tiescope.operators.pairing import grid_join
 from tiescope.operators.presence import activity_by_period, period_of
+from tiescope.session import stage
 
 WORD = 62
 
@@ -162,8 +163,8 @@ def near_duplicates(df: DataFrame, first_day: str, last_day: str, days: int,
     the components of the similar nodes.
     """
     allowed = days - ceil(days * agree)
-    users = day_patterns(df, first_day, last_day).filter(
-        F.col("active") >= days - ceil(days * (1 - active)))
+    users = stage(day_patterns(df, first_day, last_day).filter(
+        F.col("active") >= days - ceil(days * (1 - active))), "patterns")
     patterns = users.groupBy("pattern").agg(F.min("useruuid").alias("useruuid"), F.count("*").alias("members"))
     near = _near_by_flips if days <= WORD and _flips(days, (allowed + 1) // 2) <= 2000 else _near_by_bands
     similar = near(patterns, days, allowed)

@@ -193,9 +193,10 @@ def mutual(pairs: DataFrame, closed: bool = False) -> DataFrame:
     """Jaccard index of the contact sets of two users who met.
 
     Open neighbourhoods leave the two users themselves out; closed ones count
-    both of them in both sets.
+    both of them in both sets. The pairs are staged, as they are read as
+    edges, contacts and users.
     """
-    return mutual_from(common_contacts(pairs), closed)
+    return mutual_from(common_contacts(stage(pairs.select(*PAIR), "pairs")), closed)
 
 
 def mutual_from(table: DataFrame, closed: bool = False) -> DataFrame:

@@ -65,6 +65,8 @@ def _contact_masks(neighbours: DataFrame) -> DataFrame:
 def common_contacts(pairs: DataFrame) -> DataFrame:
     """Per pair: users who met both (``common``) and the degrees of the two.
 
+    ``pairs`` is read several times; give a stored table, not a long plan.
+
     From each edge the contacts of the end with fewer contacts are looked up
     in those of the other end, 64 contacts per row. The work is at most the
     sum over the edges of the smaller degree, also when one user met everybody.
@@ -86,8 +88,9 @@ def common_contacts(pairs: DataFrame) -> DataFrame:
     large = masks.select(F.col("useruuid").alias("large"), "block", F.col("mask").alias("large_mask"))
     shared = F.bit_count(F.col("small_mask").bitwiseAND(F.col("large_mask")))
     return (lookups.join(small, "small").join(large, ["large", "block"], "left")
-            .groupBy(*PAIR, "degree1", "degree2")
-            .agg(F.coalesce(F.sum(shared), F.lit(0)).alias("common")))
+            .groupBy(*PAIR)
+            .agg(F.first("degree1").alias("degree1"), F.first("degree2").alias("degree2"),
+                 F.coalesce(F.sum(shared), F.lit(0)).alias("common")))
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def clustering(pairs: DataFrame) -> DataFrame:
     A common contact of two users who met closes a triangle; each triangle of
     a user is seen from two of the user's edges.
     """
-    shared = common_contacts(pairs).select(*PAIR, "common")
+    shared = common_contacts(stage(pairs.select(*PAIR), "pairs")).select(*PAIR, "common")
     per_user = (ends(shared).groupBy("useruuid")
                 .agg(F.count("*").alias("degree"), (F.sum("common") / 2).cast("bigint").alias("triangles")))
     possible = F.col("degree") * (F.col("degree") - 1)
