@@ -8,7 +8,6 @@ from tiescope.catalog.base import Query, r6, sql
 from tiescope.config import BinConfig
 from tiescope.functions import binning, calendar, geography
 from tiescope.operators import cleaning, mobility, ordering, profiles
-from tiescope.operators.pairing import share_in_country
 from tiescope.plans.inputs import CONFIG, ORIGIN, Inputs
 from tiescope.sources.readers import nested_value
 

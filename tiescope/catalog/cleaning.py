@@ -9,7 +9,6 @@ from tiescope.operators import cleaning, features, heatmaps, profiles
 from tiescope.operators.cohorts import cross_occupancy
 from tiescope.operators.pairing import both_selected, co_occurrences, dyads
 from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
-from tiescope.sources.readers import nested_value
 
 ROWS = "SELECT id, useruuid FROM loc"
 

@@ -10,7 +10,6 @@ from tiescope.catalog.sequences import TRAVEL_SQL
 from tiescope.ml.models import _vectors
 from tiescope.operators import features
 from tiescope.operators.cleaning import plausible_people, sessions_in_period
-from tiescope.operators.cohorts import cross_occupancy
 from tiescope.operators.pairing import attach_both, co_occurrences, dyads
 from tiescope.operators.presence import user_activity
 from tiescope.plans.dataset import build_dataset

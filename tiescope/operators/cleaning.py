@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiescope.config import BinConfig, Period
-from tiescope.functions.binning import end_bin, spatial_bin, start_bin
+from tiescope.functions.binning import spatial_bin, start_bin
 from tiescope.functions.geography import EARTH_RADIUS_M, distance_m
 
 ACCURACY_MM = (0, 55_000)

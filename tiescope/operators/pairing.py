@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiescope.config import Period
-from tiescope.operators.cleaning import in_period, outside
+from tiescope.operators.cleaning import outside
 from tiescope.operators.presence import CELL, cell_population
 
 BLOCK_ROWS = 2048
