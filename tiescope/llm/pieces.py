@@ -130,8 +130,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 column = rows.list_array(np.frombuffer(b"".join(found), np.int32), offsets)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [column], [*kept, ids])
 
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(ids, "array<int>")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, rows.extended(df, kept, f"`{ids}` array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -155,4 +154,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                                                  [*kept, text])
                 at += end
 
-    return df.mapInArrow(run, df.select(*[f"`{c}`" for c in kept]).schema.add(text, "string"))
+    return df.mapInArrow(run, rows.extended(df, kept, f"`{text}` string"))

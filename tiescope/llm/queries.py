@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import pieces, tokencount
+from tiescope.llm import language, pieces, tokencount, toxicity
 from tiescope.llm.rows import table
 
 PIECES = "piece_bpe_32k.model"
@@ -25,6 +25,29 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("decoded_sha256", F.sha2(F.col("decoded"), 256)).drop("decoded"))
 
 
+def _share(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a fifth of the ids are held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(documents.join(labels.filter(_share(5) != 0), "doc_id"))
+    return toxicity.score(documents, model).select(
+        "doc_id", (_share(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of the ids is held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profile = language.profiles(documents.filter(_share(4) != 2))
+    return language.predict(documents.select("doc_id", "text"), profile).select(
+        "doc_id", (_share(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by the transducer."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +58,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pieces": op2_pieces,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -64,3 +65,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) - np.repeat(before - starts, lengths)
+
+
+def extended(df: DataFrame, kept: list[str], added: str) -> StructType:
+    """Schema of the kept columns and the added ones, given as DDL."""
+    return StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)

@@ -311,5 +311,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_
                 found = owned.count(*rows.raw_text(part.column(text)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(found)], [*kept, tokens])
 
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(tokens, "bigint")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, rows.extended(df, kept, f"`{tokens}` bigint"))
