@@ -25,6 +25,9 @@ PREFIX = 6
 FIT_DOCUMENTS = 12_000
 #: Sentences with this score are reported.
 OFFENDING = 0.5
+#: A feature is used if so many documents have it, and if its share of toxic ones is so many
+#: standard deviations above the share of all.
+LEAST_DOCUMENTS, LEAST_Z = 5, 4.0
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True
 
@@ -91,10 +94,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     _, sentence = np.unique(document << 32 | columns[1].flatten().to_numpy(), return_inverse=True)
     owner = np.zeros(sentence.max(initial=-1) + 1, np.int64)
     owner[sentence] = document
-    # features of one document can only be learned by heart
-    pairs = np.unique(document << FEATURE_BITS | features)
-    common = np.bincount(pairs & (1 << FEATURE_BITS) - 1, minlength=1 << FEATURE_BITS) >= 3
-    kept = common[features]
+    kept = _telling(document, features, y)[features]
     names, features = np.unique(features[kept], return_inverse=True)
     weights, bias = _descend(features, sentence[kept], owner, y, len(names), rounds)
     out = np.zeros(1 << FEATURE_BITS, np.float32)
@@ -102,6 +102,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     return Model(out, float(bias))
 
 
+def _telling(document, features, y):
+    """Whether a feature is more frequent in toxic documents than chance explains.
+
+    Without this the many words of single documents are learned by heart.
+    """
+    pairs = np.unique(document << FEATURE_BITS | features)
+    name = pairs & (1 << FEATURE_BITS) - 1
+    n = np.bincount(name, minlength=1 << FEATURE_BITS)
+    toxic = np.bincount(name, y[pairs >> FEATURE_BITS], minlength=1 << FEATURE_BITS)
+    share = y.mean()
+    z = (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    return (n >= LEAST_DOCUMENTS) & (z >= LEAST_Z)
+
+
 def _descend(features, sentence, owner, y, n, rounds):
     """Adam on the noisy-or likelihood, both classes weighing the same, with decay."""
     n_sentences = len(owner)
