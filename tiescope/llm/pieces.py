@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from tiescope.llm import rows
 
 #: Distinct chunks that a task keeps.
-TABLE_CHUNKS = 1_000_000
+TABLE_CHUNKS = 400_000
 #: Characters of the longest chunk kept in the table.
 KEPT_CHARS = 64
+#: Ids decoded at once.
+SLICE_IDS = 1 << 19
 MARKER = "▁"
 _MARKED = re.compile(" +[^ ]*")
 _tables: dict[str, "ChunkTable"] = {}
@@ -142,10 +144,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         owned = chunk_table(path)
         for batch in batches:
             at, n = 0, batch.num_rows
-            while at < n:  # rows with at most SLICE_BYTES ids
+            while at < n:  # rows with at most SLICE_IDS ids, one row at least
                 column = batch.column(ids).slice(at)
                 lengths = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
-                end = max(1, int(np.searchsorted(lengths, rows.SLICE_BYTES, "right")))
+                end = max(1, int(np.searchsorted(lengths, SLICE_IDS, "right")))
                 column = column.slice(0, end)
                 values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 found = owned.decode(values, np.concatenate([[0], lengths[:end]]))

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import language, pieces, tokencount, toxicity
+from tiescope.llm import language, linequality, packing, pieces, tokencount, toxicity, wordids
 from tiescope.llm.rows import table
+from tiescope.session import stage
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
@@ -48,6 +49,21 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_share(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """Pieces of the documents' token sequences, with checksums."""
+    numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    tokens = wordids.tokenize(numbered, public_tokenizers.path(WORDS), 2)
+    # written once: the row numbers hold from here on
+    tokens = stage(tokens.withColumn("doc_tokens", F.size("ids").cast("long")), "packing-tokens")
+    pieces_ = stage(packing.pack(tokens.select("row", F.col("doc_tokens").alias("n"))), "packing-pieces")
+    return packing.checksums(pieces_, tokens)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4,096 tokens."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by the transducer."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,11 +72,26 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_tokens", (F.col("n_tokens") > 512).alias("over_limit")))
 
 
+def judged(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the verdict of the line model, which the labels of the tables train."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return linequality.judge(documents, linequality.fit(labelled))
+
+
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the line model's verdict for every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(spark, documents, sf_dir).drop("text")
+
+
 QUERIES = {
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_line_quality": op10_line_quality,
 }
 
 #: SQL twins by query name, where SQL can express the operator.

@@ -22,7 +22,7 @@ from tiescope.llm import rows, words
 FEATURE_BITS = 18
 PREFIX = 6
 #: Labelled documents at most that a model is fitted on, drawn by hash of their id.
-FIT_DOCUMENTS = 12_000
+FIT_DOCUMENTS = 6_000
 #: Sentences with this score are reported.
 OFFENDING = 0.5
 #: A feature is used if so many documents have it, and if its share of toxic ones is so many
@@ -89,14 +89,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), 30.0 if len(y) and y[0] else -30.0)
     columns = [sample.column(c).combine_chunks() for c in ("features", "sentences")]
     sizes = columns[0].value_lengths().to_numpy()
-    features = columns[0].flatten().to_numpy().astype(np.int64)
-    document = np.repeat(np.arange(len(y)), sizes)
-    _, sentence = np.unique(document << 32 | columns[1].flatten().to_numpy(), return_inverse=True)
-    owner = np.zeros(sentence.max(initial=-1) + 1, np.int64)
-    owner[sentence] = document
+    features = columns[0].flatten().to_numpy()
+    document = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     kept = _telling(document, features, y)[features]
-    names, features = np.unique(features[kept], return_inverse=True)
-    weights, bias = _descend(features, sentence[kept], owner, y, len(names), rounds)
+    features, document = features[kept], document[kept].astype(np.int64)
+    # the sentences of the documents one after the other, those without a telling feature too
+    sentences = columns[1].flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    many = np.where(sizes > 0, sentences[np.maximum(ends[1:] - 1, 0)] + 1, 0).astype(np.int64)
+    sentence = sentences[kept] + (np.cumsum(many) - many)[document]
+    owner = np.repeat(np.arange(len(y)), many)
+    names, features = np.unique(features, return_inverse=True)
+    weights, bias = _descend(features, sentence, owner, y, len(names), rounds)
     out = np.zeros(1 << FEATURE_BITS, np.float32)
     out[names] = weights
     return Model(out, float(bias))
@@ -107,7 +111,7 @@ def _telling(document, features, y):
 
     Without this the many words of single documents are learned by heart.
     """
-    pairs = np.unique(document << FEATURE_BITS | features)
+    pairs = np.unique(document.astype(np.int64) << FEATURE_BITS | features)
     name = pairs & (1 << FEATURE_BITS) - 1
     n = np.bincount(name, minlength=1 << FEATURE_BITS)
     toxic = np.bincount(name, y[pairs >> FEATURE_BITS], minlength=1 << FEATURE_BITS)
