@@ -50,27 +50,39 @@ def grams(data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
     kept = np.ones(len(line), bool)
     kept[1:] = (line[1:] != 32) | (line[:-1] != 32) | (row[1:] != row[:-1])
     line, row = line[kept], row[kept]
-    alphabet, small = np.unique(line, return_inverse=True)
-    small = small.astype(np.int64)
+    present = np.zeros(0x110000, bool)
+    present[line] = True
+    alphabet = np.flatnonzero(present)
     m = len(alphabet)
+    base = m + m * m + m ** 3
+    total = base * (int(group.max(initial=0)) + 1)
+    if total >= 1 << 62:
+        raise ValueError("too many different characters in one text slice")
+    kind = np.int32 if total < 1 << 31 else np.int64  # narrow keys sort faster
+    number = np.zeros(0x110000, kind)
+    number[alphabet] = np.arange(m)
+    small = number[line]
     letter, same = line != 32, row[1:] == row[:-1]
     one = small[letter]
     good = same & (letter[1:] | letter[:-1])
     two = m + (small[:-1] * m + small[1:])[good]
     good3 = same[1:] & same[:-1] & letter[1:-1] if len(line) > 2 else np.zeros(0, bool)
     three = (m + m * m + (small[:-2] * m + small[1:-1]) * m + small[2:])[good3] if len(line) > 2 else small[:0]
-    base = m + m * m + m ** 3
-    if base * (int(group.max(initial=0)) + 1) >= 1 << 62:
-        raise ValueError("too many different characters in one text slice")
-    owner = group[row].astype(np.int64)
+    owner = group.astype(kind)[row]
     keys = np.concatenate([owner[letter] * base + one, owner[:-1][good] * base + two,
                            owner[:-2][good3] * base + three if len(line) > 2 else small[:0]])
-    keys.sort()
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(keys)))
-    which, gram = np.divmod(keys[at], base)
+    if total <= 4 * len(keys):  # few groups: a table of all possible n-grams
+        table = np.bincount(keys, minlength=1)
+        found = np.flatnonzero(table)
+        counts = table[found]
+    else:
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        counts = np.diff(np.append(at, len(keys)))
+        found = keys[at]
+    which, gram = np.divmod(found.astype(np.int64), base)
     a = alphabet.astype(np.int64)
     is2, is3 = (gram >= m) & (gram < m + m * m), gram >= m + m * m
     g2, g3 = np.where(is2, gram - m, 0), np.where(is3, gram - m - m * m, 0)
@@ -79,6 +91,16 @@ def grams(data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
     return which, code, counts
 
 
+def _by_count(row: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Order by row, then the larger count, then the place given."""
+    size, most = len(row), int(counts.max(initial=0))
+    if (int(row.max(initial=0)) + 1) * (most + 1) * max(size, 1) >= 1 << 62:
+        return np.lexsort((-counts, row))
+    keys = (row * (most + 1) + (most - counts)) * size + np.arange(size)
+    keys.sort()
+    return keys % max(size, 1)
+
+
 def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
     """(lang, rank from 0, gram) of every language, from all rows with a text and a language."""
     rows.ship(labelled.sparkSession)
@@ -126,7 +148,7 @@ def predict(df: DataFrame, profile: DataFrame, text: str = "text", size: int = P
             for part in rows.slices(batch, text):
                 n = part.num_rows
                 row, code, counts = grams(*rows.raw_text(part.column(text)), np.arange(n))
-                order = np.lexsort((-counts, row))  # stable: ties in the order of the codes
+                order = _by_count(row, counts)
                 row, code = row[order], code[order]
                 begin = np.searchsorted(row, np.arange(n))
                 rank = np.arange(len(row)) - begin[row]
