@@ -23,12 +23,12 @@ FIT_DOCUMENTS = 6_000
 #: A document is kept if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 #: Added to every line's score of content: a good document lost costs more than a bad one kept.
-CONTENT_ODDS = 1.5
+CONTENT_ODDS = 1.0
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: Symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("one", "symbols", "capitals", "exclamations", "digits", "duplicate", "same_word", "repeated",
-            "short", "bars", "stop")
+            "short", "bars")
 
 
 @dataclass
@@ -83,14 +83,13 @@ def measures(data: np.ndarray, offsets: np.ndarray):
     lower, upper = inside((data >= 97) & (data <= 122)), inside((data >= 65) & (data <= 90))
     same = np.zeros(len(starts), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & ~new[1:]
-    last = ends[np.append(head[1:], len(starts)) - 1] - 1 if len(head) else head
     features = np.stack([
         np.ones(len(head)), np.minimum(1, (symbols[end] - symbols[begin]) / np.maximum(size, 1)),
         upper / np.maximum(1, upper + lower), np.minimum(1, inside(data == 33) / np.maximum(size, 1)),
         inside((data >= 48) & (data <= 57)) / np.maximum(1, end - begin), duplicate,
         np.bincount(line, same, len(head)) / np.maximum(size, 1),
         np.bincount(line, repeated, len(head)) / np.maximum(size, 1), size <= 3,
-        np.minimum(1, inside(data == 124) / np.maximum(size, 1)), np.isin(data[last], [33, 46, 63])], 1)
+        np.minimum(1, inside(data == 124) / np.maximum(size, 1))], 1)
     return base, (line_row, size, features)
 
 
@@ -153,7 +152,7 @@ def _expected(model: Model, scores, begin, lengths):
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
-        max_documents: int = FIT_DOCUMENTS, rounds: int = 150) -> Model:
+        max_documents: int = FIT_DOCUMENTS, rounds: int = 300) -> Model:
     """Model from documents with ``label`` 1 (good) or 0; others are skipped.
 
     Without rows of both classes every line is content.
@@ -203,7 +202,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
             own_steps[value, value], own_first[value] = (lengths[members] - 1).sum(), len(members)
             grad[-6:-2] += weight[members[0]] * (steps - own_steps).ravel()
             grad[-2:] += weight[members[0]] * (first - own_first)
-        grad += 1e-4 * w
+        grad += 1e-6 * w
         state[1] = 0.9 * state[1] + 0.1 * grad
         state[2] = 0.99 * state[2] + 0.01 * grad ** 2
         state[0] = w - 0.1 * (state[1] / (1 - 0.9 ** step)) / (np.sqrt(state[2] / (1 - 0.99 ** step)) + 1e-9)
