@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import language, linequality, packing, pieces, tokencount, toxicity, wordids
+from tiescope.llm import jaccard, language, linequality, packing, pieces, tokencount, toxicity, wordids
 from tiescope.llm.rows import table
 from tiescope.session import stage
 
@@ -49,6 +49,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_share(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """Pieces of the documents' token sequences, with checksums."""
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -89,6 +94,7 @@ QUERIES = {
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_line_quality": op10_line_quality,
