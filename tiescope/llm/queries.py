@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import jaccard, language, linequality, packing, pieces, tokencount, toxicity, wordids
+from tiescope.llm import jaccard, language, linequality, packing, pieces, suffixes, tokencount, toxicity, wordids
 from tiescope.llm.rows import table
 from tiescope.session import stage
 
@@ -54,6 +54,16 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share, every occurrence found."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = suffixes.numbered(documents)
+    named = docs.select("row", F.nullif("ord", F.lit((1 << 63) - 1)).alias("doc_id"))
+    found = suffixes.repeats(docs)
+    return (found.join(named, "row").join(named.select(F.col("row").alias("other"), F.col("doc_id").alias("other_id")), "other")
+            .select("doc_id", "start", "size", "other_id", "removed"))
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """Pieces of the documents' token sequences, with checksums."""
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -95,6 +105,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_line_quality": op10_line_quality,
