@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tiescope.llm import rows, words
 
-#: Labelled documents at most that a model is fitted on, drawn by hash of their id.
+#: Labelled documents, about, that a model is fitted on, drawn by hash of their id.
 FIT_DOCUMENTS = 6_000
 #: A document is kept if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
@@ -168,10 +168,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                     [part.column("label"), rows.list_array(features.ravel().astype(np.float32), at)],
                     ["label", "features"])
 
-    drawn = (labelled.filter(F.col(label).isin(0, 1))
-             .select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-                     F.xxhash64(F.col(key).cast("string"), F.lit("fit")).alias("draw"))
-             .orderBy("draw").limit(max_documents).select("text", "label"))
+    drawn = rows.drawn(labelled.filter(F.col(label).isin(0, 1)), key, max_documents).select(
+        F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     sample = drawn.mapInArrow(run, "label int, features array<float>").filter("size(features) > 0").toArrow()
     y = sample.column("label").to_numpy()
     model = Model(np.zeros(len(FEATURES)), np.zeros((2, 2)), np.zeros(2))

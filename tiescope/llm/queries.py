@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import jaccard, language, linequality, packing, pieces, suffixes, tokencount, toxicity, wordids
+from tiescope.llm import ann, jaccard, language, linededup, linequality, packing, pieces, suffixes, tokencount, toxicity, wordids
 from tiescope.llm.rows import table
 from tiescope.session import stage
 
@@ -15,6 +15,12 @@ BYTES = "byte_bpe_50k.json"
 WORDS = "word_bpe_49k.json"
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, the text they decode to, and both digests."""
     path = public_tokenizers.path(PIECES)
@@ -54,6 +60,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without cross-site boilerplate lines."""
+    return linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that documents share, every occurrence found."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,10 +112,12 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
@@ -112,4 +125,6 @@ QUERIES = {
 }
 
 #: SQL twins by query name, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": linededup.SQL.format(docs="documents", sites=linededup.SITES),
+}

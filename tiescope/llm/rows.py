@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; a longer text is handled alone.
@@ -67,6 +68,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(before - starts, lengths)
 
 
+def drawn(labelled: DataFrame, key: str, documents: int) -> DataFrame:
+    """About ``documents`` rows, all if there are no more, drawn by hash of their key.
+
+    The draw is a filter on the key, so it reaches both sides of a join on it.
+    """
+    parts = 1 << 30
+    share = min(1.0, documents / max(1, labelled.count()))
+    return labelled.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(parts)) < int(share * parts))
+
+
 def extended(df: DataFrame, kept: list[str], added: str) -> StructType:
     """Schema of the kept columns and the added ones, given as DDL."""
     return StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)

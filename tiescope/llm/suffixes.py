@@ -8,8 +8,9 @@ equal heads are candidates. Each candidate is extended to the left and to the
 right over the words of both texts and is a repeat from LEAST words on.
 
 Suffixes with equal heads are ordered by document: each is compared with the
-first of them, so copies of one passage meet in one document, and where that
-match is too short, with the one before.
+first of them, so copies of one passage meet in one document. Those whose
+match is too short are compared with the first of their own kind, and with
+the one before.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(suffixes: DataFrame) -> DataFrame:
-    """(x, px, y, py, z, pz): suffixes with an equal head, the first of them and the one before.
+    """(key, x, px, y, py, z, pz): suffixes with an equal head, the first of them and the one before.
 
     Rows come sorted; a task holds a batch, the first row of the open key and the last row.
     """
@@ -102,12 +103,12 @@ def _candidates(suffixes: DataFrame) -> DataFrame:
             z, pz = np.append(row[:1], row[:-1]), np.append(pos[:1], pos[:-1])
             give = ~new & (y != row)
             z, pz = np.where(z == row, y, z), np.where(z == row, py, pz)
-            yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in (row, pos, y, py, z, pz)],
-                                             ["x", "px", "y", "py", "z", "pz"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in (key, row, pos, y, py, z, pz)],
+                                             ["key", "x", "px", "y", "py", "z", "pz"])
             open_key = (y[-1], py[-1], (key[-1:], row[-1:], pos[-1:]))
 
     ordered = suffixes.repartition("key").sortWithinPartitions("key", "ord", "row", "pos")
-    return ordered.mapInArrow(run, "x bigint, px bigint, y bigint, py bigint, z bigint, pz bigint")
+    return ordered.mapInArrow(run, "key bigint, x bigint, px bigint, y bigint, py bigint, z bigint, pz bigint")
 
 
 def matches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -205,13 +206,17 @@ def repeats(docs: DataFrame) -> DataFrame:
                  .select("row", "text"), "suffix-texts")
     first = stage(_extended(found.select("x", "px", "y", "py"), part), "suffix-matches")
     good = first.filter(F.col("size") >= LEAST)
-    # suffixes whose match with the first document is too short: the one before them
-    short = (first.filter(F.col("size") < LEAST).select("x", "y", "sx", "size")
-             .join(found.filter("z <> y").select("x", "y", "px", "z", "pz"), ["x", "y"])
-             .filter("px >= sx and px < sx + size")
-             .select("x", "px", F.col("z").alias("y"), F.col("pz").alias("py")))
-    second = stage(_extended(short, part), "suffix-matches").filter(F.col("size") >= LEAST)
+    # suffixes whose match with the first document is too short
+    short = stage(first.filter(F.col("size") < LEAST).select("x", "y", "sx", "size")
+                  .join(found, ["x", "y"]).filter("px >= sx and px < sx + size")
+                  .select("key", "x", "px", "y", "z", "pz"), "suffix-short")
+    heads = short.groupBy("key").agg(F.min(F.struct("x", "px")).alias("head"))
+    before = short.filter("z <> y").select("x", "px", F.col("z").alias("y"), F.col("pz").alias("py"))
+    again = short.join(heads, "key").select("x", "px", F.col("head.x").alias("y"), F.col("head.px").alias("py"))
+    second = stage(_extended(before.unionByName(again.filter("x <> y")).distinct(), part), "suffix-matches").filter(
+        F.col("size") >= LEAST)
     both = good.unionByName(second)
+    both = _later_first(both.select("x", "y", "sx", "sy", "size"), docs)
     cut = both.select(F.col("x").alias("row"), F.col("sx").alias("start"), "size", F.col("y").alias("other"),
                       F.lit(True).alias("removed"))
     left = both.select(F.col("y").alias("row"), F.col("sy").alias("start"), "size", F.col("y").alias("other"),
@@ -219,6 +224,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     return cut.unionByName(left).distinct()
 
 
+def _later_first(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The matches with x the later document by order and row."""
+    order = docs.select("row", "ord")
+    named = (found.join(order.select(F.col("row").alias("x"), F.col("ord").alias("ox")), "x")
+             .join(order.select(F.col("row").alias("y"), F.col("ord").alias("oy")), "y"))
+    swap = F.struct("ox", "x") < F.struct("oy", "y")
+    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+    return named.select(pick("x", "y", "x"), pick("y", "x", "y"), pick("sx", "sy", "sx"), pick("sy", "sx", "sy"), "size")
+
+
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (with ``row``) without the removed passages; a text without any is as it was."""
     spans = (found.filter("removed").groupBy("row")

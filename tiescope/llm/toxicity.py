@@ -21,7 +21,7 @@ from tiescope.llm import rows, words
 #: Hash space of the features: words, and beginnings of words of PREFIX bytes.
 FEATURE_BITS = 18
 PREFIX = 6
-#: Labelled documents at most that a model is fitted on, drawn by hash of their id.
+#: Labelled documents, about, that a model is fitted on, drawn by hash of their id.
 FIT_DOCUMENTS = 6_000
 #: Sentences with this score are reported.
 OFFENDING = 0.5
@@ -79,10 +79,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                     [part.column("label"), rows.list_array(features.astype(np.int32), at),
                      rows.list_array(local.astype(np.int32), at)], ["label", "features", "sentences"])
 
-    drawn = (labelled.filter(F.col(label).isin(0, 1))
-             .select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-                     F.xxhash64(F.col(key).cast("string"), F.lit("fit")).alias("draw"))
-             .orderBy("draw").limit(max_documents).select("text", "label"))
+    drawn = rows.drawn(labelled.filter(F.col(label).isin(0, 1)), key, max_documents).select(
+        F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     sample = drawn.mapInArrow(run, "label int, features array<int>, sentences array<int>").toArrow()
     y = sample.column("label").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
