@@ -1,20 +1,60 @@
-"""The corpus pipeline: documents through the filtering and packing operators."""
+"""The corpus pipeline: documents through the filtering and packing operators.
+
+Each stage takes what its predecessor kept, with the columns of documents,
+and gives the same columns, but for the last, which gives pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tiescope.llm import jaccard, linededup, suffixes
+from tiescope.llm.queries import judged, packed
 from tiescope.session import stage
 
-STAGES = []
 
-#: The packing stage tokenizes, which SQL can't express; tests/llm holds the rows against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the line model."""
+    return judged(spark, docs, sf_dir).filter("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines."""
+    cleaned = linededup.clean(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    others = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand in an earlier one."""
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    numbered = stage(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("ord", order), "pipeline-numbered")
+    found = suffixes.repeats(numbered.select("row", "ord", "text"))
+    cleaned = suffixes.remove(numbered, found).withColumn("n_chars", F.length("text").cast("bigint"))
+    return cleaned.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All tokens in sequences of 4,096."""
+    return packed(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages),
+          ("packing", packing)]
+
+#: Models, sketches and tokens are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
+    for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
