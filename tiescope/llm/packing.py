@@ -2,8 +2,8 @@
 
 Documents longer than a window give full windows and a tail. The tails'
 lengths, in steps of ``UNIT`` tokens, form a histogram. All combinations of
-at most three lengths that fill a window exactly are the columns of a least
-squares problem with non-negative repeat counts; the counts are rounded and
+three lengths that fill a window exactly, and those of one length repeated and
+one more, are the columns of a least squares problem with non-negative repeat counts; the counts are rounded and
 the tails dealt to them. What is left over is packed greedily: laid end to end
 and cut at the window's edge.
 
@@ -28,18 +28,29 @@ WINDOW = 4096
 UNIT = 8
 #: Rows of one group when rows are numbered in groups.
 GROUP_ROWS = 50_000
+#: Members at most of a combination that repeats one length.
+DEPTH = 32
 
 
-def combinations(units: int) -> np.ndarray:
-    """All a <= b <= c that add up to ``units``; 0 stands for no member."""
-    found = []
+def combinations(units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and their multiplicities of the combinations that fill ``units``.
+
+    All a <= b <= c, and k times a with one b for k up to DEPTH. Length 0
+    stands for no member.
+    """
+    lengths, times = [], []
     for a in range(units // 3 + 1):
-        b = np.arange(max(a, 0), (units - a) // 2 + 1)
-        found.append(np.stack([np.full(len(b), a), b, units - a - b], 1))
-    return np.concatenate(found)
+        b = np.arange(a, (units - a) // 2 + 1)
+        lengths.append(np.stack([np.full(len(b), a), b, units - a - b], 1))
+        times.append(np.ones((len(b), 3), np.int64))
+    for k in range(3, DEPTH + 1):
+        a = np.arange(1, units // k + 1)
+        lengths.append(np.stack([a, units - k * a, np.zeros_like(a)], 1))
+        times.append(np.tile([k, 1, 1], (len(a), 1)))
+    return np.concatenate(lengths), np.concatenate(times)
 
 
-def solve(histogram: np.ndarray, columns: np.ndarray, limit: int = 2000) -> np.ndarray:
+def solve(histogram: np.ndarray, columns: np.ndarray, times: np.ndarray, limit: int = 2000) -> np.ndarray:
     """Repeat counts x >= 0 of the columns, near to histogram = A x (active set method).
 
     ``histogram[k]`` is the number of tails of k units; entry 0 is ignored.
@@ -49,18 +60,19 @@ def solve(histogram: np.ndarray, columns: np.ndarray, limit: int = 2000) -> np.n
     x = np.zeros(len(columns))
     active: list[int] = []
     rest = target.copy()
-    dense = lambda picked: sum((np.arange(len(target)) == columns[picked, k][:, None] - 1) & (columns[picked, k] > 0)[:, None]
-                               for k in range(columns.shape[1])).astype(float)
+    norms = np.sqrt((times * times * (columns > 0)).sum(1))
     matrix = np.zeros((0, len(target)))
     for _ in range(limit):
         rest[-1] = 0
-        slope = rest[columns - 1].sum(1)
+        slope = (rest[columns - 1] * times).sum(1) / norms
         slope[active] = -1
         best = int(slope.argmax())
         if slope[best] < 1e-6:
             break
         active.append(best)
-        matrix = np.concatenate([matrix, dense([best])])
+        column = np.bincount((columns[best] - 1) % len(target), times[best], len(target))
+        column[-1] = 0
+        matrix = np.concatenate([matrix, column[None]])
         while True:
             gram = matrix @ matrix.T + 1e-9 * np.eye(len(active))
             wanted = np.linalg.solve(gram, matrix @ target)
@@ -84,15 +96,15 @@ def solve(histogram: np.ndarray, columns: np.ndarray, limit: int = 2000) -> np.n
 
 def plan(histogram: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(units, first rank, ranks, first sequence, slot) of the tails that whole combinations take."""
-    columns = combinations(len(histogram) - 1)
-    counts = solve(histogram, columns)
+    columns, times = combinations(len(histogram) - 1)
+    counts = solve(histogram, columns, times)
     used = np.zeros(len(histogram), np.int64)
     free = histogram.astype(np.int64).copy()
     out, sequence = [], 0
     for c in np.argsort(-counts, kind="stable"):
         if counts[c] < 0.5:
             break
-        members = [int(u) for u in columns[c] if u]
+        members = [int(u) for u, m in zip(columns[c], times[c]) for _ in range(m) if u]
         n = min([int(round(counts[c]))] + [int(free[u]) // members.count(u) for u in members])
         if n <= 0:
             continue
