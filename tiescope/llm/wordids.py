@@ -1,7 +1,9 @@
 """Token ids of a vocabulary that drops white space and never crosses it.
 
-As in ``pieces``, each task tokenizes every distinct word once with the
-library and puts the ids back by position.
+As in ``pieces``, each task tokenizes every distinct word once and puts the
+ids back by position. A new word of Latin letters is looked up by its parts
+(letters, single digits, marks), of which there are far fewer than words; the
+library tokenizes new parts, and words of any other kind, whole.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame
 
 from tiescope.llm import rows
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 700_000
 KEPT_CHARS = 64
 #: White space of str.split that vocabularies take as ordinary characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _ASCII_SPACE = re.compile("[\x09-\x0d ]+")
+#: Words whose parts are tokenized on their own: lower case maps each character to one of the same kind.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _tables: dict[str, "WordTable"] = {}
 
 
@@ -35,6 +40,30 @@ class WordTable:
             if self.ids_of([probe])[0] != b"".join(self.ids_of(["a", "b"])):
                 raise ValueError("white space is part of this vocabulary's tokens")
         self.ids: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        probe = ["Don't", "It'LL", "a1b22c", "Größe,«x»", "'sé", "À-la", "x''s!?", "#$%ab"]
+        self.by_parts = all(a == b for a, b in zip(self.ids_of(probe), self.joined(probe)))
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words from the ids of their parts."""
+        split = [_PARTS.findall(word.lower()) for word in words]
+        new = sorted(set().union(*split) - self.parts.keys())
+        if len(self.parts) + len(new) > TABLE_WORDS:
+            self.parts.clear()
+            new = sorted(set().union(*split))
+        for k in range(0, len(new), 4096):
+            self.parts.update(zip(new[k:k + 4096], self.at_once(new[k:k + 4096])))
+        return [b"".join(map(self.parts.__getitem__, part)) for part in split]
+
+    def at_once(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts from one call: the library numbers the words of a line."""
+        line = self.library.encode(" ".join(parts), add_special_tokens=False)
+        number = np.array(line.word_ids, np.int64)
+        if not len(number) or number[-1] + 1 != len(parts):
+            return self.ids_of(parts)
+        cuts = np.searchsorted(number, np.arange(len(parts) + 1)) * 4
+        data = np.array(line.ids, np.int32).tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes()
@@ -55,7 +84,10 @@ class WordTable:
             self.ids.clear()
             new = set().union(*parts)
         fresh = sorted(new)
-        self.ids.update(zip(fresh, self.ids_of(fresh)))
+        plain = [w for w in fresh if self.by_parts and _PLAIN.fullmatch(w) and "<|" not in w]
+        self.ids.update(zip(plain, self.joined(plain)))
+        odd = [w for w in fresh if w not in self.ids]
+        self.ids.update(zip(odd, self.ids_of(odd)))
         out = [b"".join(map(self.ids.__getitem__, part)) + last for part in parts]
         for word in fresh:
             if len(word) > KEPT_CHARS:
