@@ -329,6 +329,60 @@ def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
     return members.select("key", "s", "c").join(open_keys, "key")
 
 
+def _mask(values: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashes of the values of the only column, a 64-bit number."""
+    name = values.columns[0]
+    place = F.col(name).bitwiseAND((1 << FILTER_BITS) - 1)
+    found = (values.select((place / 64).cast("int").alias("w"), F.expr(
+        f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("b"))
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** FILTER_BITS / 64 rows
+    mask = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    mask[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return mask
+
+
+def _in_mask(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & (1 << FILTER_BITS) - 1
+    return (mask[place >> 6] >> (place & 63) & 1).astype(bool)
+
+
+class Sets:
+    """Shingles of the sets that were candidates so far, in the shared folder."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.parts, self.names = docs, [], None
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The staged pairs (a, b) whose sets link; sets that aren't held yet are made from the texts."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        if self.names is not None:
+            wanted = wanted.join(self.names, "s", "left_anti")
+        wanted = stage(wanted, "jaccard-names")
+        if not wanted.isEmpty():
+            mask = self.docs.sparkSession.sparkContext.broadcast(_mask(wanted))
+
+            def make(token, begin, names):
+                good = np.flatnonzero(_in_mask(mask.value, names))
+                size = np.diff(begin)[good]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(names[good]), rows.list_array(
+                        token[rows.ragged(begin[good], size)].astype(np.int64), np.concatenate([[0], np.cumsum(size)]))],
+                    ["s", "tokens"])
+
+            self.parts.append(stage(_each_set(self.docs, make, "s bigint, tokens array<bigint>"), "jaccard-sets"))
+            self.names = wanted if self.names is None else stage(self.names.unionByName(wanted), "jaccard-names")
+        held = self.parts[0]
+        for part in self.parts[1:]:
+            held = held.unionByName(part)
+        return verified(pairs, held).distinct()  # a set may come from several tasks
+
+
+def _linked(label: DataFrame, pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The labels once the pairs' true links are merged."""
+    pairs = stage(pairs, "jaccard-pairs")
+    return label if pairs.isEmpty() else _merge(label, sets.verified(pairs))
+
+
 def components(described: DataFrame, docs: DataFrame) -> DataFrame:
     """(s, c): each set that has a link, and the smallest name of the sets that links reach from it.
 
@@ -336,86 +390,67 @@ def components(described: DataFrame, docs: DataFrame) -> DataFrame:
     """
     sizes = stage(described.filter("n_shingles > 0").groupBy("s").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sizes")
+    sets = Sets(docs)
     shared = stage(_shared(_sorted(_each_set(docs, _emit, "key bigint, s bigint"))), "jaccard-shared")
-    wanted = shared.select("s").distinct()
-    # sets of those documents: a fixed-size filter first, then the exact join
-    cell = F.pmod(F.xxhash64("s"), F.lit(1 << FILTER_BITS))
-    words_set = (wanted.select((cell / 64).cast("int").alias("w"), F.expr(
-        f"shiftleft(1L, cast(pmod(xxhash64(s), {1 << FILTER_BITS}) % 64 as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** 22 / 64 rows
-    mask = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    mask[words_set.column("w").to_numpy()] = words_set.column("b").to_numpy()
-    shared_mask = docs.sparkSession.sparkContext.broadcast(mask)
-    held = _each_set(docs, lambda token, begin, names: pa.RecordBatch.from_arrays(
-        [pa.array(names), rows.list_array(token.astype(np.int64), begin)], ["s", "tokens"]),
-        "s bigint, tokens array<bigint>")
-
-    def in_mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("cell").to_numpy()
-            good = shared_mask.value[at >> 6] >> (at & 63) & 1
-            yield batch.select(["s", "tokens"]).filter(pa.array(good.astype(bool)))
+    label = stage(shared.select("s").distinct().select("s", F.col("s").alias("c")), "jaccard-labels")
 
-    held = (held.withColumn("cell", cell).mapInArrow(in_mask, "s bigint, tokens array<bigint>")
-            .join(wanted, "s", "left_semi"))
-    sets = stage(held.groupBy("s").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
-    label = stage(wanted.select("s", F.col("s").alias("c")), "jaccard-labels")
-
-    # first pass: to the heads of some blocks, for each set the two it shares most with
+    # first pass: to the heads of some blocks, for each set the one it shares most with and the smallest
     voted = (shared.filter((F.col("key") % FIRST_PASS == 0) & (F.col("head") != F.col("s")))
              .groupBy("head", "s").count()
              .groupBy("s").agg(F.max(F.struct("count", "head")).alias("top"),
                                F.min(F.struct("head", "count")).alias("low"))
              .select("s", F.explode(F.array_distinct(F.array("top.head", "low.head"))).alias("a"))
              .select("a", F.col("s").alias("b")))
-    label = _merge(label, verified(pruned(voted, sizes), sets))
+    label = _linked(label, pruned(voted, sizes), sets)
 
+    members = shared.select("key", "s")
     for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1
-        unsettled = stage(_unsettled(shared, label), "jaccard-open")
-        if unsettled.isEmpty():
-            return label
-        few = unsettled.join(sizes, "s")
-        label = _merge(label, verified(stage(_open_pairs(few), "jaccard-pairs"), sets))
-        crowded = stage(_unsettled(shared, label).filter(F.col("many") > FULL_BLOCK), "jaccard-crowded")
+        members = stage(_unsettled(members, label), "jaccard-open")
+        if members.isEmpty():
+            break
+        label = _linked(label, _open_pairs(members.join(sizes, "s")), sets)
+        crowded = members.filter(F.col("many") > FULL_BLOCK).select("key", "s")
+        crowded = stage(_unsettled(crowded, label), "jaccard-crowded")
         if crowded.isEmpty():
-            return label
-        # to the first sets of the components of each crowded block
+            break
+        # to two sets of each crowded block
         heads = crowded.groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("z"))
         tried = crowded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("s").alias("b"))
-        label = _merge(label, verified(pruned(tried.filter("a <> b").distinct(), sizes), sets))
-        crowded = _unsettled(shared, label).filter(F.col("many") > FULL_BLOCK)
-        if last:
-            label = _merge(label, verified(stage(_all_pairs(crowded, sizes), "jaccard-pairs"), sets))
+        label = _linked(label, pruned(tried.filter("a <> b").distinct(), sizes), sets)
+        crowded = stage(_unsettled(crowded.select("key", "s"), label), "jaccard-crowded")
+        if crowded.isEmpty():
+            break
+        if turn == ROUNDS - 1:
+            label = _linked(label, _all_pairs(crowded, sizes), sets)
         else:
-            shared = stage(_again(crowded, shared, sets), "jaccard-shared")
+            members = stage(_again(crowded, docs), "jaccard-shared").select("key", "s")
+            # blocks of few sets may have grown while others were taken back: all of them are looked at
     return label
 
 
-def _again(crowded: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Blocks that the sets of crowded blocks share once those blocks are last in the order."""
-    crowded = stage(crowded.select("key", "s"), "jaccard-crowded")
-    worst = crowded.select("key").distinct()
+def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
+    """Blocks that the sets of crowded blocks share once those blocks are last in the order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("tokens")
-            begin = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            key, owner, rank, limit = block_keys(column.flatten().to_numpy().astype(np.uint64), begin)
-            names = batch.column("s").to_numpy()
-            # bands and shingle keys are lists of their own, each with its limit
-            lists = np.cumsum(np.append(True, (rank[1:] == 0)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[owner]), pa.array(lists), pa.array(limit)],
-                                             ["key", "s", "list", "most"])
+    Both are told by bitmaps. That more blocks are put last, or more sets
+    emit, than need be does no harm: the order is the same for all sets.
+    """
+    context = docs.sparkSession.sparkContext
+    worst = context.broadcast(_mask(crowded.select("key").distinct()))
+    named = context.broadcast(_mask(crowded.select("s").distinct()))
 
-    schema = "key bigint, s bigint, list bigint, most bigint"
-    every = sets.join(crowded.select("s").distinct(), "s", "left_semi").mapInArrow(run, schema)
-    every = every.join(worst.withColumn("worst", F.lit(1)), "key", "left").withColumn("worst", F.coalesce("worst", F.lit(0)))
-    from pyspark.sql import Window
+    def make(token, begin, names):
+        good = np.flatnonzero(_in_mask(named.value, names))
+        size = np.diff(begin)[good]
+        token = token[rows.ragged(begin[good], size)]
+        key, owner, rank, limit = block_keys(token, np.concatenate([[0], np.cumsum(size)]))
+        # one list for each band of a set and for its shingles; ranks begin anew in each
+        piece = np.cumsum(rank == 0)
+        order = np.lexsort((key, _in_mask(worst.value, key), piece))
+        place = np.arange(len(key)) - np.searchsorted(piece, piece)
+        first = order[place < limit[order]]
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(names[good][owner[first]])], ["key", "s"])
 
-    order = Window.partitionBy("s", "list").orderBy("worst", "key")
-    first = every.withColumn("rank", F.row_number().over(order)).filter("rank <= most").select("key", "s")
-    return _shared(_sorted(first))
+    return _shared(_sorted(_each_set(docs, make, "key bigint, s bigint")))
 
 
 def _all_pairs(crowded: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -424,10 +459,13 @@ def _all_pairs(crowded: DataFrame, sizes: DataFrame) -> DataFrame:
     Members are dealt to cells of FULL_BLOCK sets; each pair of cells of a block is one group.
     """
     cells = F.ceil(F.col("many") / FULL_BLOCK).cast("int")
-    member = crowded.join(sizes, "s").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("s"), F.col("cells")).cast("int"))
-    spread = member.select("key", "s", "c", "n", "sketch", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("o"))
-    spread = spread.withColumn("low", F.least("cell", "o")).withColumn("high", F.greatest("cell", "o"))
-    grouped = spread.select(F.xxhash64("key", "low", "high").alias("key"), "s", "c", "n", "sketch", F.lit(1).alias("many"))
+    member = crowded.join(sizes, "s").withColumn("cells", cells).withColumn(
+        "cell", F.pmod(F.xxhash64("s"), F.col("cells")).cast("int"))
+    spread = member.select("key", "s", "c", "n", "sketch", "cell",
+                           F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    grouped = spread.select(
+        F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("key"),
+        "s", "c", "n", "sketch", F.lit(1).alias("many"))
     return _open_pairs(grouped.distinct())
 
 
