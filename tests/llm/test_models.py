@@ -1,0 +1,248 @@
+"""Toxicity, language, line quality, packing, nearest neighbours."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tiescope.llm import ann, language, linequality, packing, queries, toxicity
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def toxic_rows(n=400):
+    draw = random.Random(1)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(n):
+        sentences = [" ".join(draw.choices(words, k=8)) + "." for _ in range(6)]
+        if k % 4 == 0:
+            sentences[2] = " ".join(draw.choices(words, k=3) + [draw.choice(["vile", "awful"])]) + "!"
+        rows.append((k, "\n".join(sentences), int(k % 4 == 0)))
+    return rows
+
+
+def test_toxicity_from_document_labels(spark):
+    df = spark.createDataFrame(toxic_rows(), "doc_id long, text string, label int").withColumnRenamed("x", "x")
+    model = toxicity.fit(df.filter("doc_id < 300"))
+    found = toxicity.score(df, model).filter("doc_id >= 300").collect()
+    assert all((r.score >= 0.5) == bool(r.label) for r in found)
+    for r in found:  # the sentence that carries the label is found
+        spots = [r.text[s.start:].split("\n")[0] for s in r.offending]
+        assert len(spots) == r.label and all("vile" in s or "awful" in s for s in spots)
+
+
+def test_toxicity_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, "a"), (None, "", "a"), (2, "...", "a"), (3, "x " * 30000, "a")],
+                               "doc_id long, text string, offending string")
+    model = toxicity.fit(spark.createDataFrame(toxic_rows(), "doc_id long, text string, label int"))
+    found = toxicity.score(df, model).collect()
+    assert [r.score for r in found][:3] == [0, 0, 0] and all(0 <= r.score <= 1 for r in found)
+    none = df.selectExpr("doc_id", "text", "1 as label")
+    assert toxicity.score(df, toxicity.fit(none.filter("doc_id = 9"))).count() == 4
+    assert {r.score for r in toxicity.score(df, toxicity.fit(none)).filter("doc_id = 3").collect()} == {1.0}
+
+
+def test_toxicity_and_language_held_out(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    found = queries.op3_toxicity(spark, SF).collect()
+    held = [r for r in found if r.held_out and r.doc_id in labels]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.8
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op4_language(spark, SF).collect()
+    assert len(found) == len(langs)
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in found if r.held_out]) > 0.97
+
+
+def test_profiles_by_hand(spark):
+    rows = [("ab ab", "x"), ("ab", "x"), ("ÇD cd", "y"), (None, "y"), ("zz", None)]
+    found = language.profiles(spark.createDataFrame(rows, "text string, lang string")).collect()
+    counts = collections.Counter()
+    for text in ("ab ab", "ab"):
+        for word in text.split():
+            padded = f" {word} "
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    gram = padded[k:k + n]
+                    if n == 1 and gram == " ":
+                        continue
+                    counts[gram] += 1
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    expected = sorted(counts, key=lambda g: (-counts[g], code(g)))
+    assert [r.gram for r in sorted(found, key=lambda r: r.rank) if r.lang == "x"] == [code(g) for g in expected]
+    assert {r.lang for r in found} == {"x", "y"}
+
+
+def test_language_of_odd_rows(spark):
+    profile = language.profiles(spark.createDataFrame([("the cat", "en"), ("der hund", "de")], "text string, lang string"))
+    rows = [(1, None), (2, ""), (3, "123 !"), (4, "the"), (4, "the"), (None, "hund"), (5, "der " * 20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.lang_pred) for r in language.predict(df, profile).collect()]
+    assert found == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de"), (5, "de")]
+    assert {r.lang_pred for r in language.predict(df, profile.filter("rank < 0")).collect()} == {"und"}
+    assert language.predict(df.filter("doc_id = 9"), profile).count() == 0
+
+
+def base(text):
+    words = WORD.findall(text or "")
+    windows = collections.Counter(zip(words, words[1:], words[2:]))
+    repeated = set()
+    for k in range(len(words) - 2):
+        if windows[tuple(words[k:k + 3])] > 1:
+            repeated |= {k, k + 1, k + 2}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    return (len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"),
+            len(lines) - len(set(lines)), len(repeated))
+
+
+def test_base_counts(spark):
+    draw = random.Random(6)
+    parts = ["a", "b c", "é#", "\n", "\n\n", " ", "\t", "|x|", "z\x0b", "a b c", " ", "中 "]
+    made = ["".join(draw.choices(parts, k=draw.randint(0, 60))) for _ in range(200)] + [None, "", " \n ", "w " * 20000]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    model = linequality.fit(df.selectExpr("doc_id", "text", "1 as label"))  # one class: all lines are content
+    for r in linequality.judge(df, model).collect():
+        n = base(made[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        assert r.kept == (not r.base_failed)
+    assert linequality.judge(df.filter("doc_id < 0"), model).count() == 0
+
+
+def test_viterbi_and_gradient():
+    """Decoding and marginals against all markings of short sequences."""
+    import itertools
+
+    draw = np.random.default_rng(0)
+    model = linequality.Model(np.zeros(1), draw.normal(size=(2, 2)), draw.normal(size=2))
+    lengths = np.array([1, 4, 2, 5])
+    begin = np.cumsum(lengths) - lengths
+    scores = draw.normal(size=lengths.sum())
+    marks = linequality.viterbi(model, scores, begin, lengths)
+    chance, _, _ = linequality._expected(model, scores, begin, lengths)
+    for b, n in zip(begin, lengths):
+        value = {}
+        for way in itertools.product((0, 1), repeat=int(n)):
+            value[way] = (model.first[way[0]] + sum(model.steps[x, y] for x, y in zip(way, way[1:]))
+                          + sum(scores[b + k] * way[k] for k in range(n)))
+        assert tuple(marks[b:b + n]) == max(value, key=value.get)
+        total = sum(map(np.exp, value.values()))
+        for k in range(n):
+            assert np.isclose(chance[b + k], sum(np.exp(v) for w, v in value.items() if w[k]) / total)
+
+
+def test_quality_keeps_clean_documents(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    found = [r for r in queries.op10_line_quality(spark, SF).collect() if r.doc_id in labels and not r.base_failed]
+    assert np.mean([r.kept for r in found if labels[r.doc_id] == 1]) > 0.99
+    assert np.mean([r.kept for r in found if labels[r.doc_id] == 0]) < 0.3
+
+
+def test_least_squares_plan():
+    draw = np.random.default_rng(1)
+    histogram = np.bincount(np.ceil(np.clip(draw.lognormal(4, 1, 20000), 1, 511) / 8).astype(int), minlength=65)
+    histogram[0] = 0
+    taken = packing.plan(histogram)
+    used, filled = collections.Counter(), collections.Counter()
+    for units, first, n, sequence, _ in taken:
+        assert first == used[units]
+        used[units] += n
+        filled[sequence] += units
+    assert all(v == 64 for v in filled.values())
+    assert all(used[u] <= histogram[u] for u in used) and sum(used.values()) > 0.9 * histogram.sum()
+
+
+@pytest.mark.parametrize("lengths", [[], [1], [4096, 4096, 1], [9000, 0, 5, 4095, 3000, 3000], list(range(1, 400))])
+def test_pieces_tile(spark, lengths):
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "row long, n long")
+    pieces = packing.pack(df).collect()
+    of, inside = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        of[p.row].append((p.start, p.length))
+        inside[p.sequence_id].append((p.offset, p.length))
+    for own, n in [(of[k], n) for k, n in enumerate(lengths)] + [(v, None) for v in inside.values()]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at and length > 0
+            at += length
+        assert at == n if n is not None else at <= 4096
+
+
+def test_packing_query(spark):
+    library = Tokenizer.from_file(public_tokenizers.path(queries.WORDS))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op8_packing(spark, SF).toPandas()
+    for doc, own in found.groupby("doc_id"):
+        ids = np.array(library.encode(texts[doc], add_special_tokens=False).ids + [2], "<u4")
+        for p in own.itertuples():
+            assert p.ids_crc32 == zlib.crc32(ids[p.start:p.start + p.length].tobytes()) and p.doc_tokens == len(ids)
+    assert set(found.doc_id) == set(texts)
+    assert 1 - found["length"].sum() / (4096 * found.sequence_id.nunique()) < 0.02
+
+
+def nearest(rows, k):
+    good = {i: np.array(v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    out = {}
+    for q in good:
+        if q % 50 == 0:
+            cos = lambda i: float(good[i] @ good[q] / (np.sqrt(good[i] @ good[i]) * np.sqrt(good[q] @ good[q])))
+            out[q] = sorted(((-cos(i), i) for i in good if i != q))[:k]
+    return out
+
+
+def test_nearest(spark):
+    draw = np.random.default_rng(5)
+    rows = [(k, draw.normal(size=20).tolist()) for k in range(600)]
+    rows += [(k, [1.0] * 20) for k in range(600, 900)]  # a third are equal
+    rows += [(1000, None), (1001, [0.0] * 20), (1050, [None] * 20), (1100, [float("nan")] * 20), (None, [1.0] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumnRenamed("x", "y")
+    found = ann.search(df, df.filter("vec_id % 50 = 0")).collect()
+    expected = nearest(rows, 5)
+    got = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(expected)
+    hits = [len({i for i, _ in got[q]} & {i for _, i in expected[q]}) for q in expected]
+    assert np.mean(hits) >= 4.5
+    assert [i for i, _ in got[600]] == [601, 602, 603, 604, 605]
+    for q, own in got.items():
+        truth = {i: -s for s, i in nearest(rows, 10 ** 6)[q]}
+        assert all(abs(truth[i] - s) < 1e-12 for i, s in own)
+    assert ann.search(df.filter("vec_id < 0"), df).count() == 0
+    assert ann.search(df.filter("vec_id in (0, 1)"), df.filter("vec_id = 0")).count() == 1
+
+
+def test_recall(spark):
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    expected = nearest(rows, 5)
+    got = collections.defaultdict(set)
+    for r in queries.op1_nearest(spark, SF).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean([len(got[q] & {i for _, i in expected[q]}) / 5 for q in expected]) >= 0.9
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage on what its predecessor kept; odd rows don't stop it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10 ** 9, "", "en", "s", 0)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = []
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        target = f"{tmp_path}/{name}"
+        function(spark, current, str(tmp_path)).write.parquet(target)
+        assert spark.read.parquet(target).columns == docs.columns
+        current = spark.read.parquet(target)
+        counts.append(current.count())
+    assert counts == sorted(counts, reverse=True) and counts[1] == counts[0] > 500 and counts[3] == counts[2]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path))
+    assert pieces.select("doc_id").distinct().count() == counts[3]
