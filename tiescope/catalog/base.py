@@ -76,7 +76,7 @@ c2 AS (SELECT * FROM co WHERE time_bin >= 240 AND time_bin < 480),
 c3 AS (SELECT * FROM co WHERE time_bin >= 480 AND time_bin < 720),
 apps AS (SELECT event_id AS id, user_id AS useruuid, event_type || '_' || (k % 7) AS package_name,
                 s0, s0 + (event_id % 30 + 1) * 60 AS s1 FROM ev),
-people AS (SELECT user_id AS useruuid, CASE WHEN user_id % 2 = 0 THEN 'MALE' ELSE 'FEMALE' END AS gender,
+people AS (SELECT user_id AS useruuid, CASE WHEN user_id % 13 = 5 THEN NULL WHEN user_id % 2 = 0 THEN 'MALE' ELSE 'FEMALE' END AS gender,
                   CASE WHEN user_id % 11 = 0 THEN DATE '1980-12-01'
                        ELSE DATE '1960-01-01' + CAST((user_id * 7919) % 18000 AS INTEGER) END AS birthdate
            FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 7 <> 0)),
@@ -92,6 +92,13 @@ days AS (SELECT CAST(range AS BIGINT) AS d, strftime(DATE '2024-01-01' + CAST(ra
 """
 
 
+#: Updates that met user 7.
+MET_SQL = """own AS (SELECT DISTINCT spatial_bin, time_bins AS own_bins FROM binned WHERE useruuid = 7),
+met AS (SELECT b.id, b.useruuid, b.spatial_bin, b.time_bins, o.own_bins, b.longitude, b.latitude
+        FROM binned b JOIN own o ON b.spatial_bin = o.spatial_bin
+        WHERE b.useruuid <> 7 AND list_has_any(b.time_bins, o.own_bins))"""
+
+
 def sql(select: str, tables: str = "", recursive: bool = False) -> str:
     """A query over the shared tables and, optionally, further named ones."""
     more = f",\n{tables}" if tables else ""

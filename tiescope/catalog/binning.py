@@ -46,8 +46,10 @@ def slots(t: Inputs):
         binning.slots_of_day(F.col("start_time"), F.col("end_time"), 15)).alias("slot"))
 
 
-SLOT_SQL = """slots AS (SELECT id, package_name, s0, unnest(range(
-  ((s0 % 86400) // 60) // 15, CAST(ceil(((s1 % 86400) // 60) / 15.0) AS BIGINT))) AS slot FROM apps)"""
+SLOT_SQL = """clocks AS (SELECT *, (s0 % 86400) // 60 AS m0, (s1 % 86400) // 60 AS m1 FROM apps),
+slots AS (SELECT id, package_name, s0, unnest(CASE WHEN m1 < m0
+  THEN list_distinct(range(m0 // 15, 96) || range(0, CAST(ceil(m1 / 15.0) AS BIGINT)))
+  ELSE range(m0 // 15, CAST(ceil(m1 / 15.0) AS BIGINT)) END) AS slot FROM clocks)"""
 
 
 def aliases(t: Inputs):

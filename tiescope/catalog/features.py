@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tiescope.catalog.base import Query, r6, sql
@@ -62,16 +64,27 @@ act AS (SELECT useruuid, count(*) AS presences, count(DISTINCT time_bin) AS bins
 spec AS (SELECT user1, user2, num_coocs / (a.presences + b.presences) AS specificity, num_coocs / (a.bins + b.bins) AS of_bins
    FROM place JOIN act a ON a.useruuid = user1 JOIN act b ON b.useruuid = user2),
 known AS (SELECT * FROM aged WHERE age > 16 AND age < 100 AND birthdate NOT IN (DATE '1980-12-01', DATE '1981-01-01', DATE '1990-01-01')),
-sim AS (SELECT user1, user2, a.age IS NULL OR b.age IS NULL AS unk, abs(a.age - b.age) <= 6 AS near, a.gender = b.gender AS same
+sim AS (SELECT user1, user2, a.age IS NULL OR b.age IS NULL AS unk, abs(a.age - b.age) <= 6 AS near,
+   a.gender IS NOT DISTINCT FROM b.gender AS same, a.useruuid IS NULL OR b.useruuid IS NULL AS absent
    FROM dy LEFT JOIN known a ON a.useruuid = user1 LEFT JOIN known b ON b.useruuid = user2),
 similar_ AS (SELECT user1, user2, CAST(NOT unk AND NOT near AS BIGINT) AS age_far, CAST(NOT unk AND near AS BIGINT) AS age_near,
-   CAST(unk AS BIGINT) AS age_unknown, CAST(NOT unk AND NOT same AS BIGINT) AS gender_differs,
-   CAST(NOT unk AND same AS BIGINT) AS gender_same, CAST(unk AS BIGINT) AS gender_unknown FROM sim),
+   CAST(unk AS BIGINT) AS age_unknown, CAST(NOT absent AND NOT same AS BIGINT) AS gender_differs,
+   CAST(NOT absent AND same AS BIGINT) AS gender_same, CAST(absent AS BIGINT) AS gender_unknown FROM sim),
 met_again AS (SELECT DISTINCT user1, user2, 1 AS m FROM c2),
 full_ AS (SELECT * FROM place JOIN crowd USING (user1, user2) JOIN timed USING (user1, user2) JOIN travels USING (user1, user2)
    JOIN mut USING (user1, user2) JOIN jac USING (user1, user2) JOIN spec USING (user1, user2) JOIN similar_ USING (user1, user2)
    LEFT JOIN met_again USING (user1, user2))"""
 
+
+
+def parts(first: int) -> str:
+    """PARTS for the pairs of another period and the labels of the one after it."""
+    moved = re.sub(r"\bc2\b", f"c{first + 1}", PARTS)
+    moved = re.sub(r"\b([cp])1\b", rf"\g<1>{first}", moved)
+    return moved.replace(">= 0 AND floor(s1 / 3600.0) < 240",
+                         f">= {240 * (first - 1)} AND floor(s1 / 3600.0) < {240 * first}")
+
+
 DOUBLES = {"arr_leav", "diversity", "weighted_frequency", "coocs_w", "mutual", "app_jaccard", "specificity"}
 ALL_SQL = ", ".join(f"{r6(name)} AS {name}" if name in DOUBLES else name for name in features.FEATURES)
 
@@ -103,7 +116,7 @@ def times(name: str):
 
 
 def similarity(t: Inputs):
-    known = plausible_people(t.people).select("useruuid", "age", "gender")
+    known = plausible_people(t.people).select("useruuid", "age", "gender", F.lit(True).alias("listed"))
     return attach_both(dyads(plain(t)), known).withColumns(features.similarity_columns())
 
 
@@ -121,6 +134,22 @@ def specificity(activity: str):
     return build
 
 
+def dataset(t: Inputs, half: int, share: float | None):
+    """Train (0) or test (1) set, of all users or of those seen in a share of the bins."""
+    return build_dataset(t.locations, CONFIG, PERIODS, t.apps, t.people, share=share)[half]
+
+
+OFTEN_SQL = """
+occ AS (SELECT useruuid, time_bin // 240 AS p, count(DISTINCT time_bin) AS n FROM pr WHERE time_bin BETWEEN 0 AND 719 GROUP BY ALL),
+often AS (SELECT useruuid FROM occ GROUP BY 1 HAVING count(*) = 3 AND min(n) / 240.0 >= 0.2)"""
+
+
+def dataset_sql(half: int, filtered: bool) -> str:
+    often = " WHERE user1 IN (SELECT useruuid FROM often) AND user2 IN (SELECT useruuid FROM often)" if filtered else ""
+    return sql(f"SELECT user1, user2, {ALL_SQL}, saturday_nights, CAST(coalesce(m, 0) AS BIGINT) AS label FROM full_{often}",
+               f"{parts(half + 1)},{OFTEN_SQL}")
+
+
 def whole_table(t: Inputs):
     return features.labelled_features(t.presence, CONFIG, PERIODS[0], PERIODS[1],
                                       apps=t.apps, demographics=t.people)
@@ -179,10 +208,8 @@ QUERIES = {
     "i22_feature_subset": Query(lambda t: features.select_features(whole_table(t), [7, 3, 2, "mutual"]), sql(
         f"""SELECT user1, user2, CAST(coalesce(m, 0) AS BIGINT) AS label, num_coocs, unique_coocs, {r6('diversity')} AS diversity,
  {r6('mutual')} AS mutual FROM full_""", PARTS)),
-    "k11_build_dataset": Query(
-        lambda t: build_dataset(t.locations, CONFIG, PERIODS, t.apps, t.people, share=0.2)[0], sql(
-        f"""SELECT user1, user2, {ALL_SQL}, saturday_nights, CAST(coalesce(m, 0) AS BIGINT) AS label FROM full_
- WHERE user1 IN (SELECT useruuid FROM often) AND user2 IN (SELECT useruuid FROM often)""", PARTS + """,
-occ AS (SELECT useruuid, time_bin // 240 AS p, count(DISTINCT time_bin) AS n FROM pr WHERE time_bin BETWEEN 0 AND 719 GROUP BY ALL),
-often AS (SELECT useruuid FROM occ GROUP BY 1 HAVING count(*) = 3 AND min(n) / 240.0 >= 0.2)""")),
+    "k11_build_dataset": Query(lambda t: dataset(t, 0, 0.2), dataset_sql(0, True)),
+    "k11_test_set": Query(lambda t: dataset(t, 1, 0.2), dataset_sql(1, True)),
+    "k11_all_train": Query(lambda t: dataset(t, 0, None), dataset_sql(0, False)),
+    "k11_all_test": Query(lambda t: dataset(t, 1, None), dataset_sql(1, False)),
 }

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tiescope.catalog.base import Query, r6, sql
-from tiescope.catalog.sources import MET_SQL
+from tiescope.catalog.base import MET_SQL, Query, r6, sql
 from tiescope.operators import cleaning, pairing
 from tiescope.operators.presence import CELL, cell_population, location_entropy
 from tiescope.plans.inputs import CONFIG, Inputs

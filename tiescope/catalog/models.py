@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from tiescope.catalog.base import Query, r6, sql
 from tiescope.ml import metrics, models
+from tiescope.operators import sampling
 from tiescope.operators.features import CORE_FEATURES, place_features
 from tiescope.operators.pairing import co_occurrences, met_next
 from tiescope.plans.dataset import build_dataset
 from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 from tiescope.session import stage
 
-TREES = 20
+#: Pairs, about, that a forest is fitted on, drawn by their ids; trees and draws are whole.
+FIT_ROWS = 20_000
+SEARCH_ROWS = 2_000
 
 
 def both_sets(t: Inputs):
@@ -25,7 +28,7 @@ def both_sets(t: Inputs):
 
 
 def train_set(t: Inputs):
-    return stage(build_dataset(t.locations, CONFIG, PERIODS)[0], "train")
+    return stage(build_dataset(t.locations, CONFIG, PERIODS)[0], "train")  # the test half stays unplanned
 
 
 def scores(model, table):
@@ -35,11 +38,26 @@ def scores(model, table):
 
 def baseline(t: Inputs):
     train, test = both_sets(t)
-    return scores(models.fit_baseline(train), test)
+    return scores(models.fit_baseline(train), test).withColumn("score", F.round("score", 4))
+
+
+def two_level_sql(select: str) -> str:
+    """On one 0/1 feature with balanced classes the fit has a closed form: the share of class 1 at each value."""
+    sets = ",\n".join(f"""{name} AS (SELECT user1, user2, x, CAST(m IS NOT NULL AS BIGINT) AS label FROM
+ (SELECT user1, user2, CAST(count(DISTINCT spatial_bin) >= 2 AS BIGINT) AS x FROM c{first} GROUP BY ALL)
+ LEFT JOIN (SELECT DISTINCT user1, user2, 1 AS m FROM c{first + 1}) USING (user1, user2))"""
+                       for name, first in (("train_", 1), ("test_", 2)))
+    return sql(select, sets + """,
+rates AS (SELECT x, count(*) FILTER (label = 1) / (SELECT count(*) FILTER (label = 1) FROM train_)::DOUBLE AS r1,
+ count(*) FILTER (label = 0) / (SELECT count(*) FILTER (label = 0) FROM train_)::DOUBLE AS r0 FROM train_ GROUP BY 1),
+scored_ AS (SELECT user1, user2, label, CAST(r1 > r0 AS BIGINT) AS prediction, r1 / (r1 + r0) AS score FROM test_ JOIN rates USING (x)),
+points_ AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg, sum(pos) OVER () AS p, sum(neg) OVER () AS n,
+ row_number() OVER w AS place FROM (SELECT score, count(*) FILTER (label = 1)::DOUBLE AS pos, count(*) FILTER (label = 0)::DOUBLE AS neg
+ FROM scored_ GROUP BY 1) WINDOW w AS (ORDER BY score DESC))""")
 
 
 def forest_model(table):
-    return models.fit_forest(table, CORE_FEATURES, trees=TREES)
+    return models.fit_forest(sampling.drawn_pairs(table, FIT_ROWS), CORE_FEATURES)
 
 
 def forest(t: Inputs):
@@ -49,12 +67,12 @@ def forest(t: Inputs):
 
 def scaled_forest(t: Inputs):
     train, test = both_sets(t)
-    return scores(models.fit_forest(train, CORE_FEATURES, trees=TREES, scaled=True), test)
+    return scores(models.fit_forest(sampling.drawn_pairs(train, FIT_ROWS), CORE_FEATURES, scaled=True), test)
 
 
 def search(t: Inputs):
     """Mean ROC AUC of every drawn setting."""
-    found = models.search_forest(train_set(t), CORE_FEATURES, draws=4, trees=5)
+    found = models.search_forest(sampling.drawn_pairs(train_set(t), SEARCH_ROWS), CORE_FEATURES)
     rows = [(count, impurity, float(auc)) for (count, impurity), auc in zip(found.chosen, found.avgMetrics)]
     return t.spark.createDataFrame(rows, "max_features int, impurity string, auc double")
 
@@ -104,7 +122,7 @@ GRID_SQL = """SELECT step, max(CASE WHEN f1 > f0 THEN t0 + least(greatest((step
   JOIN (SELECT range AS step FROM range(100)) ON step >= f0 * 99 - 1e-9 AND step <= f1 * 99 + 1e-9 GROUP BY 1"""
 
 QUERIES = {
-    "k1_baseline": Query(baseline),
+    "k1_baseline": Query(baseline, two_level_sql("SELECT user1, user2, label, prediction, round(score, 4) + 0.0 AS score FROM scored_")),
     "k2_forest": Query(forest),
     "k3_search": Query(search),
     "k4_two_fold": Query(two_fold),
@@ -119,7 +137,11 @@ QUERIES = {
         rule_sql() + ",\n" + rule_sql(2, "other"))),
     "k6_average_precision": Query(lambda t: metrics.average_precision(rule(t)), sql(
         f"SELECT {r6('sum(pos / p * tp / (tp + fp))')} AS average_precision FROM pts_rule", rule_sql())),
-    "k6_areas": Query(areas),
+    "k6_areas": Query(areas, two_level_sql(f"""SELECT {r6('sum(neg * (tp - pos / 2)) / any_value(p * n)')} AS exact_roc,
+ {r6('sum(neg * (tp - pos / 2)) / any_value(p * n)')} AS evaluator_roc,
+ {r6('sum(pos / p * tp / (tp + fp))')} AS average_precision,
+ {r6("sum(pos / p * (tp / (tp + fp) + CASE WHEN place = 1 THEN tp / (tp + fp) ELSE (tp - pos) / (tp - pos + fp - neg) END) / 2)")} AS evaluator_pr
+ FROM points_""")),
     "k7_confusion": Query(lambda t: metrics.confusion(rule(t)), sql(
         "SELECT label, prediction, count(*) AS rows FROM rule GROUP BY ALL", rule_sql())),
     "k8_per_class": Query(lambda t: metrics.per_class(rule(t)), sql(

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from tiescope.catalog.base import Query, r6, sql
 from tiescope.catalog.binning import SLOT_SQL
 from tiescope.catalog.cleaning import DAY_SQL
+from tiescope.catalog.features import PARTS
 from tiescope.catalog.joins import ENTROPY_SQL
 from tiescope.config import Period
 from tiescope.operators import cohorts, heatmaps, presence, profiles
 from tiescope.operators.cleaning import accurate, in_country
-from tiescope.operators.features import cell_visits, place_features
+from tiescope.operators.features import CORE_FEATURES, cell_visits
 from tiescope.operators.pairing import co_occurrences
+from tiescope.plans.dataset import build_dataset
 from tiescope.plans.inputs import CONFIG, DAYS, FIRST_DAY, LAST_DAY, PERIODS, Inputs
 from tiescope.session import scratch_path
 from tiescope.sources.readers import file_extent
@@ -23,13 +25,11 @@ SWEDEN = "(SELECT * FROM loc WHERE country = 'Sweden')"
 
 
 def labelled(t: Inputs):
-    table = place_features(co_occurrences(t.presence_in(1)))
-    return table.withColumn("label", (F.col("num_coocs") >= 3).cast("int"))
+    """Pairs of the first period with the nine features and whether they met in the second."""
+    return build_dataset(t.locations, CONFIG, PERIODS)[0].select("user1", "user2", "label", *CORE_FEATURES)
 
 
-LABELLED_SQL = """lab AS (SELECT user1, user2, sum(n) AS num, count(*) AS uniq,
-  exp(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS div, CAST(sum(n) >= 3 AS BIGINT) AS label
-  FROM (SELECT user1, user2, spatial_bin, count(*)::DOUBLE AS n FROM c1 GROUP BY ALL) GROUP BY user1, user2)"""
+LABELLED_SQL = f"{PARTS},\nlab AS (SELECT *, CAST(coalesce(m, 0) AS BIGINT) AS label FROM full_)"
 
 
 def boxes(t: Inputs):
@@ -99,8 +99,8 @@ UPDATE_MONTH_SQL = """SELECT country, month, n AS rows, round(n / users, 6) + 0.
 
 
 def feature_summary_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT label, '{name}' AS feature, CAST({column} AS DOUBLE) AS v FROM lab"
-                               for name, column in (("num_coocs", "num"), ("unique_coocs", "uniq"), ("diversity", "div")))
+    parts = " UNION ALL ".join(f"SELECT label, '{name}' AS feature, CAST({name} AS DOUBLE) AS v FROM lab"
+                               for name in CORE_FEATURES)
     return sql(f"SELECT label, feature, {SUMMARY_SQL} FROM ({parts}) GROUP BY ALL", LABELLED_SQL)
 
 
@@ -208,7 +208,7 @@ QUERIES = {
     "e28_class_counts": Query(lambda t: profiles.class_counts(labelled(t)), sql(
         "SELECT label, count(*) AS rows FROM lab GROUP BY 1", LABELLED_SQL)),
     "e29_feature_summary": Query(
-        lambda t: profiles.feature_summary(labelled(t), ["num_coocs", "unique_coocs", "diversity"]), feature_summary_sql()),
+        lambda t: profiles.feature_summary(labelled(t), list(CORE_FEATURES)), feature_summary_sql()),
     "e30_density": Query(lambda t: profiles.density(t.locations, 2), sql(
         f"""SELECT CAST(floor((latitude + 90.0) * 100.0) AS BIGINT) * 36000 + CAST(floor((longitude + 180.0) * 100.0) AS BIGINT) AS cell,
  count(*) AS rows, {r6('log10(count(*))')} AS log_rows FROM loc GROUP BY 1""")),

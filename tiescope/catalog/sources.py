@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiescope import schemas
-from tiescope.catalog.base import Query, r6, sql
-from tiescope.operators.features import place_features
+from tiescope.catalog.base import MET_SQL, Query, r6, sql
+from tiescope.catalog.profiles import LABELLED_SQL, labelled
+from tiescope.operators.features import CORE_FEATURES
 from tiescope.operators.pairing import co_occurrences
 from tiescope.plans.inputs import AS_OF, CONFIG, Inputs
 from tiescope.plans.viewer import cooccurrence_points
-from tiescope.session import scratch_path, stage
+from tiescope.session import register, scratch_path, stage
 from tiescope.sources import readers, writers
 
 RECORD_SQL = f"""SELECT CAST(id AS VARCHAR) AS id, CAST(useruuid AS VARCHAR) AS useruuid,
@@ -84,29 +85,21 @@ def insert(inputs: Inputs) -> DataFrame:
     return inputs.spark.read.parquet(path).select("id", "useruuid", "country", "spatial_bin", "time_bins")
 
 
-def labelled_pairs(inputs: Inputs) -> DataFrame:
-    table = place_features(co_occurrences(inputs.presence_in(1)))
-    return table.withColumn("label", (F.col("num_coocs") >= 2).cast("int"))
-
-
 def libsvm(inputs: Inputs, files: int | None) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     path = scratch_path(inputs.spark, "libsvm")
-    columns = ["num_coocs", "unique_coocs", "diversity"]
-    writers.write_libsvm(labelled_pairs(inputs), columns, path, files=files)
+    columns = list(CORE_FEATURES)
+    writers.write_libsvm(labelled(inputs), columns, path, files=files)
     read = readers.read_libsvm(inputs.spark, path, len(columns))
     values = vector_to_array("features")
     return (read.select(F.col("label").cast("bigint").alias("label"),
                         *[values[index].alias(name) for index, name in enumerate(columns)])
-            .withColumn("diversity", F.round("diversity", 6))
+            .withColumns({name: F.round(name, 6) for name in columns})
             .groupBy("label", *columns).agg(F.count("*").alias("rows")))
 
 
-LIBSVM_SQL = sql(f"""SELECT CAST(num >= 2 AS BIGINT) AS label, CAST(num AS DOUBLE) AS num_coocs,
- CAST(uniq AS DOUBLE) AS unique_coocs, {r6('div')} AS diversity, count(*) AS rows
- FROM (SELECT sum(n) AS num, count(*) AS uniq, exp(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS div
-       FROM (SELECT user1, user2, spatial_bin, count(*)::DOUBLE AS n FROM c1 GROUP BY ALL) GROUP BY user1, user2)
- GROUP BY ALL""")
+LIBSVM_SQL = sql("SELECT label, " + ", ".join(f"{r6(name)} AS {name}" for name in CORE_FEATURES)
+                 + ", count(*) AS rows FROM lab GROUP BY ALL", LABELLED_SQL)
 
 
 def missing(inputs: Inputs) -> DataFrame:
@@ -134,13 +127,71 @@ def geojson(inputs: Inputs) -> DataFrame:
                      F.round("latitude", 6).alias("latitude")).agg(F.count("*").alias("rows")))
 
 
-MET_SQL = """own AS (SELECT DISTINCT spatial_bin, time_bins AS own_bins FROM binned WHERE useruuid = 7),
-met AS (SELECT b.id, b.useruuid, b.spatial_bin, b.time_bins, o.own_bins, b.longitude, b.latitude
-        FROM binned b JOIN own o ON b.spatial_bin = o.spatial_bin
-        WHERE b.useruuid <> 7 AND list_has_any(b.time_bins, o.own_bins))"""
+def read_csv(inputs: Inputs) -> DataFrame:
+    """The records as CSV, the devices as JSON in a cell."""
+    path = scratch_path(inputs.spark, "csv")
+    rows = records(inputs)
+    (rows.withColumn("devices", F.to_json("devices")).write.option("header", True).option("escape", '"').csv(path))
+    read = readers.read_locations(inputs.spark, path, "csv")
+    return as_result(read.filter(F.col("devices")[0]["id"] == F.col("useruuid"))).withColumn(
+        "country", F.coalesce("country", F.lit("")))
+
+
+def read_apps(inputs: Inputs) -> DataFrame:
+    """App sessions as JSON lines, with the arrival time."""
+    path = scratch_path(inputs.spark, "apps")
+    iso = "yyyy-MM-dd'T'HH:mm:ssXXX"
+    (inputs.apps.select(F.unix_millis("end_time").alias("timestamp_seen"), F.col("id").cast("string").alias("id"),
+                        F.col("useruuid").cast("string").alias("useruuid"), "package_name",
+                        F.date_format("start_time", iso).alias("start_time"),
+                        F.date_format("end_time", iso).alias("end_time")).write.json(path))
+    return readers.with_instants(readers.read_app_usage(inputs.spark, path, "jsonl")).select(
+        "id", "useruuid", "package_name", "start_time", "end_time", "seen_at")
+
+
+def read_geocodes(inputs: Inputs) -> DataFrame:
+    """Geocoder answers, one JSON array for each country part."""
+    path = scratch_path(inputs.spark, "geocodes")
+    rows = inputs.geocodes.select("lat", "lng", "country", "motel")
+    (rows.groupBy(F.coalesce("country", F.lit("")).alias("part"))
+     .agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))  # a row for each place
+     .select("value").write.option("maxRecordsPerFile", 1).text(path))
+    return readers.read_geocodes(inputs.spark, path)
+
+
+def malformed(inputs: Inputs) -> DataFrame:
+    """Rows kept and rows set aside when every tenth start time is damaged."""
+    path = scratch_path(inputs.spark, "damaged")
+    damaged = F.when(F.col("id").cast("bigint") % 10 == 0, F.lit("not a time")).otherwise(F.col("start_time"))
+    records(inputs).withColumn("start_time", damaged).write.json(path)
+    read = readers.read_locations(inputs.spark, path, "jsonl")
+    good = readers.with_instants(read).filter(F.col("start_time").isNotNull())
+    return (good.agg(F.count("*").alias("rows")).withColumn("kind", F.lit("kept"))
+            .unionByName(readers.rejected(read).agg(F.count("*").alias("rows")).withColumn("kind", F.lit("set aside"))))
+
+
+def by_sql(inputs: Inputs) -> DataFrame:
+    """Meetings of each country's users, in SQL over registered tables."""
+    register({"presence": inputs.presence, "locations": inputs.locations})
+    return inputs.spark.sql("""
+        SELECT country, count(*) AS presences FROM presence
+        JOIN (SELECT DISTINCT useruuid, country FROM locations) USING (useruuid) GROUP BY country""")
+
 
 QUERIES = {
     "a1_read_locations": Query(read_parquet, sql(RECORD_SQL)),
+    "a1_read_csv": Query(read_csv, sql(RECORD_SQL)),
+    "a1_read_apps": Query(read_apps, sql(
+        "SELECT CAST(id AS VARCHAR) AS id, CAST(useruuid AS VARCHAR) AS useruuid, package_name, s0 + 1704067200 AS start_time,"
+        " s1 + 1704067200 AS end_time, s1 + 1704067200 AS seen_at FROM apps")),
+    "a1_read_geocodes": Query(read_geocodes, sql(
+        f"""SELECT DISTINCT {r6('latitude')} AS lat, {r6('longitude')} AS lng,
+ CASE place % 3 WHEN 0 THEN 'Territorial waters of Gotland' WHEN 1 THEN 'RSA' END AS country,
+ CASE WHEN place % 6 = 2 THEN 'Motel' END AS motel FROM loc""")),
+    "a1_malformed": Query(malformed, sql(
+        "SELECT CASE WHEN id % 10 = 0 THEN 'set aside' ELSE 'kept' END AS kind, count(*) AS rows FROM loc GROUP BY 1")),
+    "m5_views": Query(by_sql, sql(
+        "SELECT country, count(*) AS presences FROM pr JOIN (SELECT DISTINCT useruuid, country FROM loc) USING (useruuid) GROUP BY 1")),
     "a2_read_json_arrays": Query(read_json_arrays, sql(RECORD_SQL)),
     "a3_merge_json": Query(merge_json, sql(RECORD_SQL)),
     "a4_convert": Query(convert, sql(RECORD_SQL)),
@@ -159,5 +210,5 @@ QUERIES = {
     "a11_geojson": Query(geojson, sql(
         f"SELECT 'Point' AS type, useruuid, {r6('longitude')} AS longitude, {r6('latitude')} AS latitude,"
         " count(*) AS rows FROM met GROUP BY ALL", MET_SQL)),
-    "a12_merge_parts": Query(lambda t: libsvm(t, t.spark.sparkContext.defaultParallelism), LIBSVM_SQL),
+    "a12_merge_parts": Query(lambda t: libsvm(t, 1), LIBSVM_SQL),
 }

@@ -57,14 +57,24 @@ def bin_start(time_bin: Column, cfg: BinConfig) -> Column:
     return F.timestamp_micros(micros + F.lit(cfg.origin_micros).cast("bigint"))
 
 
-def slots_of_day(start: Column, end: Column, minutes: int) -> Column:
-    """Time-of-day slots between two clock times, last one excluded."""
+def slots_of_day(start: Column, end: Column, minutes: int, ref_compat: bool = False) -> Column:
+    """Time-of-day slots between two clock times, last one excluded.
+
+    Where the end's clock time is before the start's, the slots go on over
+    midnight; ``ref_compat`` gives none.
+    """
     def clock(moment: Column) -> Column:
         return F.hour(moment) * 60 + F.minute(moment)
     first = F.floor(clock(start) / F.lit(minutes))
     stop = F.ceil(clock(end) / F.lit(minutes))
     nothing = F.array().cast("array<bigint>")
-    return F.when(first < stop, F.sequence(first, stop - 1)).otherwise(nothing)
+    same_day = F.when(first < stop, F.sequence(first, stop - 1)).otherwise(nothing)
+    if ref_compat:
+        return same_day
+    day = 24 * 60 // minutes
+    over = F.concat(F.sequence(first, F.lit(day - 1).cast("bigint")),
+                    F.when(stop > 0, F.sequence(F.lit(0).cast("bigint"), stop - 1)).otherwise(nothing))
+    return F.when(clock(end) < clock(start), F.array_distinct(over)).otherwise(same_day)
 
 
 def magnitude_bucket(value: Column, per_octave: int = 256) -> Column:

@@ -225,14 +225,19 @@ def app_jaccard_of() -> Column:
 
 
 def similarity_columns() -> dict[str, Column]:
-    """One-hot age and gender agreement from age1/2 and gender1/2."""
+    """One-hot age and gender agreement from age1/2, gender1/2 and listed1/2.
+
+    Genders are compared for all users in the demographic table, a missing
+    one like any other value; users who aren't listed are unknown.
+    """
     unknown = F.col("age1").isNull() | F.col("age2").isNull()
     near = F.abs(F.col("age1") - F.col("age2")) <= 6
-    same = F.col("gender1") == F.col("gender2")
+    absent = F.col("listed1").isNull() | F.col("listed2").isNull()
+    same = F.col("gender1").eqNullSafe(F.col("gender2"))
     flags = {
         "age_far": ~unknown & ~near, "age_near": ~unknown & near, "age_unknown": unknown,
-        "gender_differs": ~unknown & ~same, "gender_same": ~unknown & same,
-        "gender_unknown": unknown,
+        "gender_differs": ~absent & ~same, "gender_same": ~absent & same,
+        "gender_unknown": absent,
     }
     return {name: F.coalesce(flag, F.lit(False)).cast("int") for name, flag in flags.items()}
 
@@ -246,9 +251,10 @@ def user_profiles(people: DataFrame, apps: DataFrame | None,
     else:
         profiles = profiles.withColumn("apps", F.array().cast("array<string>"))
     if demographics is not None:
-        known = demographics.select("useruuid", "gender", "age")
+        known = demographics.select("useruuid", "gender", "age", F.lit(True).alias("listed"))
         return profiles.join(known, "useruuid", "left")
-    return profiles.withColumns({"gender": F.lit(None).cast("string"), "age": F.lit(None).cast("bigint")})
+    return profiles.withColumns({"gender": F.lit(None).cast("string"), "age": F.lit(None).cast("bigint"),
+                                 "listed": F.lit(None).cast("boolean")})
 
 
 def period_pairs(people: DataFrame, cfg: BinConfig, period: Period,

@@ -133,16 +133,25 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def eigenvector(weighted: DataFrame, rounds: int = 20, stage_every: int = 5) -> DataFrame:
-    """Eigenvector centrality by power iteration, largest value 1."""
+def eigenvector(weighted: DataFrame, tolerance: float = 1e-8, limit: int = 500, stage_every: int = 5) -> DataFrame:
+    """Eigenvector centrality by power iteration, largest value 1.
+
+    Rounds go on until no score changes by more than ``tolerance``; without
+    that after ``limit`` rounds the result would be wrong, so it is an error.
+    """
     neighbours = stage(ends(weighted), "neighbours")
-    scores = neighbours.select("useruuid").distinct().withColumn("score", F.lit(1.0))
-    for number in range(1, rounds + 1):
-        raw = (neighbours.join(scores.select(F.col("useruuid").alias("contact"), "score"), "contact")
-               .groupBy("useruuid").agg(F.sum(F.col("score") * F.col("weight")).alias("score")))
-        # Only relative sizes matter between rounds; scaling waits for a stage.
-        if number % stage_every == 0 or number == rounds:
-            raw = stage(raw, "scores")
-            raw = raw.withColumn("score", F.col("score") / raw.agg(F.max("score")).scalar())
-        scores = raw
-    return scores.select("useruuid", F.col("score").alias("centrality"))
+    scores = stage(neighbours.select("useruuid").distinct().withColumn("score", F.lit(1.0)), "scores")
+    for _ in range(limit // stage_every):
+        before = scores
+        for _ in range(stage_every):
+            raw = (neighbours.join(scores.select(F.col("useruuid").alias("contact"), "score"), "contact")
+                   .groupBy("useruuid").agg(F.sum(F.col("score") * F.col("weight")).alias("score")))
+            # Only relative sizes matter between rounds; scaling waits for a stage.
+            scores = raw
+        raw = stage(raw, "scores")
+        scores = stage(raw.withColumn("score", F.col("score") / raw.agg(F.max("score")).scalar()), "scores")
+        moved = scores.join(before.select("useruuid", F.col("score").alias("old")), "useruuid").agg(
+            F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")).first()["moved"]
+        if moved is None or moved <= tolerance:
+            return scores.select("useruuid", F.col("score").alias("centrality"))
+    raise ValueError(f"no centrality within {tolerance} after {limit} rounds")

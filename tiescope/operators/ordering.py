@@ -60,14 +60,12 @@ def numbered(df: DataFrame, order: Sequence[Column], bucket: Sequence[Column],
 def with_bucket(df: DataFrame, column: str, name: str = "_part") -> DataFrame:
     """Adds a bucket that never decreases along the column.
 
-    Numbers use their magnitude. For texts Spark's range partitioner finds
-    slices of even size; the number of the slice is staged with the rows, as
-    it must not change when a task runs again.
+    Spark's range partitioner finds slices of even size, for numbers in a
+    narrow range too; the number of the slice is staged with the rows, as it
+    must not change when a task runs again.
     """
-    if dict(df.dtypes)[column] == "string":
-        sliced = df.repartitionByRange(F.col(column)).withColumn(name, F.spark_partition_id())
-        return stage(sliced, "slices")
-    return df.withColumn(name, magnitude_bucket(F.col(column), per_octave=1024))
+    sliced = df.repartitionByRange(F.col(column)).withColumn(name, F.spark_partition_id())
+    return stage(sliced, "slices")
 
 
 def encode(df: DataFrame, column: str, code: str = "code") -> DataFrame:

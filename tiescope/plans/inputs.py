@@ -83,7 +83,8 @@ class Inputs:
         born = F.date_add(F.lit("1960-01-01").cast("date"), (user * 7919 % 18000).cast("int"))
         listed = (self.events.select("user_id").distinct().filter(user % 7 != 0)
                   .select(user.alias("useruuid"),
-                          F.when(user % 2 == 0, "MALE").otherwise("FEMALE").alias("gender"),
+                          F.when(user % 13 == 5, F.lit(None)).when(user % 2 == 0, "MALE").otherwise("FEMALE")
+                          .alias("gender"),
                           F.when(user % 11 == 0, F.lit("1980-12-01").cast("date")).otherwise(born)
                           .alias("birthdate")))
         return with_age(listed, AS_OF)

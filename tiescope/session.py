@@ -8,20 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local: dict[str, str] = {}  # temporary folder of a local application
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a laptop or a test run) a temporary
-    folder is made, once per session.
+    Where neither that setting nor a checkpoint folder is there, a local
+    master gets one temporary folder for the application; on a cluster that
+    is an error, as executors can't see each other's temporary folders.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tiescope-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="tiescope-")
+        folder = _local[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -30,6 +34,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def register(tables: dict[str, DataFrame]) -> None:
+    """Make tables known to SQL in their own session, by name."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

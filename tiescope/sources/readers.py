@@ -25,10 +25,32 @@ def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructTy
                   .option("columnNameOfCorruptRecord", "_corrupt_record"))
         if fmt == "json":
             return reader.option("multiLine", True).json(paths)
-        return reader.json(paths) if fmt == "jsonl" else reader.option("header", True).csv(paths)
+        if fmt == "jsonl":
+            return reader.json(paths)
+        return _from_csv(spark, paths, schema)
     return reader.schema(schema).format(fmt).load(paths)
 
 
+def _from_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """CSV rows with a header; arrays and structs stand in a cell as JSON."""
+    nested = [f for f in schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f in nested else f.dataType) for f in schema.fields])
+    read = (spark.read.schema(schemas.with_corrupt(flat)).option("mode", "PERMISSIVE").option("header", True)
+            .option("escape", '"').option("columnNameOfCorruptRecord", "_corrupt_record").csv(paths))
+    return read.withColumns({f.name: F.from_json(f.name, f.dataType) for f in nested})
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """Rows that don't fit the schema, or whose times can't be read: to be counted and kept aside."""
+    unread = F.lit(False)
+    for name in ("start_time", "end_time"):
+        if name in records.columns and dict(records.dtypes)[name] == "string":
+            unread = unread | (F.col(name).isNotNull() & F.try_to_timestamp(name).isNull())
+    if "_corrupt_record" in records.columns:
+        unread = unread | F.col("_corrupt_record").isNotNull()
+    return records.filter(unread)
+
+
 def read_locations(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
     return read_records(spark, paths, schemas.LOCATION, fmt)
 
@@ -38,10 +60,10 @@ def read_app_usage(spark: SparkSession, paths: str | list[str], fmt: str = "parq
 
 
 def with_instants(records: DataFrame) -> DataFrame:
-    """ISO-8601 texts to timestamps and the epoch-millisecond arrival time."""
+    """ISO-8601 texts to timestamps (null if malformed, see ``rejected``) and the arrival time."""
     return records.withColumns({
-        "start_time": F.to_timestamp("start_time"),
-        "end_time": F.to_timestamp("end_time"),
+        "start_time": F.try_to_timestamp("start_time"),
+        "end_time": F.try_to_timestamp("end_time"),
         "seen_at": F.timestamp_millis(F.col("timestamp_seen")),
     })
 
@@ -59,7 +81,7 @@ def merge_json(spark: SparkSession, folder: str, schema: T.StructType,
 def read_demographics(spark: SparkSession, path: str | list[str], as_of: str) -> DataFrame:
     """Header-less CSV of user, gender and birthdate; age on the day ``as_of``."""
     rows = spark.read.schema(schemas.DEMOGRAPHICS).csv(path)
-    return with_age(rows.withColumn("birthdate", F.to_date("birthdate")), as_of)
+    return with_age(rows.withColumn("birthdate", F.try_to_timestamp("birthdate").cast("date")), as_of)
 
 
 def with_age(people: DataFrame, as_of: str) -> DataFrame:
