@@ -15,9 +15,9 @@ Work on crowded blocks grows with their rows, not with pairs. A first pass
 links every set to the first set of some of its blocks; whatever is one
 component then needs no further pairs. Blocks that still hold several
 components are joined in full if they have few sets. Larger ones (a passage
-that many documents share) are taken back: their sets emit again with those
-blocks last in the order, until they are told apart by other blocks. Only
-sets made of almost nothing but such blocks are compared with each other.
+that many documents share) are taken back: their sets emit their rarer
+shingles instead, frequent ones last. Only sets with hardly a rare shingle are
+compared with each other.
 Candidates pass a bit sketch (parities, Hamming distance at most the size of
 the difference) before their shingles are compared exactly.
 """
@@ -37,13 +37,11 @@ from tiescope.session import stage
 
 SHINGLE = 5
 #: Sets of a block that are joined pair by pair.
-FULL_BLOCK = 48
+FULL_BLOCK = 16
 #: One of so many blocks takes part in the first pass.
 FIRST_PASS = 16
-#: Rounds in which crowded blocks are taken back.
-ROUNDS = 4
-#: Bits of the filter for the documents whose sets are kept: a fixed size, it only saves work.
-FILTER_BITS = 22
+#: Bits of the bitmaps that name sets and frequent shingles: a fixed size, it only saves work.
+FILTER_BITS = 25
 LINK, OF = 75, 100
 _U = np.uint64
 
@@ -296,13 +294,19 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        tried: set[tuple[int, int]] = set()  # two sets share many blocks
 
         def pairs():
             found = set()
+            if len(tried) > 1_000_000:
+                tried.clear()
             for i, x in enumerate(held):
                 for y in held[:i]:
-                    if x[2] != y[2] and x[1] != y[1] and near_enough(x[4], y[4], x[3], y[3]):
-                        found.add((min(x[1], y[1]), max(x[1], y[1])))
+                    pair = (min(x[1], y[1]), max(x[1], y[1]))
+                    if x[2] != y[2] and x[1] != y[1] and pair not in tried:
+                        tried.add(pair)
+                        if near_enough(x[4], y[4], x[3], y[3]):
+                            found.add(pair)
             return found
 
         for batch in batches:
@@ -403,54 +407,66 @@ def components(described: DataFrame, docs: DataFrame) -> DataFrame:
              .select("a", F.col("s").alias("b")))
     label = _linked(label, pruned(voted, sizes), sets)
 
-    members = shared.select("key", "s")
-    for turn in range(ROUNDS):
-        members = stage(_unsettled(members, label), "jaccard-open")
-        if members.isEmpty():
-            break
-        label = _linked(label, _open_pairs(members.join(sizes, "s")), sets)
-        crowded = members.filter(F.col("many") > FULL_BLOCK).select("key", "s")
-        crowded = stage(_unsettled(crowded, label), "jaccard-crowded")
-        if crowded.isEmpty():
-            break
-        # to two sets of each crowded block
-        heads = crowded.groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("z"))
-        tried = crowded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("s").alias("b"))
-        label = _linked(label, pruned(tried.filter("a <> b").distinct(), sizes), sets)
-        crowded = stage(_unsettled(crowded.select("key", "s"), label), "jaccard-crowded")
-        if crowded.isEmpty():
-            break
-        if turn == ROUNDS - 1:
-            label = _linked(label, _all_pairs(crowded, sizes), sets)
-        else:
-            members = stage(_again(crowded, docs), "jaccard-shared").select("key", "s")
-            # blocks of few sets may have grown while others were taken back: all of them are looked at
+    label, crowded = _settled(shared, label, sizes, sets)
+    if crowded is not None:
+        label, crowded = _settled(stage(_again(crowded, docs), "jaccard-shared"), label, sizes, sets)
+    if crowded is not None:
+        label = _linked(label, _all_pairs(crowded, sizes), sets)
     return label
 
 
-def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blocks that the sets of crowded blocks share once those blocks are last in the order.
+def _settled(shared: DataFrame, label: DataFrame, sizes: DataFrame, sets: Sets):
+    """Labels after all links inside blocks of few sets, and the crowded blocks that stay open (or None)."""
+    members = stage(_unsettled(shared.select("key", "s"), label), "jaccard-open")
+    if members.isEmpty():
+        return label, None
+    label = _linked(label, _open_pairs(members.join(sizes, "s")), sets)
+    crowded = members.filter(F.col("many") > FULL_BLOCK).select("key", "s")
+    crowded = stage(_unsettled(crowded, label), "jaccard-crowded")
+    if crowded.isEmpty():
+        return label, None
+    # to two sets of each crowded block
+    heads = crowded.groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("z"))
+    tried = crowded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("s").alias("b"))
+    label = _linked(label, pruned(tried.filter("a <> b").distinct(), sizes), sets)
+    crowded = stage(_unsettled(crowded.select("key", "s"), label), "jaccard-crowded")
+    return label, None if crowded.isEmpty() else crowded
+
 
-    Both are told by bitmaps. That more blocks are put last, or more sets
-    emit, than need be does no harm: the order is the same for all sets.
+def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, head, s): what the sets of crowded blocks share by their rarer shingles.
+
+    A pair with a set of no crowded block has been found. Among the others
+    the first shingles decide, in an order that puts those of more than
+    FULL_BLOCK of these sets last: of n shingles any two linked sets share one
+    of the first n - ceil(0.75 n) + 1. Which sets, and which shingles are
+    frequent, is told by bitmaps; that those name a few more does no harm, as
+    the order is the same for all.
     """
     context = docs.sparkSession.sparkContext
-    worst = context.broadcast(_mask(crowded.select("key").distinct()))
     named = context.broadcast(_mask(crowded.select("s").distinct()))
 
-    def make(token, begin, names):
+    def chosen(token, begin, names):
         good = np.flatnonzero(_in_mask(named.value, names))
         size = np.diff(begin)[good]
-        token = token[rows.ragged(begin[good], size)]
-        key, owner, rank, limit = block_keys(token, np.concatenate([[0], np.cumsum(size)]))
-        # one list for each band of a set and for its shingles; ranks begin anew in each
-        piece = np.cumsum(rank == 0)
-        order = np.lexsort((key, _in_mask(worst.value, key), piece))
-        place = np.arange(len(key)) - np.searchsorted(piece, piece)
-        first = order[place < limit[order]]
-        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(names[good][owner[first]])], ["key", "s"])
-
-    return _shared(_sorted(_each_set(docs, make, "key bigint, s bigint")))
+        key = words.mix(token[rows.ragged(begin[good], size)] + _U(41)).astype(np.int64)
+        return key, names[good], size
+
+    def every(token, begin, names):
+        return pa.RecordBatch.from_arrays([pa.array(chosen(token, begin, names)[0])], ["key"])
+
+    counted = _each_set(docs, every, "key bigint").groupBy("key").count()
+    frequent = context.broadcast(_mask(counted.filter(F.col("count") > FULL_BLOCK).select("key")))
+
+    def first(token, begin, names):
+        key, names, size = chosen(token, begin, names)
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((key, _in_mask(frequent.value, key), owner))
+        place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+        kept = order[place < (size - -(-3 * size // 4) + 1)[owner]]
+        return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(names[owner[kept]])], ["key", "s"])
+
+    return _shared(_sorted(_each_set(docs, first, "key bigint, s bigint")))
 
 
 def _all_pairs(crowded: DataFrame, sizes: DataFrame) -> DataFrame:
