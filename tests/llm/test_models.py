@@ -30,7 +30,7 @@ def toxic_rows(n=400):
 
 
 def test_toxicity_from_document_labels(spark):
-    df = spark.createDataFrame(toxic_rows(), "doc_id long, text string, label int").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(toxic_rows(), "doc_id long, text string, label int")
     model = toxicity.fit(df.filter("doc_id < 300"))
     found = toxicity.score(df, model).filter("doc_id >= 300").collect()
     assert all((r.score >= 0.5) == bool(r.label) for r in found)
@@ -47,7 +47,7 @@ def test_toxicity_of_odd_rows(spark):
     assert [r.score for r in found][:3] == [0, 0, 0] and all(0 <= r.score <= 1 for r in found)
     none = df.selectExpr("doc_id", "text", "1 as label")
     assert toxicity.score(df, toxicity.fit(none.filter("doc_id = 9"))).count() == 4
-    assert {r.score for r in toxicity.score(df, toxicity.fit(none)).filter("doc_id = 3").collect()} == {1.0}
+    assert all(r.score > 0.99 for r in toxicity.score(df, toxicity.fit(none)).filter("doc_id = 3").collect())
 
 
 def test_toxicity_and_language_held_out(spark):
@@ -203,7 +203,7 @@ def test_nearest(spark):
     rows = [(k, draw.normal(size=20).tolist()) for k in range(600)]
     rows += [(k, [1.0] * 20) for k in range(600, 900)]  # a third are equal
     rows += [(1000, None), (1001, [0.0] * 20), (1050, [None] * 20), (1100, [float("nan")] * 20), (None, [1.0] * 20)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumnRenamed("x", "y")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = ann.search(df, df.filter("vec_id % 50 = 0")).collect()
     expected = nearest(rows, 5)
     got = collections.defaultdict(list)
