@@ -8,7 +8,8 @@ from check import connect, difference
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Queries that act while they are built (staged rounds, files, fitted models).
-EAGER = ("a", "k", "i8_", "i20", "i21", "i22", "j4", "j5", "j6", "f5", "h8", "h9", "g4")
+EAGER = ("a", "k", "i8_", "i20", "i21", "i22", "j4", "j5", "j6", "f5", "h7", "h8", "h9", "g4", "e28", "e29",
+         "op", "pipeline")
 
 
 @pytest.fixture(scope="module")
