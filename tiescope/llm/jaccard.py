@@ -420,15 +420,12 @@ def _settled(shared: DataFrame, label: DataFrame, sizes: DataFrame, sets: Sets):
     members = stage(_unsettled(shared.select("key", "s"), label), "jaccard-open")
     if members.isEmpty():
         return label, None
-    label = _linked(label, _open_pairs(members.join(sizes, "s")), sets)
-    crowded = members.filter(F.col("many") > FULL_BLOCK).select("key", "s")
-    crowded = stage(_unsettled(crowded, label), "jaccard-crowded")
-    if crowded.isEmpty():
-        return label, None
-    # to two sets of each crowded block
+    # blocks of few sets pair by pair, the others to two of their sets
+    crowded = members.filter(F.col("many") > FULL_BLOCK)
     heads = crowded.groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("z"))
     tried = crowded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("s").alias("b"))
-    label = _linked(label, pruned(tried.filter("a <> b").distinct(), sizes), sets)
+    pairs = _open_pairs(members.join(sizes, "s")).unionByName(pruned(tried.filter("a <> b").distinct(), sizes))
+    label = _linked(label, pairs.distinct(), sets)
     crowded = stage(_unsettled(crowded.select("key", "s"), label), "jaccard-crowded")
     return label, None if crowded.isEmpty() else crowded
 
@@ -452,11 +449,13 @@ def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
         key = words.mix(token[rows.ragged(begin[good], size)] + _U(41)).astype(np.int64)
         return key, names[good], size
 
-    def every(token, begin, names):
-        return pa.RecordBatch.from_arrays([pa.array(chosen(token, begin, names)[0])], ["key"])
+    def repeated(token, begin, names):
+        # a slice of texts has hundreds of sets: what only one of them has is not frequent
+        key, times = np.unique(chosen(token, begin, names)[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[times > 1]), pa.array(times[times > 1])], ["key", "n"])
 
-    counted = _each_set(docs, every, "key bigint").groupBy("key").count()
-    frequent = context.broadcast(_mask(counted.filter(F.col("count") > FULL_BLOCK).select("key")))
+    counted = _each_set(docs, repeated, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    frequent = context.broadcast(_mask(counted.filter(F.col("n") > FULL_BLOCK).select("key")))
 
     def first(token, begin, names):
         key, names, size = chosen(token, begin, names)
