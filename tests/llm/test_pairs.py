@@ -153,6 +153,44 @@ def test_passages(spark):
             assert r.text.split() == [w for k, w in enumerate(text.split()) if k not in got[r.ord]]
 
 
+def templates(seed):
+    """Documents around templates of 35 to 49 words, of which some share the words beside the template too."""
+    draw = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(900)]
+    made = []
+    for size in (35, 38, 40, 43, 46, 49):
+        template = draw.choices(vocabulary, k=size)
+        sides = [[draw.choices(vocabulary, k=draw.randint(4, 16)) for _ in range(6)] for _ in range(2)]
+        for _ in range(40):
+            left, right = (draw.choice(side) if draw.random() < 0.5 else [] for side in sides)
+            made.append(draw.choices(vocabulary, k=draw.randint(0, 30)) + left + template + right
+                        + draw.choices(vocabulary, k=draw.randint(0, 30)))
+        for _ in range(6):  # the template twice in the text, of which the second place is shared
+            made.append(template + draw.choices(vocabulary, k=9) + draw.choice(sides[0]) + template + draw.choice(sides[1]))
+    made += [["same"] * 300, ["same"] * 120 + ["end"], draw.choices(vocabulary, k=20)]
+    draw.shuffle(made)
+    return [(k, " ".join(t)) for k, t in enumerate(made)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_around_templates(spark, seed):
+    """Exactly the words of the runs of 50 that an earlier document has, where many documents share the middle."""
+    rows = templates(seed)
+    seen, expected = {}, {}
+    for k, text in rows:
+        words = text.split()
+        runs = [tuple(words[at:at + 50]) for at in range(len(words) - 49)]
+        for run in runs:
+            seen.setdefault(run, k)
+        expected[k] = {w for at, run in enumerate(runs) if seen[run] != k for w in range(at, at + 50)}
+    docs = suffixes.numbered(spark.createDataFrame([(k, t, "", "") for k, t in rows], DOC).repartition(3))
+    got = collections.defaultdict(set)
+    for r in suffixes.repeats(docs).filter("removed").join(docs.select("row", "ord"), "row").collect():
+        got[r.ord].update(range(r.start, r.start + r.size))
+    assert any(expected.values())
+    assert [k for k, _ in rows if got[k] != expected[k]] == []
+
+
 def test_passages_of_copies(spark):
     text = " ".join(f"v{k}" for k in range(70))
     docs = suffixes.numbered(spark.createDataFrame([(k, text, "", "") for k in (3, 3, 1, 2, None)], DOC))

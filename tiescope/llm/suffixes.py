@@ -8,13 +8,16 @@ equal heads are candidates. Each candidate is extended to the left and to the
 right over the words of both texts and is a repeat from LEAST words on.
 
 Suffixes with equal heads are ordered by document: each is compared with the
-first of them, so copies of one passage meet in one document. Those whose
-match is too short are compared with the first of their own kind, and with
-the one before.
+first of them, so copies of one passage meet in one document. Runs of LEAST
+words around a head that go beyond that match may stand in other documents of
+the group: they are emitted by hash, and each is compared with the first
+document that has the same. So every shared run of LEAST words is found.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,14 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def run_hashes(hashed: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on."""
+    powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(hashed), _BASE, np.uint64)))
+    inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(hashed), _INVERSE, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum(hashed * powers[:-1]))
+    return words.mix((sums[at + size] - sums[at]) * inverse[at])
+
+
 def suffix_heads(hashed: np.ndarray, row: np.ndarray):
     """(hash of the first HEAD words, row, word) of the suffixes at minimisers."""
     none = np.zeros(0, np.int64)
@@ -57,10 +68,7 @@ def suffix_heads(hashed: np.ndarray, row: np.ndarray):
     at = first[chosen]
     end = np.searchsorted(row, row, "right")
     at = at[at + HEAD <= end[at]]
-    powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(hashed), _BASE, np.uint64)))
-    inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(hashed), _INVERSE, np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(hashed * powers[:-1]))
-    return words.mix((sums[at + HEAD] - sums[at]) * inverse[at]), row[at], at
+    return run_hashes(hashed, at, HEAD), row[at], at
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
@@ -81,18 +89,19 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(suffixes: DataFrame) -> DataFrame:
-    """(key, x, px, y, py, z, pz): suffixes with an equal head, the first of them and the one before.
+    """(key, ox, x, px, y, py): suffixes with an equal head and the first of them.
 
-    Rows come sorted; a task holds a batch, the first row of the open key and the last row.
+    Further suffixes of the first document come with itself as ``y``. Rows come
+    sorted; a task holds a batch, the first row of the open key and the last row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, row, pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "row", "pos"))
+            key, order, row, pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "ord", "row", "pos"))
             if open_key is not None:
-                key, row, pos = (np.append(a, b) for a, b in zip(open_key[2], (key, row, pos)))
+                key, order, row, pos = (np.append(a, b) for a, b in zip(open_key[2], (key, order, row, pos)))
             new = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(new)
             group = np.cumsum(new) - 1
@@ -100,15 +109,12 @@ def _candidates(suffixes: DataFrame) -> DataFrame:
             if open_key is not None:
                 first_row[0], first_pos[0] = open_key[0], open_key[1]
             y, py = first_row[group], first_pos[group]
-            z, pz = np.append(row[:1], row[:-1]), np.append(pos[:1], pos[:-1])
-            give = ~new & (y != row)
-            z, pz = np.where(z == row, y, z), np.where(z == row, py, pz)
-            yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in (key, row, pos, y, py, z, pz)],
-                                             ["key", "x", "px", "y", "py", "z", "pz"])
-            open_key = (y[-1], py[-1], (key[-1:], row[-1:], pos[-1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[~new]) for c in (key, order, row, pos, y, py)],
+                                             ["key", "ox", "x", "px", "y", "py"])
+            open_key = (y[-1], py[-1], (key[-1:], order[-1:], row[-1:], pos[-1:]))
 
     ordered = suffixes.repartition("key").sortWithinPartitions("key", "ord", "row", "pos")
-    return ordered.mapInArrow(run, "key bigint, x bigint, px bigint, y bigint, py bigint, z bigint, pz bigint")
+    return ordered.mapInArrow(run, "key bigint, ox bigint, x bigint, px bigint, y bigint, py bigint")
 
 
 def matches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -134,13 +140,38 @@ def matches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> lis
     return found
 
 
+def open_runs(n: int, anchors: list[tuple[int, int]], found: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Starts of the runs of LEAST words around the anchors' heads that go beyond the anchors' matches.
+
+    ``n`` is the number of words of the text, ``found`` what ``matches`` gives.
+    """
+    held = defaultdict(list)
+    for start, other, size, _ in found:
+        held[start - other].append((start, start + size))
+    place, low, high = [], [], []
+    for p, q in anchors:
+        spans = held.get(p - q, [])
+        k = bisect_right(spans, (p, n + 1)) - 1
+        start, end = spans[k] if k >= 0 and p < spans[k][1] else (p, p)
+        place.append(p), low.append(start), high.append(end)
+    place, low, high = (np.array(c, np.int64)[:, None] for c in (place, low, high))
+    starts = place - np.arange(LEAST - HEAD + 1)
+    return np.unique(starts[(starts >= 0) & (starts + LEAST <= n) & ((starts < low) | (starts + LEAST > high))])
+
+
 def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, y, sx, sy, size, px) for every pair (x, px, y, py) of candidates, short runs too."""
-    grouped = pairs.groupBy("x", "y").agg(F.collect_list(F.struct("px", "py")).alias("anchors"))  # a document's own suffixes
+    """(x, ox, y, sx, sy, size, run) for the pairs (x, ox, px, y, py) of candidates.
+
+    Their matches, short ones too, with a null ``run``; and the hash ``run`` of
+    every open run of LEAST words from ``sx`` on, with null y, sy and size.
+    """
+    grouped = pairs.groupBy("x", "y").agg(  # a document's own suffixes
+        F.first("ox").alias("ox"), F.collect_list(F.struct("px", "py")).alias("anchors"))
+    names = ["x", "ox", "y", "sx", "sy", "size", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            x, ox, y = (batch.column(c).to_pylist() for c in ("x", "ox", "y"))
             hashed = []
             for side in ("tx", "ty"):
                 own = []
@@ -151,16 +182,20 @@ def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                                     np.searchsorted(row, np.arange(1, part.num_rows)))
                 hashed.append(own)
             out = []
-            for k, anchors in enumerate(batch.column("anchors").to_pylist()):
-                for found in matches(hashed[0][k], hashed[1][k], [(p["px"], p["py"]) for p in anchors]):
-                    out.append((x[k], y[k], *found))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(6)],
-                                             ["x", "y", "sx", "sy", "size", "px"])
+            for k, places in enumerate(batch.column("anchors").to_pylist()):
+                anchors = [(p["px"], p["py"]) for p in places]
+                found = matches(hashed[0][k], hashed[1][k], anchors) if x[k] != y[k] else []
+                out += [(x[k], ox[k], y[k], *match[:3], None) for match in found]
+                at = open_runs(len(hashed[0][k]), anchors, found)
+                if len(at):
+                    values, first = np.unique(run_hashes(hashed[0][k], at, LEAST).astype(np.int64), return_index=True)
+                    out += [(x[k], ox[k], None, p, None, None, v) for p, v in zip(at[first].tolist(), values.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(7)], names)
 
     text = docs.select("row", "text")
     return (grouped.join(text.select(F.col("row").alias("x"), F.col("text").alias("tx")), "x")
             .join(text.select(F.col("row").alias("y"), F.col("text").alias("ty")), "y")
-            .mapInArrow(run, "x bigint, y bigint, sx bigint, sy bigint, size bigint, px bigint"))
+            .mapInArrow(run, ", ".join(f"{name} bigint" for name in names)))
 
 
 def _within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,21 +237,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     rows.ship(docs.sparkSession)
     found = stage(_candidates(_suffixes(docs)), "suffix-candidates")
-    part = stage(_within(docs, found.select(F.explode(F.array("x", "y", "z")).alias("row")).distinct())
+    shared = found.filter("x <> y")
+    own = found.filter("x = y").join(shared.select("key").distinct(), "key", "left_semi")
+    part = stage(_within(docs, shared.select(F.explode(F.array("x", "y")).alias("row")).distinct())
                  .select("row", "text"), "suffix-texts")
-    first = stage(_extended(found.select("x", "px", "y", "py"), part), "suffix-matches")
-    good = first.filter(F.col("size") >= LEAST)
-    # suffixes whose match with the first document is too short
-    short = stage(first.filter(F.col("size") < LEAST).select("x", "y", "sx", "size")
-                  .join(found, ["x", "y"]).filter("px >= sx and px < sx + size")
-                  .select("key", "x", "px", "y", "z", "pz"), "suffix-short")
-    heads = short.groupBy("key").agg(F.min(F.struct("x", "px")).alias("head"))
-    before = short.filter("z <> y").select("x", "px", F.col("z").alias("y"), F.col("pz").alias("py"))
-    again = short.join(heads, "key").select("x", "px", F.col("head.x").alias("y"), F.col("head.px").alias("py"))
-    second = stage(_extended(before.unionByName(again.filter("x <> y")).distinct(), part), "suffix-matches").filter(
-        F.col("size") >= LEAST)
-    both = good.unionByName(second)
-    both = _later_first(both.select("x", "y", "sx", "sy", "size"), docs)
+    first = stage(_extended(shared.unionByName(own).drop("key"), part), "suffix-matches")
+    # runs that the first document of the head does not have, or not at this place
+    runs = first.filter("run is not null").select("run", "ox", "x", F.col("sx").alias("px"))
+    heads = (runs.groupBy("run").agg(F.min(F.struct("ox", "x", "px")).alias("head"), F.min("x").alias("low"),
+                                     F.max("x").alias("high")).filter("low <> high").select("run", "head"))
+    again = runs.join(heads, "run").filter("x <> head.x").select(
+        "x", "ox", "px", F.col("head.x").alias("y"), F.col("head.px").alias("py"))
+    second = stage(_extended(again, part).filter("run is null"), "suffix-matches")
+    both = first.filter("run is null").unionByName(second).filter(F.col("size") >= LEAST)
     cut = both.select(F.col("x").alias("row"), F.col("sx").alias("start"), "size", F.col("y").alias("other"),
                       F.lit(True).alias("removed"))
     left = both.select(F.col("y").alias("row"), F.col("sy").alias("start"), "size", F.col("y").alias("other"),
@@ -224,16 +257,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     return cut.unionByName(left).distinct()
 
 
-def _later_first(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The matches with x the later document by order and row."""
-    order = docs.select("row", "ord")
-    named = (found.join(order.select(F.col("row").alias("x"), F.col("ord").alias("ox")), "x")
-             .join(order.select(F.col("row").alias("y"), F.col("ord").alias("oy")), "y"))
-    swap = F.struct("ox", "x") < F.struct("oy", "y")
-    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
-    return named.select(pick("x", "y", "x"), pick("y", "x", "y"), pick("sx", "sy", "sx"), pick("sy", "sx", "sy"), "size")
-
-
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (with ``row``) without the removed passages; a text without any is as it was."""
     spans = (found.filter("removed").groupBy("row")
