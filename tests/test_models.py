@@ -51,6 +51,28 @@ def test_forest_separates(table):
     assert {row["feature"] for row in ranked} == {"strength", "other"} and sum(r["importance"] for r in ranked) == pytest.approx(1)
 
 
+def test_search_scores_every_pair(spark, monkeypatch):
+    """The fits take a sample, the areas all pairs, each in one fold."""
+    rows = [(n, n + 1, float(n % 11), float(n % 5), int(n % 11 > 6)) for n in range(900)]
+    table = spark.createDataFrame(rows, "user1 bigint, user2 bigint, strength double, other double, label int")
+    fitted, tested = [], []
+    fit, areas = models.fit_forest, metrics.roc_areas
+    monkeypatch.setattr(models, "fit_forest", lambda train, *a, **b: fitted.append(train.count()) or fit(train, *a, **b))
+    monkeypatch.setattr(metrics, "roc_areas", lambda scored, *a: tested.append(scored.count()) or areas(scored, *a))
+    found = models.search_forest(table, ["strength", "other"], draws=2, trees=3, rows=100)
+    assert len(found) == 2 and all(0.9 < area <= 1 for _, _, area in found)
+    assert len(fitted) == 6 and all(50 < n < 170 for n in fitted)
+    assert len(tested) == 3 and sum(tested) == 2 * 900
+
+
+def test_areas_of_groups(table):
+    both = table.withColumn("side", F.lit(0)).unionByName(
+        table.withColumns({"side": F.lit(1), "score": F.col("other")}))
+    got = {row["side"]: row["auc"] for row in metrics.roc_areas(both, "side").collect()}
+    for side, score in enumerate(("score", "other")):
+        assert got[side] == pytest.approx(metrics.roc_auc(table, score).first()["auc"])
+
+
 def test_resampling_sizes(spark):
     rows = [(n, n + 1, int(n % 4 == 0)) for n in range(400)]
     table = spark.createDataFrame(rows, "user1 bigint, user2 bigint, label int")
