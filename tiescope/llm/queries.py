@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiescope.llm import ann, jaccard, language, linededup, linequality, packing, pieces, suffixes, tokencount, toxicity, wordids
+from tiescope.llm import ann, jaccard, language, linededup, linequality, packing, pieces, prefixtrie, repair, secretscan, suffixes, tokencount, toxicity, wordids
 from tiescope.llm.rows import table
 from tiescope.session import stage
 
@@ -111,6 +111,30 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, documents, sf_dir).drop("text")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by kind and place."""
+    found = secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(list(secretscan.BASE)))
+    kind = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[kind(name).alias(f"n_{name}") for name in secretscan.BASE],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure faults and cheapest repair of every conversation, after damage by row."""
+    return repair.repair(table(spark, sf_dir, "conversations"), repair.kinds())
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of conversations that share starts by hundreds."""
+    told = prefixtrie.turns(table(spark, sf_dir, "conversations"))
+    block = F.col("conv_id") - F.col("conv_id") % 100
+    pieces_ = prefixtrie.rebuilt(told, block, 5, F.crc32(F.col("conv_id").cast("string")) % 6)
+    return prefixtrie.trie(stage(pieces_, "trie-pieces"), block)
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_pieces": op2_pieces,
@@ -122,9 +146,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_line_quality": op10_line_quality,
+    "op11_secrets": op11_secrets,
+    "op12_repair": op12_repair,
+    "op13_trie": op13_trie,
 }
 
 #: SQL twins by query name, where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op6_line_dedup": linededup.SQL.format(docs="documents", sites=linededup.SITES),
+    "op11_secrets": secretscan.SQL,
 }
