@@ -74,12 +74,6 @@ def test_ratio_draw_repeats(spark):
     assert sorted(first) == sorted(again) and 400 < sum(r.label == 0 for r in first) < 800
 
 
-def test_centrality_needs_convergence(spark):
-    df = spark.createDataFrame([(1, 2, 1), (2, 3, 1)], "user1 long, user2 long, weight long")
-    with pytest.raises(ValueError):  # a path swings between two vectors for ever
-        graph.eigenvector(df, limit=10)
-
-
 def test_shared_folder(spark, monkeypatch):
     class Context:
         master, applicationId = "spark://host:7077", "app"

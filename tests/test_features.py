@@ -59,9 +59,17 @@ def test_mutual(spark):
 
 
 def test_app_jaccard(spark):
-    rows = [(None, None), (["x"], ["x", "y"]), (["x"], None)]
-    table = spark.createDataFrame(rows, "apps1 array<string>, apps2 array<string>")
-    assert [row[0] for row in table.select(features.app_jaccard_of()).collect()] == [1.0, 0.5, 0.0]
+    sets = {"a": {f"p{k}" for k in range(0, 150, 2)}, "b": {f"p{k}" for k in range(0, 150, 3)}, "c": {"p1"}}
+    rows = [(user, app) for user, own in sets.items() for app in [*own, *own]] + [("c", None)]
+    words = features.app_sets(spark.createDataFrame(rows, "useruuid string, package_name string"))
+    assert {r["useruuid"]: r["n_apps"] for r in words.collect()} == {user: len(own) for user, own in sets.items()}
+    users = [*sets, "nobody", "none"]
+    pairs = spark.createDataFrame([(a, b) for a in users for b in users if a < b], "user1 string, user2 string")
+    found = {(r["user1"], r["user2"]): r["j"] for r in pairing.attach_both(pairs, words).select(
+        "user1", "user2", features.app_jaccard_of().alias("j")).collect()}
+    for (a, b), jaccard in found.items():
+        one, two = sets.get(a, set()), sets.get(b, set())
+        assert jaccard == pytest.approx(len(one & two) / len(one | two) if one | two else 1.0)
 
 
 def test_repeated_rows_add_nothing(spark):

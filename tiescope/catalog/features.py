@@ -96,11 +96,11 @@ def part(table: str, *columns: str) -> str:
 
 
 def period_one(t: Inputs):
-    return t.presence_in(1)
+    return t.stored_in(1)
 
 
 def plain(t: Inputs):
-    return co_occurrences(period_one(t))
+    return t.met_in(1)
 
 
 def crowd(name: str):
@@ -128,7 +128,7 @@ def app_jaccard(t: Inputs):
 def specificity(activity: str):
     def build(t: Inputs):
         people = period_one(t)
-        counted = co_occurrences(people).groupBy(*PAIR).agg(F.count("*").alias("num_coocs"))
+        counted = co_occurrences(people, placed=True).groupBy(*PAIR).agg(F.count("*").alias("num_coocs"))
         return attach_both(counted, user_activity(people)).select(
             *PAIR, features.specificity_of(activity).alias("specificity"))
     return build
@@ -151,7 +151,7 @@ def dataset_sql(half: int, filtered: bool) -> str:
 
 
 def whole_table(t: Inputs):
-    return features.labelled_features(t.presence, CONFIG, PERIODS[0], PERIODS[1],
+    return features.labelled_features(t.stored, CONFIG, PERIODS[0], PERIODS[1],
                                       apps=t.apps, demographics=t.people)
 
 
@@ -165,7 +165,7 @@ def core_table(t: Inputs):
 
 
 def basic_features(t: Inputs):
-    return features.place_features(co_occurrences(t.presence))
+    return features.place_features(t.met)
 
 
 QUERIES = {

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tiescope.catalog.base import MET_SQL, Query, r6, sql
 from tiescope.operators import cleaning, pairing
-from tiescope.operators.presence import CELL, cell_population, location_entropy
-from tiescope.plans.inputs import CONFIG, Inputs
+from tiescope.operators.presence import CELL, cell_population, location_entropy, stored
+from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 
 
 def of_one_user(t: Inputs):
@@ -16,7 +16,6 @@ def of_one_user(t: Inputs):
 
 
 def of_two_users(t: Inputs):
-    from tiescope.plans.inputs import PERIODS
     return pairing.co_occurrences_of(t.binned, 12, 16, PERIODS[0], t.perimeters).select(
         "id", "spatial_bin", "time_bins", "own_bins")
 
@@ -27,14 +26,13 @@ def filled(t: Inputs):
 
 
 def population(t: Inputs):
-    people = t.presence_in(1)
-    met = pairing.co_occurrences(people).drop("people")
-    return met.join(cell_population(people), CELL)
+    return t.met.join(cell_population(t.stored), CELL)
 
 
 def entropy(t: Inputs):
-    people = t.presence_in(1)
-    met = pairing.co_occurrences(people).groupBy("user1", "user2", "spatial_bin").agg(F.count("*").alias("visits"))
+    people = stored(t.locations, CONFIG, PERIODS[0])
+    met = (pairing.co_occurrences(people, placed=True).groupBy("user1", "user2", "spatial_bin")
+           .agg(F.count("*").alias("visits")))
     return met.join(location_entropy(people), "spatial_bin")
 
 
@@ -44,7 +42,7 @@ ENTROPY_SQL = """ent AS (SELECT spatial_bin, -sum(n / tot * log2(n / tot)) AS h
 
 QUERIES = {
     "d1_cooccurrences": Query(
-        lambda t: pairing.co_occurrences(t.presence).select("user1", "user2", "spatial_bin", "time_bin"),
+        lambda t: t.met.select("user1", "user2", "spatial_bin", "time_bin"),
         sql("SELECT user1, user2, spatial_bin, time_bin FROM co")),
     "d2_cooccurrences_of_user": Query(of_one_user, sql(
         """SELECT id, useruuid, spatial_bin, array_to_string(time_bins, ',') AS time_bins,
@@ -79,22 +77,21 @@ far AS (SELECT * FROM binned b WHERE useruuid = 16 AND NOT EXISTS (SELECT 1 FROM
         """SELECT id, CASE WHEN country <> '' THEN country WHEN place % 3 = 0 THEN 'Sweden'
  WHEN place % 3 = 1 THEN 'South Africa' WHEN place % 6 = 2 THEN 'South Korea' ELSE '' END AS country FROM loc""")),
     "d8_met_next": Query(
-        lambda t: pairing.met_next(pairing.dyads(pairing.co_occurrences(t.presence_in(1))),
-                                   pairing.co_occurrences(t.presence_in(2))),
+        lambda t: pairing.met_next(pairing.dyads(t.met_in(1)), t.met_in(2)),
         sql("""SELECT DISTINCT user1, user2, CAST(EXISTS (SELECT 1 FROM c2 n WHERE n.user1 = c1.user1
  AND n.user2 = c1.user2) AS BIGINT) AS label FROM c1""")),
     "d9_cell_population": Query(population, sql(
-        """SELECT user1, user2, c1.spatial_bin, c1.time_bin, people FROM c1 JOIN (SELECT spatial_bin, time_bin,
- count(*) AS people FROM p1 GROUP BY ALL) n ON n.spatial_bin = c1.spatial_bin AND n.time_bin = c1.time_bin""")),
+        """SELECT user1, user2, co.spatial_bin, co.time_bin, people FROM co JOIN (SELECT spatial_bin, time_bin,
+ count(*) AS people FROM pr GROUP BY ALL) n ON n.spatial_bin = co.spatial_bin AND n.time_bin = co.time_bin""")),
     "d10_entropy": Query(entropy, sql(
         f"""SELECT user1, user2, c1.spatial_bin, count(*) AS visits, {r6('any_value(h)')} AS entropy
  FROM c1 JOIN ent USING (spatial_bin) GROUP BY ALL""", ENTROPY_SQL)),
     "d11_user_lookup": Query(
-        lambda t: pairing.attach_both(pairing.dyads(pairing.co_occurrences(t.presence_in(1))),
+        lambda t: pairing.attach_both(pairing.dyads(t.met),
                                       t.people.select("useruuid", "gender", "age"))
         .fillna(-1, ["age1", "age2"]),
         sql("""SELECT user1, user2, a.gender AS gender1, coalesce(CAST(a.age AS BIGINT), -1) AS age1, b.gender AS gender2,
- coalesce(CAST(b.age AS BIGINT), -1) AS age2 FROM (SELECT DISTINCT user1, user2 FROM c1) c
+ coalesce(CAST(b.age AS BIGINT), -1) AS age2 FROM (SELECT DISTINCT user1, user2 FROM co) c
  LEFT JOIN aged a ON a.useruuid = user1 LEFT JOIN aged b ON b.useruuid = user2""")),
     "d12_only_in_one": Query(
         lambda t: pairing.only_in_one(t.locations, t.people),

@@ -12,7 +12,7 @@ from tiescope.catalog.base import Query, r6, sql
 from tiescope.ml import metrics, models
 from tiescope.operators import sampling
 from tiescope.operators.features import CORE_FEATURES, place_features
-from tiescope.operators.pairing import co_occurrences, met_next
+from tiescope.operators.pairing import met_next
 from tiescope.plans.dataset import build_dataset
 from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 from tiescope.session import stage
@@ -76,10 +76,26 @@ def search(t: Inputs):
     return t.spark.createDataFrame(models.search_forest(train_set(t), CORE_FEATURES, rows=SEARCH_ROWS), "max_features int, impurity string, auc double")
 
 
+def best(t: Inputs):
+    """The best setting of the search and its AUC on the test set."""
+    found = models.best_forest(*both_sets(t), CORE_FEATURES, SEARCH_ROWS)
+    return t.spark.createDataFrame([found], "max_features int, impurity string, auc double, test_auc double")
+
+
 def two_fold(t: Inputs):
     return models.two_fold(*both_sets(t), forest_model)
 
 
+def fold_report(t: Inputs):
+    return models.fold_report(*models.out_of_fold(*both_sets(t), forest_model), CORE_FEATURES)
+
+
+def fold_totals(t: Inputs):
+    """Pairs by fold, label and prediction of the baseline."""
+    predicted, _ = models.out_of_fold(*both_sets(t), models.fit_baseline)
+    return predicted.groupBy("fold", "label").agg(F.count("*").alias("rows"))
+
+
 def forest_importances(t: Inputs):
     return models.importances(forest_model(train_set(t)), CORE_FEATURES, t.spark)
 
@@ -96,8 +112,8 @@ def areas(t: Inputs):
 
 def rule(t: Inputs, first: int = 1):
     """Pairs of a period with the label of the next, scored by co-occurrences and diversity."""
-    pairs = place_features(co_occurrences(t.presence_in(first)))
-    labelled = met_next(pairs, co_occurrences(t.presence_in(first + 1)))
+    pairs = place_features(t.met_in(first))
+    labelled = met_next(pairs, t.met_in(first + 1))
     score = F.round(F.col("num_coocs") + F.col("unique_coocs") / 100, 2)
     return labelled.select("user1", "user2", "label", score.alias("score"),
                            (F.col("num_coocs") >= 3).cast("int").alias("prediction"))
@@ -124,7 +140,13 @@ QUERIES = {
     "k1_baseline": Query(baseline, two_level_sql("SELECT user1, user2, label, prediction, round(score, 4) + 0.0 AS score FROM scored_")),
     "k2_forest": Query(forest),
     "k3_search": Query(search),
+    "k3_best": Query(best),
     "k4_two_fold": Query(two_fold),
+    "k4_fold_report": Query(fold_report),
+    "k4_fold_totals": Query(fold_totals, sql(" UNION ALL ".join(
+        f"""SELECT CAST({fold} AS BIGINT) AS fold, label, count(*) AS rows FROM (SELECT user1, user2,
+ CAST(EXISTS (SELECT 1 FROM c{period + 1} n WHERE n.user1 = c.user1 AND n.user2 = c.user2) AS BIGINT) AS label
+ FROM (SELECT DISTINCT user1, user2 FROM c{period}) c) GROUP BY ALL""" for fold, period in ((0, 2), (1, 1))))),
     "k5_roc_curve": Query(lambda t: metrics.roc_curve(rule(t)), sql(
         f"SELECT score, {r6('fp / n')} AS fpr, {r6('tp / p')} AS tpr FROM pts_rule", rule_sql())),
     "k5_roc_auc": Query(lambda t: metrics.roc_auc(rule(t)), sql(

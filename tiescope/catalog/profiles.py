@@ -13,11 +13,10 @@ from tiescope.config import Period
 from tiescope.operators import cohorts, heatmaps, presence, profiles
 from tiescope.operators.cleaning import accurate, in_country
 from tiescope.operators.features import CORE_FEATURES, cell_visits
-from tiescope.operators.pairing import co_occurrences
 from tiescope.plans.dataset import build_dataset
 from tiescope.plans.inputs import CONFIG, DAYS, FIRST_DAY, LAST_DAY, PERIODS, Inputs
 from tiescope.session import scratch_path
-from tiescope.sources.readers import file_extent
+from tiescope.sources.readers import file_extent, input_folder
 
 QUANTILE_SQL = ", ".join(f"{r6(f'quantile_cont(v, {p})')} AS q{round(p * 100)}" for p in (0.0, 0.25, 0.5, 0.75, 1.0))
 SUMMARY_SQL = f"count(*) AS rows, {QUANTILE_SQL}, {r6('avg(v)')} AS mean, {r6('stddev_samp(v)')} AS std"
@@ -50,21 +49,36 @@ def package_counts(t: Inputs):
     return t.apps.groupBy("package_name").agg(F.count("*").alias("rows"))
 
 
+def by_day_files(t: Inputs):
+    """Locations written with one folder and file a day, and read again."""
+    path = scratch_path(t.spark, "days")
+    (t.locations.withColumn("day", F.date_format("start_time", "yyyy-MM-dd")).repartition("day")
+     .write.partitionBy("day").parquet(path))
+    return t.spark.read.parquet(path)
+
+
 def counts_by_file(t: Inputs, order: str):
-    counted = profiles.value_counts(t.locations, F.col("name"), F.date_format("start_time", "yyyy-MM-dd"))
+    counted = profiles.value_counts(by_day_files(t), F.col("name"), input_folder())
     return profiles.sorted_counts(counted, order)
 
 
+def counts_sql(order: str) -> str:
+    return sql(f"""SELECT 'day=' || source AS source, value, rows, row_number() OVER (PARTITION BY source ORDER BY {order}) AS place,
+ {r6('max(rows) OVER (PARTITION BY source) / sum(rows) OVER (PARTITION BY source)')} AS top_share FROM vc""", VALUE_SQL)
+
+
 VALUE_SQL = """vc AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS source, 'place ' || (k % 20) AS value, count(*) AS rows
   FROM ev GROUP BY ALL)"""
 
 
-def extent(t: Inputs):
-    """Extent of every written file, then of all; files are named by Spark."""
-    path = scratch_path(t.spark, "extent")
-    t.locations.select("id", "country", "start_time", "end_time").write.partitionBy("country").parquet(path)
-    found = file_extent(t.spark.read.parquet(path))
-    return found.agg(F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
+def hex_sql(size: float) -> str:
+    """Hexagon of a point: rounding of three coordinates that sum to 0."""
+    return f"""hx AS (SELECT id, (longitude * {3 ** 0.5 / 3!r}::DOUBLE - latitude / 3) / {size!r}::DOUBLE AS q,
+  latitude * {2 / 3!r}::DOUBLE / {size!r}::DOUBLE AS r FROM loc),
+hr AS (SELECT *, -q - r AS s, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM hx),
+ho AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - s) AS ds FROM hr),
+hex AS (SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q,
+  CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM ho)"""
 
 
 def pairs_at_perimeters_sql(source: str) -> str:
@@ -147,9 +161,9 @@ QUERIES = {
         f"SELECT package_name, rows, {r6('share')} AS share, {r6('cdf')} AS cdf FROM acc", SHARE_SQL)),
     "e11_coverage": Query(lambda t: profiles.coverage(package_counts(t), "package_name", 0.8).select("package_name", "rows"), sql(
         "SELECT package_name, rows FROM acc WHERE cdf - share < 0.8", SHARE_SQL)),
-    "e12_value_counts": Query(lambda t: counts_by_file(t, "desc"), sql(
-        f"""SELECT source, value, rows, {r6('max(rows) OVER (PARTITION BY source) / sum(rows) OVER (PARTITION BY source)')}
- AS top_share FROM vc""", VALUE_SQL)),
+    "e12_value_counts": Query(lambda t: counts_by_file(t, "desc"), counts_sql("rows DESC, value DESC")),
+    "e12_counts_ascending": Query(lambda t: counts_by_file(t, "asc"), counts_sql("rows, value")),
+    "e12_counts_by_value": Query(lambda t: counts_by_file(t, "value"), counts_sql("value")),
     "e13_updates_per_month": Query(lambda t: profiles.mean_updates_per_month(t.locations), sql(UPDATE_MONTH_SQL)),
     "e14_hourly_profile": Query(lambda t: profiles.hourly_profile(
         t.locations, profiles.local_hour({"Japan": "Asia/Tokyo", "Sweden": "Europe/Stockholm"})), sql(
@@ -212,13 +226,16 @@ QUERIES = {
     "e30_density": Query(lambda t: profiles.density(t.locations, 2), sql(
         f"""SELECT CAST(floor((latitude + 90.0) * 100.0) AS BIGINT) * 36000 + CAST(floor((longitude + 180.0) * 100.0) AS BIGINT) AS cell,
  count(*) AS rows, {r6('log10(count(*))')} AS log_rows FROM loc GROUP BY 1""")),
+    "e30_hex_density": Query(lambda t: profiles.hex_density(t.locations, 0.0011), sql(
+        f"SELECT q, r, count(*) AS rows, {r6('log10(count(*))')} AS log_rows FROM hex GROUP BY ALL", hex_sql(0.0011))),
     "e31_row_count": Query(lambda t: accurate(in_country(t.locations, "Sweden")).agg(F.count("*").alias("rows")), sql(
         f"SELECT count(*) AS rows FROM {SWEDEN} WHERE accuracy BETWEEN 0 AND 55000")),
     "e32_occupancy": Query(lambda t: cohorts.occupancy(t.presence, PERIODS), sql(
         f"""SELECT useruuid, time_bin // 240 + 1 AS period, count(DISTINCT time_bin) AS bins,
  {r6('count(DISTINCT time_bin) / 240.0')} AS occupancy FROM pr WHERE time_bin BETWEEN 0 AND 719 GROUP BY ALL""")),
-    "e33_file_extent": Query(extent, sql(
-        "SELECT min(s0) + 1704067200 AS first_start, max(s1) + 1704067200 AS last_end FROM loc")),
-    "i_cell_visits": Query(lambda t: cell_visits(co_occurrences(t.presence_in(1))), sql(
-        "SELECT user1, user2, spatial_bin, count(*) AS visits FROM c1 GROUP BY ALL")),
+    "e33_file_extent": Query(lambda t: file_extent(by_day_files(t), "folder"), sql(
+        """SELECT 'day=' || strftime(CAST(ts AS DATE), '%Y-%m-%d') AS folder, min(s0) + 1704067200 AS first_start,
+ max(s0 + (event_id % 180 + 5) * 60) + 1704067200 AS last_end FROM ev GROUP BY 1""")),
+    "i_cell_visits": Query(lambda t: cell_visits(t.met), sql(
+        "SELECT user1, user2, spatial_bin, count(*) AS visits FROM co GROUP BY ALL")),
 }

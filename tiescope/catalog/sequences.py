@@ -9,7 +9,6 @@ from tiescope.catalog.binning import STEP_SQL
 from tiescope.catalog.cleaning import DAY_SQL
 from tiescope.operators import cohorts, features, mobility
 from tiescope.operators.cleaning import in_country
-from tiescope.operators.pairing import co_occurrences
 from tiescope.plans.inputs import DAYS, FIRST_DAY, LAST_DAY, PERIODS, Inputs
 
 TRAVEL_SQL = """steps_of AS (SELECT *, CASE WHEN time_bin - lag(time_bin) OVER w = 1 THEN 0 ELSE 1 END AS fresh,
@@ -60,7 +59,7 @@ QUERIES = {
     "f2_update_gaps": Query(lambda t: mobility.update_gaps(t.locations), sql(
         f"""SELECT useruuid, {r6('avg((s1 - p0) / 60.0)')} AS minutes FROM (
  SELECT *, lag(s0) OVER (PARTITION BY useruuid ORDER BY s0, s1, id) AS p0 FROM loc) WHERE p0 IS NOT NULL GROUP BY 1""")),
-    "f3_common_travels": Query(lambda t: features.common_travels(co_occurrences(t.presence_in(1))), sql(
+    "f3_common_travels": Query(lambda t: features.common_travels(t.met_in(1)), sql(
         "SELECT user1, user2, common_travels FROM travels", TRAVEL_SQL)),
     "f4_trajectories": Query(trajectories, TRAJECTORY_SQL),
     "f5_near_duplicates": Query(

@@ -9,7 +9,6 @@ from tiescope import schemas
 from tiescope.catalog.base import MET_SQL, Query, r6, sql
 from tiescope.catalog.profiles import LABELLED_SQL, labelled
 from tiescope.operators.features import CORE_FEATURES
-from tiescope.operators.pairing import co_occurrences
 from tiescope.plans.inputs import AS_OF, CONFIG, Inputs
 from tiescope.plans.viewer import cooccurrence_points
 from tiescope.session import register, scratch_path, stage
@@ -110,7 +109,7 @@ def missing(inputs: Inputs) -> DataFrame:
 
 def edge_list(inputs: Inputs) -> DataFrame:
     path = scratch_path(inputs.spark, "edges")
-    writers.write_edges(co_occurrences(inputs.presence), path)
+    writers.write_edges(inputs.met, path)
     read = inputs.spark.read.schema("user1 bigint, user2 bigint").option("sep", ";").csv(path)
     return read.groupBy("user1", "user2").agg(F.count("*").alias("rows"))
 
@@ -150,11 +149,14 @@ def read_apps(inputs: Inputs) -> DataFrame:
 
 
 def read_geocodes(inputs: Inputs) -> DataFrame:
-    """Geocoder answers, one JSON array for each country part."""
+    """Geocoder answers, a JSON array for each part of a country.
+
+    Parts follow the map, about a degree wide, so a country with many places is many arrays.
+    """
     path = scratch_path(inputs.spark, "geocodes")
     rows = inputs.geocodes.select("lat", "lng", "country", "motel")
-    (rows.groupBy(F.coalesce("country", F.lit("")).alias("part"))
-     .agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))  # a row for each place
+    (rows.groupBy(F.coalesce("country", F.lit("")).alias("part"), F.floor("lat"), F.floor("lng"))
+     .agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
      .select("value").write.option("maxRecordsPerFile", 1).text(path))
     return readers.read_geocodes(inputs.spark, path)
 
@@ -201,7 +203,7 @@ QUERIES = {
     "a6_insert_location": Query(insert, sql(
         "SELECT id, useruuid, country, spatial_bin, array_to_string(time_bins, ',') AS time_bins FROM binned")),
     "a7_libsvm": Query(lambda t: libsvm(t, None), LIBSVM_SQL),
-    "a8_intermediate": Query(lambda t: stage(co_occurrences(t.presence).drop("people"), "coocs"), sql(
+    "a8_intermediate": Query(lambda t: stage(t.met, "coocs"), sql(
         "SELECT user1, user2, spatial_bin, time_bin FROM co")),
     "a9_missing_rows": Query(missing, sql(
         f"SELECT id, {r6('longitude')} AS longitude, {r6('latitude')} AS latitude FROM loc WHERE country = ''")),

@@ -54,16 +54,21 @@ def time_steps(start: Column, end: Column, minutes: int) -> Column:
     return F.when(start < end, steps).otherwise(F.array().cast("array<timestamp>"))
 
 
-def covered_days(start: Column, end: Column, zone: str | Column = "UTC") -> Column:
-    """Array of the local dates an update overlaps.
+def covered_days(start: Column, end: Column, zone: str | Column = "UTC",
+                 between: tuple[str, str] | None = None) -> Column:
+    """Array of the local dates an update overlaps, of those ``between`` two days (both included).
 
     An update that ends at midnight sharp does not touch the new day; one
-    without duration belongs to the day it starts in.
+    without duration belongs to the day it starts in. With ``between`` a far
+    end time makes no more dates than lie there.
     """
     first = F.to_date(local(start, zone))
     before_end = F.timestamp_micros(F.unix_micros(end) - 1)
     last = F.greatest(first, F.to_date(local(before_end, zone)))
-    return F.when(end >= start, F.sequence(first, last)).otherwise(
+    if between is not None:
+        first = F.greatest(first, F.to_date(F.lit(between[0])))
+        last = F.least(last, F.to_date(F.lit(between[1])))
+    return F.when((end >= start) & (first <= last), F.sequence(first, last)).otherwise(
         F.array().cast("array<date>"))
 
 

@@ -30,3 +30,20 @@ def point_geojson(lng: Column, lat: Column) -> Column:
     return F.to_json(F.struct(
         F.lit("Point").alias("type"),
         F.array(lng, lat).alias("coordinates")))
+
+
+def hexagon(x: Column, y: Column, size: float) -> tuple[Column, Column]:
+    """Axial coordinates (q, r) of the hexagon with edge ``size`` a point lies in, a corner pointing up.
+
+    The fractional coordinates q, r and s = -q - r are rounded; the one that
+    moved most follows from the other two, so their sum stays 0.
+    """
+    q = (x * F.lit(3 ** 0.5 / 3) - y / 3) / F.lit(size)
+    r = y * F.lit(2 / 3) / F.lit(size)
+    s = -q - r
+    whole = [F.round(c) for c in (q, r, s)]
+    off = [F.abs(a - c) for a, c in zip(whole, (q, r, s))]
+    q_moves = (off[0] > off[1]) & (off[0] > off[2])
+    r_moves = ~q_moves & (off[1] > off[2])
+    return (F.when(q_moves, -whole[1] - whole[2]).otherwise(whole[0]).cast("bigint"),
+            F.when(r_moves, -whole[0] - whole[2]).otherwise(whole[1]).cast("bigint"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiescope.config import Period
-from tiescope.functions.calendar import local
+from tiescope.functions.calendar import covered_days, local
 from tiescope.operators.graph import components
-from tiescope.operators.heatmaps import user_days
+from tiescope.operators.heatmaps import activity
 from tiescope.operators.ordering import running_total, with_bucket, with_previous
 from tiescope.operators.pairing import grid_join
 from tiescope.operators.presence import activity_by_period, period_of
@@ -114,9 +114,8 @@ def users_every_day(df: DataFrame, first_day: str, last_day: str) -> DataFrame:
 
 def users_with_few_gaps(df: DataFrame, first_day: str, last_day: str, below: int) -> DataFrame:
     """Users with fewer than ``below`` days without an update."""
-    return (user_days(df, first_day, last_day).groupBy("useruuid")
-            .agg(F.count_if(F.col("value") == 0).alias("empty_days"))
-            .filter(F.col("empty_days") < below))
+    return (activity(df, first_day, last_day).filter(F.col("empty_days") < below)
+            .select("useruuid", "empty_days"))
 
 
 def updates_by_period(people: DataFrame, periods: list[Period]) -> DataFrame:
@@ -135,17 +134,24 @@ def users_by_empty_periods(people: DataFrame, periods: list[Period]) -> DataFram
 
 
 def day_patterns(df: DataFrame, first_day: str, last_day: str) -> DataFrame:
-    """Days with an update as bit words, 62 days each, plus the active days."""
-    days = user_days(df, first_day, last_day)
-    offset = F.datediff("day", F.to_date(F.lit(first_day)))
-    bit = F.when(F.col("value") > 0, F.expr(f"shiftleft(1L, cast(offset % {WORD} as int))")).otherwise(0)
-    words = (days.withColumn("offset", offset)
-             .groupBy("useruuid", F.floor(F.col("offset") / WORD).alias("word"))
-             .agg(F.bit_or(bit.cast("bigint")).alias("bits"), F.sum("value").alias("active")))
-    return words.groupBy("useruuid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))),
-                    lambda item: item["bits"]).alias("pattern"),
-        F.sum("active").alias("active"))
+    """Days with an update as bit words, 62 days each, plus the active days.
+
+    Only days that were seen are opened; the words of a range are as many for
+    every user, those without a day are 0.
+    """
+    days = covered_days(F.col("start_time"), F.col("end_time"), "UTC", (first_day, last_day))
+    start = F.to_date(F.lit(first_day))
+    seen = df.select("useruuid", F.explode_outer(days).alias("day")).distinct().withColumn(
+        "offset", F.datediff("day", start))
+    bit = F.expr(f"shiftleft(1L, cast(offset % {WORD} as int))")
+    words = seen.groupBy("useruuid", F.floor(F.col("offset") / WORD).alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.count("offset").alias("active"))
+    last_word = F.floor(F.datediff(F.to_date(F.lit(last_day)), start) / WORD)
+    own = F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "bits"))))
+    return words.groupBy("useruuid").agg(own.alias("own"), F.sum("active").alias("active")).select(
+        "useruuid", F.transform(F.sequence(F.lit(0).cast("bigint"), last_word),
+                                lambda word: F.coalesce(F.try_element_at("own", word), F.lit(0).cast("bigint"))).alias("pattern"),
+        "active")
 
 
 def _different(first: F.Column, second: F.Column) -> F.Column:

@@ -19,6 +19,7 @@ from tiescope.functions.binning import bin_start
 from tiescope.functions.calendar import is_evening, is_saturday_night, is_weekend
 from tiescope.operators.cleaning import in_period, plausible_people, sessions_in_period
 from tiescope.operators.graph import common_contacts
+from tiescope.operators.ordering import encode, lookup
 from tiescope.operators.pairing import (BLOCK_ROWS, attach_both, both_selected, co_occurrences,
                                         met_next)
 from tiescope.operators.presence import (CELL, location_entropy, user_activity, with_arrivals)
@@ -73,8 +74,9 @@ def cell_context(people: DataFrame, ref_compat: bool = False) -> DataFrame:
 def context_coocs(people: DataFrame, block_rows: int = BLOCK_ROWS,
                   ref_compat: bool = False) -> DataFrame:
     """Co-occurrences with the statistics of their cell and both arrival flags."""
-    flagged = with_arrivals(people)
-    return co_occurrences(flagged, cell_context(flagged, ref_compat), ("arrived", "leaves"), block_rows)
+    flagged = stage(with_arrivals(people), "flagged")
+    cells = stage(cell_context(flagged, ref_compat), "cells")
+    return co_occurrences(flagged, cells, ("arrived", "leaves"), block_rows)
 
 
 def arrive_leave_term() -> Column:
@@ -211,17 +213,32 @@ def specificity_of(activity: str = "presences") -> Column:
     return F.col("num_coocs") / (F.col(f"{activity}1") + F.col(f"{activity}2"))
 
 
+APP_SET = "map<bigint,bigint>"
+
+
 def app_sets(apps: DataFrame) -> DataFrame:
-    """Set of packages per user (bounded by the number of apps there are)."""
-    return apps.groupBy("useruuid").agg(F.collect_set("package_name").alias("apps"))
+    """Set of packages per user as bit words: ``apps``, a map from word to bits, and ``n_apps``.
+
+    Packages are numbered in the order of their names, 64 to a word; a set
+    holds the words that have a bit.
+    """
+    used = stage(apps.select("useruuid", "package_name").filter(F.col("package_name").isNotNull()).distinct(), "used")
+    slots = encode(used, "package_name").select(
+        "package_name", F.shiftright("code", 6).alias("word"), F.expr("shiftleft(1L, cast(code % 64 as int))").alias("bit"))
+    words = lookup(used, "package_name", slots).groupBy("useruuid", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("useruuid").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("word").cast("bigint"), "bits"))).alias("apps"),
+        F.sum(F.bit_count("bits")).alias("n_apps"))
 
 
 def app_jaccard_of() -> Column:
     """Jaccard index of the two app sets; two empty sets are equal."""
-    none = F.array().cast("array<string>")
+    none = F.create_map().cast(APP_SET)
     first, second = F.coalesce("apps1", none), F.coalesce("apps2", none)
-    total = F.size(F.array_union(first, second))
-    return F.when(total == 0, 1.0).otherwise(F.size(F.array_intersect(first, second)) / total)
+    shared = F.aggregate(F.map_entries(first), F.lit(0), lambda total, e: total + F.coalesce(
+        F.bit_count(e["value"].bitwiseAND(F.try_element_at(second, e["key"]))), F.lit(0)))
+    total = F.coalesce("n_apps1", F.lit(0)) + F.coalesce("n_apps2", F.lit(0)) - shared
+    return F.when(total == 0, 1.0).otherwise(shared / total)
 
 
 def similarity_columns() -> dict[str, Column]:
@@ -249,7 +266,7 @@ def user_profiles(people: DataFrame, apps: DataFrame | None,
     if apps is not None:
         profiles = profiles.join(app_sets(apps), "useruuid", "left")
     else:
-        profiles = profiles.withColumn("apps", F.array().cast("array<string>"))
+        profiles = profiles.withColumns({"apps": F.lit(None).cast(APP_SET), "n_apps": F.lit(0)})
     if demographics is not None:
         known = demographics.select("useruuid", "gender", "age", F.lit(True).alias("listed"))
         return profiles.join(known, "useruuid", "left")

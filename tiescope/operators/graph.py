@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiescope.operators.ordering import encode, running_total
-from tiescope.session import stage
+from tiescope.operators.ordering import HOT_ROWS, encode, lookup, running_total
+from tiescope.session import bucketed, stage
 
 PAIR = ["user1", "user2"]
 
@@ -107,51 +107,88 @@ def clustering(pairs: DataFrame) -> DataFrame:
         "clustering", F.when(possible > 0, 2 * F.col("triangles") / possible).otherwise(0.0))
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def contractions(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
+    """Staged tables (useruuid, parent), one per round, until no edge is left.
+
+    Each user takes the contact (or itself) that comes first in the order of a
+    hash, then the choice of that one. Users are replaced by their choice;
+    edges inside a group go, double ones become one. The hash keeps chains of
+    choices short, so the graph shrinks by a constant factor in each round.
+    """
+    links = stage(pairs.select(*PAIR), "links")
+    maps = []
+    while not links.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("u"))
+        first = ends(links).groupBy("useruuid").agg(F.min(ranked("contact")).alias("best")).select(
+            "useruuid", F.least("best", ranked("useruuid"))["u"].alias("parent"))
+        chosen = stage(first, "chosen")
+        further = chosen.filter(F.col("useruuid") != F.col("parent")).select(
+            F.col("useruuid").alias("parent"), F.col("parent").alias("further"))
+        step = stage(lookup(chosen, "parent", further, "left", hot_rows).select(
+            "useruuid", F.coalesce("further", "parent").alias("parent")), "contracted")
+        maps.append(step)
+        for side in PAIR:
+            renamed = step.select(F.col("useruuid").alias(side), F.col("parent").alias(f"new_{side}"))
+            links = lookup(links, side, renamed, "inner", hot_rows)
+        a, b = F.col("new_user1"), F.col("new_user2")
+        links = stage(links.filter(a != b).select(F.least(a, b).alias("user1"), F.greatest(a, b).alias("user2")).distinct(),
+                      "links")
+    return maps
+
+
+def components(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Component of every user, named by its smallest user.
 
-    Each round takes the smallest label among a user and the contacts, then
-    the label of that label, which halves long chains. Rounds are staged.
+    The graph is contracted round by round; what lies inside a group leaves
+    the work. The choices of the rounds are then followed from the last to the
+    first, and groups that many users share are cut in every lookup.
     """
-    neighbours = stage(ends(pairs.select(*PAIR)), "neighbours")
-    labels = stage(neighbours.groupBy("useruuid").agg(
-        F.least(F.col("useruuid"), F.min("contact")).alias("component")), "labels")
-    while True:
-        offered = (neighbours.join(labels.select(F.col("useruuid").alias("contact"),
-                                                 F.col("component").alias("offer")), "contact")
-                   .groupBy("useruuid").agg(F.min("offer").alias("offer")))
-        nearer = labels.join(offered, "useruuid").select(
-            "useruuid", F.col("component").alias("old"),
-            F.least("component", "offer").alias("component"))
-        # Only labels that themselves moved on lead anywhere; they get few.
-        jump = (labels.filter(F.col("useruuid") != F.col("component"))
-                .select(F.col("useruuid").alias("component"), F.col("component").alias("further")))
-        step = stage(nearer.join(jump, "component", "left").select(
-            "useruuid", "old", F.least("component", "further").alias("component")), "labels")
-        labels = step.select("useruuid", "component")
-        if step.filter(F.col("old") != F.col("component")).isEmpty():
-            return labels
-
-
-def eigenvector(weighted: DataFrame, tolerance: float = 1e-8, limit: int = 500, stage_every: int = 5) -> DataFrame:
+    maps = contractions(pairs, hot_rows)
+    if not maps:
+        return nodes(pairs).select("useruuid", F.col("useruuid").alias("component"))
+    roots = maps[-1]
+    for step in reversed(maps[:-1]):
+        then = roots.select(F.col("useruuid").alias("parent"), F.col("parent").alias("root"))
+        roots = stage(lookup(step, "parent", then, "left", hot_rows).select(
+            "useruuid", F.coalesce("root", "parent").alias("parent")), "roots")
+    names = roots.groupBy("parent").agg(F.min("useruuid").alias("component"))
+    return lookup(roots, "parent", names, "inner", hot_rows).select("useruuid", "component")
+
+
+def eigenvector(weighted: DataFrame, tolerance: float = 1e-9, limit: int = 1000, stage_every: int = 5) -> DataFrame:
     """Eigenvector centrality by power iteration, largest value 1.
 
-    Rounds go on until no score changes by more than ``tolerance``; without
-    that after ``limit`` rounds the result would be wrong, so it is an error.
+    The iteration runs on the matrix plus a multiple of the identity, a quarter
+    of the largest value as the Rayleigh quotient of the rounds so far gives it.
+    It has the same vectors, but where the contacts fall into two sides (a
+    bipartite graph) its largest value stands alone, so the scores converge
+    there as well. Rounds go on until no score changes by more than
+    ``tolerance``; without that after ``limit`` rounds the result would be
+    wrong, so it is an error.
+
+    The edges are stored once in buckets by contact: no round moves them.
     """
-    neighbours = stage(ends(weighted), "neighbours")
+    itself = nodes(weighted).select("useruuid", F.col("useruuid").alias("contact"),
+                                    F.lit(None).cast(weighted.schema["weight"].dataType).alias("weight"))
+    neighbours = bucketed(ends(weighted).select("useruuid", "contact", "weight").unionByName(itself), ["contact"], "neighbours")
     scores = stage(neighbours.select("useruuid").distinct().withColumn("score", F.lit(1.0)), "scores")
+    shift = 0.0
     for _ in range(limit // stage_every):
-        before = scores
+        raw = scores
         for _ in range(stage_every):
-            raw = (neighbours.join(scores.select(F.col("useruuid").alias("contact"), "score"), "contact")
-                   .groupBy("useruuid").agg(F.sum(F.col("score") * F.col("weight")).alias("score")))
             # Only relative sizes matter between rounds; scaling waits for a stage.
-            scores = raw
-        raw = stage(raw, "scores")
-        scores = stage(raw.withColumn("score", F.col("score") / raw.agg(F.max("score")).scalar()), "scores")
-        moved = scores.join(before.select("useruuid", F.col("score").alias("old")), "useruuid").agg(
-            F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")).first()["moved"]
-        if moved is None or moved <= tolerance:
-            return scores.select("useruuid", F.col("score").alias("centrality"))
+            part = F.col("score") * F.coalesce(F.col("weight").cast("double"), F.lit(shift))
+            raw = (neighbours.join(raw.select(F.col("useruuid").alias("contact"), "score"), "contact")
+                   .groupBy("useruuid").agg(F.sum(part).alias("score")))
+        both = stage(raw.join(scores.select("useruuid", F.col("score").alias("old")), "useruuid"), "scores")
+        told = both.agg(F.max("score").alias("top"), F.sum(F.col("old") * F.col("score")).alias("product"),
+                        F.sum(F.col("old") * F.col("old")).alias("square")).first()
+        if told["top"] is None:
+            return both.select("useruuid", F.col("score").alias("centrality"))
+        scaled = both.withColumn("score", F.col("score") / F.lit(told["top"]))
+        moved = scaled.agg(F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")).first()["moved"]
+        scores = scaled.select("useruuid", "score")
+        if moved <= tolerance:
+            return scores.withColumnRenamed("score", "centrality")
+        shift = ((told["product"] / told["square"]) ** (1 / stage_every) - shift) / 4
     raise ValueError(f"no centrality within {tolerance} after {limit} rounds")

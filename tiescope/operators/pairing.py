@@ -14,57 +14,114 @@ from pyspark.sql import functions as F
 
 from tiescope.config import Period
 from tiescope.operators.cleaning import outside
+from tiescope.operators.ordering import running_total
 from tiescope.operators.presence import CELL, cell_population
+from tiescope.session import stage
 
+#: Rows of a cell, or of one side of a key, from which on it is cut into blocks.
 BLOCK_ROWS = 2048
+#: Pairs made by one task.
+TASK_PAIRS = 50_000_000
 
 
 def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _shares(light: int, crowded: int, least: int, task_pairs: int) -> tuple[int, int]:
+    """Tasks for the light keys and for the blocks of the crowded ones, by their counted pairs."""
+    total = light + crowded
+    tasks = max(least, -(-total // task_pairs))
+    if not crowded:
+        return tasks, 0
+    if not light:
+        return 0, tasks
+    dealt = min(max(1, round(tasks * crowded / total)), max(1, tasks - 1))
+    return max(1, tasks - dealt), dealt
+
+
+def _with_start(crowded: DataFrame, keys: Sequence[str], work: str) -> DataFrame:
+    """Adds ``before``, the work of all keys before this one in the order of a hash."""
+    number = F.pmod(F.xxhash64(*keys), F.lit(1024))
+    placed = running_total(crowded, [number, *[F.col(key) for key in keys]], [number], {work: "_upto"})
+    return placed.withColumn("before", F.col("_upto") - F.col(work)).drop("_upto", "_upto_all")
+
+
 def co_occurrences(people: DataFrame, cells: DataFrame | None = None,
-                   carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+                   placed: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """All pairs user1 < user2 that share a cell and a bin.
 
-    ``people`` holds distinct presence rows. ``cells`` has one row per cell
-    with at least the column ``people`` (its population); further columns of
-    it are kept. ``carry`` names presence columns returned for both users with
-    the suffixes 1 and 2.
+    ``people`` holds distinct presence rows; it is read for counting and for
+    pairing, so give a stored table, not a long plan. ``cells`` has one row per
+    cell with at least the column ``people`` (its population); further columns
+    of it are kept. ``carry`` names presence columns returned for both users
+    with the suffixes 1 and 2. ``placed`` says that the table is stored in
+    buckets by cell (``presence.stored``): light cells are then paired where
+    they are, without an exchange.
+
+    Cells of more than ``block_rows`` users are cut into blocks. The pairs are
+    counted first; pairs of blocks are dealt to tasks by the running total of
+    their counts.
     """
     cells = cell_population(people) if cells is None else cells
     kept = [name for name in cells.columns if name not in CELL]
-    members = (people.join(cells.filter(F.col("people") >= 2), CELL)
-               .withColumn("blocks", F.ceil(F.col("people") / F.lit(block_rows)))
-               .withColumn("block", F.pmod(F.xxhash64("useruuid"), F.col("blocks"))))
-
-    # Each user meets the blocks at or above the own one from the left side,
-    # and the blocks at or below it from the right side.
-    left = members.select(
-        *CELL, *kept, F.col("useruuid").alias("left_user"), F.col("block").alias("low"),
-        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"),
-        *[F.col(name).alias(f"left_{name}") for name in carry])
-    right = members.select(
-        *CELL, F.col("useruuid").alias("right_user"), F.col("block").alias("high"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("low"),
-        *[F.col(name).alias(f"right_{name}") for name in carry])
-
-    once = (F.col("low") < F.col("high")) | (F.col("left_user") < F.col("right_user"))
+    together = cells.filter(F.col("people") >= 2)
+    pairs = F.col("people").cast("bigint") * (F.col("people") - 1) / 2
+    is_light = F.col("people") <= block_rows
+    counts = together.agg(F.coalesce(F.sum(F.when(is_light, pairs)), F.lit(0)).cast("bigint").alias("light"),
+                          F.coalesce(F.sum(F.when(~is_light, pairs)), F.lit(0)).cast("bigint").alias("crowded")).first()
+    light_tasks, dealt_tasks = _shares(counts["light"], counts["crowded"], _tasks(people), task_pairs)
+
+    def sides(members: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        left = members.select(*CELL, *kept, *more, F.col("useruuid").alias("left_user"),
+                              *[F.col(name).alias(f"left_{name}") for name in carry])
+        right = members.select(*CELL, *more, F.col("useruuid").alias("right_user"),
+                               *[F.col(name).alias(f"right_{name}") for name in carry])
+        return left, right
+
     ordered = F.col("left_user") < F.col("right_user")
     both = []
     for name in carry:
         mine, theirs = F.col(f"left_{name}"), F.col(f"right_{name}")
         both.append(F.when(ordered, mine).otherwise(theirs).alias(f"{name}1"))
         both.append(F.when(ordered, theirs).otherwise(mine).alias(f"{name}2"))
-    # The output is much larger than either input, so the number of tasks must
-    # not follow from the size of the input: a sort-merge join over a fixed
-    # number of partitions, which can spill, in place of a broadcast.
-    keys, tasks = [*CELL, "low", "high"], _tasks(people)
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    return (left.join(right.hint("merge"), keys).filter(once)
-            .select(F.least("left_user", "right_user").alias("user1"),
-                    F.greatest("left_user", "right_user").alias("user2"),
-                    *CELL, *kept, *both))
+    told = [F.least("left_user", "right_user").alias("user1"), F.greatest("left_user", "right_user").alias("user2"),
+            *CELL, *kept, *both]
+
+    parts = []
+    if light_tasks:
+        members, keys = people.join(together.filter(is_light), CELL), CELL
+        if not placed:
+            members = members.withColumn("task", F.pmod(F.xxhash64(*CELL), F.lit(light_tasks)).cast("int"))
+            members, keys = members.repartitionById(light_tasks, "task"), ["task", *CELL]
+        left, right = sides(members, *keys[:-len(CELL)])
+        # the output is larger than the input: a sort-merge join, which can spill
+        parts.append(left.join(right.hint("merge"), keys).filter(ordered).select(*told))
+    if dealt_tasks:
+        blocks = F.ceil(F.col("people") / F.lit(block_rows))
+        block_pairs = blocks * (blocks + 1) / 2
+        crowd = together.filter(~is_light).withColumns(
+            {"blocks": blocks, "each": pairs / block_pairs, "work": pairs})
+        members = (people.join(_with_start(crowd, CELL, "work"), CELL)
+                   .withColumn("block", F.pmod(F.xxhash64("useruuid"), F.col("blocks"))))
+        left, right = sides(members, "blocks", "each", "before", "block")
+        # Each user meets the blocks at or above the own one from the left side,
+        # and the blocks at or below it from the right side.
+        left = left.withColumnRenamed("block", "low").withColumn("high", F.explode(F.sequence("low", F.col("blocks") - 1)))
+        right = right.withColumnRenamed("block", "high").withColumn(
+            "low", F.explode(F.sequence(F.lit(0).cast("bigint"), "high")))
+        nth = F.col("low") * F.col("blocks") - F.col("low") * (F.col("low") - 1) / 2 + F.col("high") - F.col("low")
+        at = (F.col("before") + (nth + 0.5) * F.col("each")) / F.lit(counts["crowded"]) * dealt_tasks
+        task = F.least(F.floor(at), F.lit(dealt_tasks - 1)).cast("int")
+        left, right = (side.withColumn("task", task).drop("blocks", "each", "before").repartitionById(dealt_tasks, "task")
+                       for side in (left, right))
+        once = (F.col("low") < F.col("high")) | ordered
+        parts.append(left.join(right.hint("merge"), ["task", *CELL, "low", "high"]).filter(once).select(*told))
+    if not parts:  # nobody met
+        left, right = sides(people.join(together, CELL))
+        return left.join(right, CELL).filter(ordered).select(*told)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def pair_count(people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,11 +157,17 @@ def co_occurrences_of(binned: DataFrame, user: object, other: object | None = No
         others = others.filter(F.col("useruuid") == F.lit(other))
     if perimeters is not None:
         others = outside(others, perimeters, by_country=False)
+    # Only updates in a cell of the user, within the range of bins spent there,
+    # are opened; the rows of the one user are few, so this goes first.
+    spent = mine.groupBy("spatial_bin").agg(F.min(F.array_min("own_bins")).alias("own_low"),
+                                            F.max(F.array_max("own_bins")).alias("own_high"))
+    near = (others.select("id", "useruuid", "spatial_bin", "time_bins", "longitude", "latitude").join(spent, "spatial_bin")
+            .filter((F.array_max("time_bins") >= F.col("own_low")) & (F.array_min("time_bins") <= F.col("own_high"))))
     # One row per shared bin is enough to find the pair of updates; keyed by
     # cell and bin no single place becomes one join key.
     own = mine.select("spatial_bin", "own_bins", F.explode("own_bins").alias("bin"))
-    theirs = others.select("id", "useruuid", "spatial_bin", "time_bins", "longitude", "latitude",
-                           F.explode("time_bins").alias("bin"))
+    theirs = near.drop("own_low", "own_high").withColumn("bin", F.explode("time_bins"))
+    # the first bin both have: neither side has one before it in common
     first_shared = F.array_min(F.array_intersect("time_bins", "own_bins"))
     return (theirs.join(own, ["spatial_bin", "bin"])
             .filter(F.col("bin") == first_shared)
@@ -128,42 +191,65 @@ def users_in_cell(binned: DataFrame, cell: int | Column, time_bin: int | None =
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-              left_id: str, right_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+              left_id: str, right_id: str, block_rows: int = BLOCK_ROWS,
+              task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Equi-join in which a key with many rows on both sides is cut into a grid.
 
     Rows of a key are hashed into blocks of about ``block_rows`` on each side;
-    a block of the left meets every block of the right exactly once.
+    a block of the left meets every block of the right exactly once. The pairs
+    of every key are counted first: blocks of crowded keys are dealt to tasks
+    by the running total of their pairs, other keys by hash, and the number of
+    tasks follows from the pairs.
     """
-    left_size = left.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("left_blocks"))
-    right_size = right.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("right_blocks"))
+    left_size = left.groupBy(*keys).agg(F.count("*").alias("left_rows"))
+    right_size = right.groupBy(*keys).agg(F.count("*").alias("right_rows"))
+    blocks = {side: F.ceil(F.col(f"{side}_rows") / F.lit(block_rows)) for side in ("left", "right")}
     # Only keys present on both sides can join, and only split ones need a row.
-    crowded = (left_size.join(right_size, list(keys))
-               .filter((F.col("left_blocks") > 1) | (F.col("right_blocks") > 1)))
+    sizes = left_size.join(right_size, list(keys)).withColumns(
+        {f"{side}_blocks": blocks[side] for side in blocks}).withColumn("work", F.col("left_rows") * F.col("right_rows"))
+    is_crowded = (F.col("left_blocks") > 1) | (F.col("right_blocks") > 1)
+    counts = sizes.agg(F.coalesce(F.sum(F.when(~is_crowded, F.col("work"))), F.lit(0)).alias("light"),
+                       F.coalesce(F.sum(F.when(is_crowded, F.col("work"))), F.lit(0)).alias("crowded")).first()
+    light_tasks, dealt_tasks = _shares(counts["light"], counts["crowded"], _tasks(left), task_pairs)
+    if not dealt_tasks:
+        cut = [side.repartition(max(1, light_tasks), *keys) for side in (left, right)]
+        return cut[0].join(cut[1].hint("merge"), list(keys))
+    crowded = stage(_with_start(sizes.filter(is_crowded), keys, "work")
+                    .select(*keys, "left_blocks", "right_blocks", "work", "before"), "crowded-keys")
     zero = F.lit(0).cast("bigint")
 
     def spread(side: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
         sized = side.join(crowded, list(keys), "left")
         own_blocks, other_blocks = (F.coalesce(f"{which}_blocks", F.lit(1)).cast("bigint")
                                     for which in (own, other))
+        nth = F.col("_left") * F.col("right_blocks") + F.col("_right")
+        each = F.col("work") / (F.col("left_blocks") * F.col("right_blocks"))
+        at = (F.col("before") + (nth + 0.5) * each) / F.lit(counts["crowded"]) * dealt_tasks
+        dealt = light_tasks + F.least(F.floor(at), F.lit(dealt_tasks - 1))
+        hashed = F.pmod(F.xxhash64(*keys), F.lit(max(1, light_tasks)))
         return (sized.withColumn(f"_{own}", F.pmod(F.xxhash64(row_id), own_blocks))
                 .withColumn(f"_{other}", F.explode(F.sequence(zero, other_blocks - 1)))
-                .drop("left_blocks", "right_blocks"))
+                .withColumn("_task", F.coalesce(dealt, hashed).cast("int"))
+                .drop("left_blocks", "right_blocks", "work", "before")
+                .repartitionById(light_tasks + dealt_tasks, "_task"))
 
-    joined, tasks = [*keys, "_left", "_right"], _tasks(left)
-    cut_left = spread(left, left_id, "left", "right").repartition(tasks, *joined)
-    cut_right = spread(right, right_id, "right", "left").repartition(tasks, *joined)
-    return cut_left.join(cut_right.hint("merge"), joined).drop("_left", "_right")
+    joined = ["_task", *keys, "_left", "_right"]
+    return (spread(left, left_id, "left", "right").join(spread(right, right_id, "right", "left").hint("merge"), joined)
+            .drop("_task", "_left", "_right"))
 
 
 def containing_updates(locations: DataFrame, tolerance_minutes: int = 24 * 60,
-                       cell_size: float = 0.001, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       cell_size: float = 0.001, block_rows: int = BLOCK_ROWS,
+                       task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Pairs of updates of two users where the target's stay encloses the source's.
 
     The target starts at most half the tolerance before the source starts,
     ends at most half the tolerance after it ends, and is at most ``cell_size``
     degrees away on both axes. The target is present in the hour the source
     starts in, so (hour, map tile) is the join key; the source looks at the
-    3 x 3 tiles around its own and the exact conditions decide.
+    3 x 3 tiles around its own and the exact conditions decide. A target whose
+    source starts inside it can't have begun earlier than half the tolerance
+    before, so only its hours up to then are made, however long it lasts.
     """
     half = F.lit(tolerance_minutes * 60 * 1_000_000 // 2).cast("bigint")
     hour = 3_600_000_000
@@ -186,9 +272,9 @@ def containing_updates(locations: DataFrame, tolerance_minutes: int = 24 * 60,
               .drop("row_step", "column_step"))
     target = (timed.select(*[F.col(name).alias(f"t_{name}") for name in timed.columns])
               .withColumn("slot", F.explode(F.sequence(F.floor(F.col("t_begin") / F.lit(hour)),
-                                                       F.floor(F.col("t_finish") / F.lit(hour)))))
+                                                       F.floor(F.least("t_finish", F.col("t_begin") + half) / F.lit(hour)))))
               .withColumn("row", tile_of("t_latitude")).withColumn("column", tile_of("t_longitude")))
-    pairs = grid_join(source, target, ["slot", "row", "column"], "s_id", "t_id", block_rows)
+    pairs = grid_join(source, target, ["slot", "row", "column"], "s_id", "t_id", block_rows, task_pairs)
     return (pairs.filter(
         (F.col("s_useruuid") != F.col("t_useruuid"))
         & F.col("t_begin").between(F.col("s_begin") - half, F.col("s_begin"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tiescope.config import BinConfig, Period
 from tiescope.functions.binning import bin_start, spatial_bin, time_bins
+from tiescope.session import bucketed
 
 CELL = ["spatial_bin", "time_bin"]
 
@@ -32,6 +33,14 @@ def presence(locations: DataFrame, cfg: BinConfig, period: Period | None = None,
             .dropDuplicates())
 
 
+def stored(locations: DataFrame, cfg: BinConfig, period: Period | None = None) -> DataFrame:
+    """Presence, written once in buckets by cell and bin.
+
+    Populations and pairs of the stored table need no exchange of its rows.
+    """
+    return bucketed(presence(locations, cfg, period), CELL, "presence")
+
+
 def with_arrivals(people: DataFrame) -> DataFrame:
     """Flags for users who were not in the cell one bin before, or one bin after.
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tiescope.config import BinConfig
 from tiescope.functions.binning import bin_start, slots_of_day, spatial_bin
 from tiescope.functions.calendar import local
+from tiescope.functions.geography import hexagon
 from tiescope.operators.cleaning import country_is_missing, outside
 from tiescope.operators.ordering import quantiles, running_total, with_bucket
 from tiescope.operators.pairing import pair_count
@@ -133,10 +134,13 @@ def value_counts(df: DataFrame, value: Column, source: Column) -> DataFrame:
 
 
 def sorted_counts(counts: DataFrame, order: str) -> DataFrame:
-    """Value counts by ``value``, by ascending or by descending count."""
+    """Value counts with their ``place`` in the source by ``value``, by ascending (``asc``) or descending count.
+
+    The window holds the distinct values of one source.
+    """
     keys = {"value": [F.asc("value")], "asc": [F.asc("rows"), F.asc("value")],
             "desc": [F.desc("rows"), F.desc("value")]}[order]
-    return counts.orderBy(F.asc("source"), *keys)
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(*keys)))
 
 
 def mean_updates_per_month(df: DataFrame) -> DataFrame:
@@ -242,6 +246,13 @@ def density(df: DataFrame, decimals: int = 1) -> DataFrame:
             .withColumn("log_rows", F.log10("rows")))
 
 
+def hex_density(df: DataFrame, size: float) -> DataFrame:
+    """Updates per hexagon of a grid with edges of ``size`` degrees, and their order of magnitude."""
+    q, r = hexagon(F.col("longitude"), F.col("latitude"), size)
+    return (df.groupBy(q.alias("q"), r.alias("r")).agg(F.count("*").alias("rows"))
+            .withColumn("log_rows", F.log10("rows")))
+
+
 def start_range(df: DataFrame, country: str) -> DataFrame:
     return (df.filter(F.col("country") == country)
             .agg(F.min("start_time").alias("first_start"), F.max("start_time").alias("last_start")))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiescope.config import BinConfig, Period
-from tiescope.operators.presence import presence
+from tiescope.operators.pairing import co_occurrences
+from tiescope.operators.presence import presence, stored
 from tiescope.sources.readers import with_age
 from tiescope.sources.writers import with_bins
 
@@ -69,6 +70,24 @@ class Inputs:
     def presence_in(self, number: int) -> DataFrame:
         return presence(self.locations, CONFIG, PERIODS[number - 1])
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Presence, written in buckets by cell and bin."""
+        return stored(self.locations, CONFIG)
+
+    @cached_property
+    def met(self) -> DataFrame:
+        """All co-occurrences, from the stored presence."""
+        return co_occurrences(self.stored, placed=True).drop("people")
+
+    def stored_in(self, number: int) -> DataFrame:
+        """Presence of a period, written in buckets by cell and bin."""
+        return stored(self.locations, CONFIG, PERIODS[number - 1])
+
+    def met_in(self, number: int) -> DataFrame:
+        """Co-occurrences of a period."""
+        return co_occurrences(self.stored_in(number), placed=True).drop("people")
+
     @cached_property
     def apps(self) -> DataFrame:
         return self.events.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -49,3 +51,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, by: Sequence[str], name: str = "bucketed", buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once in buckets by the columns ``by`` and read it back as a table.
+
+    Joins and aggregates on those columns need no exchange of it. There are as
+    many buckets as shuffle partitions unless ``buckets`` says otherwise.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by)
+     .option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table))
+    return spark.table(table)

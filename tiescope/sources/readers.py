@@ -96,10 +96,16 @@ def read_libsvm(spark: SparkSession, path: str, features: int) -> DataFrame:
     return spark.read.format("libsvm").option("numFeatures", str(features)).load(path)
 
 
-def file_extent(records: DataFrame) -> DataFrame:
-    """Earliest start and latest end of every input file."""
-    return (records.select(F.col("_metadata.file_name").alias("file_name"), "start_time", "end_time")
-            .groupBy("file_name")
+def input_folder() -> F.Column:
+    """Name of the folder in which the input file of a row lies."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+
+
+def file_extent(records: DataFrame, by: str = "file") -> DataFrame:
+    """Earliest start and latest end of every input file, or of every ``folder``."""
+    source = F.col("_metadata.file_name") if by == "file" else input_folder()
+    return (records.select(source.alias(by), "start_time", "end_time")
+            .groupBy(by)
             .agg(F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end")))
 
 

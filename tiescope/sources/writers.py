@@ -65,8 +65,8 @@ def assemble(table: DataFrame, columns: Sequence[str], label: str = "label") ->
 
 def write_libsvm(table: DataFrame, columns: Sequence[str], path: str,
                  label: str = "label", files: int | None = None) -> None:
-    """Feature table as LIBSVM text; ``files`` merges the part files."""
+    """Feature table as LIBSVM text, in ``files`` files if given; the table is still made by all tasks."""
     vectors = assemble(table, columns, label).select("label", "features")
     if files is not None:
-        vectors = vectors.coalesce(files)
+        vectors = vectors.repartition(files)
     vectors.write.format("libsvm").save(path)
