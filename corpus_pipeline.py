@@ -2,6 +2,8 @@
 
 Each stage takes what its predecessor kept, with the columns of documents,
 and gives the same columns, but for the last, which gives pieces of sequences.
+Stages go by rows, not by ids: repeated rows and rows without an id are told
+apart by a row number, which is written with them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,21 @@ from tiescope.llm import jaccard, linededup, suffixes
 from tiescope.llm.queries import judged, packed
 from tiescope.session import stage
 
+LAST = (1 << 63) - 1
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(_doc, row, ord, text): the documents whole, their row number, order (by doc_id, null last) and text; written."""
+    return stage(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("ord"), "text"), name)
+
+
+def _plain(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents of a numbered table, with its texts and their lengths."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return table.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns])
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the line model."""
@@ -26,18 +43,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    others = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each near-duplicate group, by doc_id (null last), then row."""
+    numbered = _numbered(docs, "pipeline-groups")
+    found = jaccard.near_duplicates(numbered.select(F.struct("ord", "row").alias("place"), "text"), key="place")
+    others = found.filter("place <> component_id").select("place.row")
+    return _plain(numbered.join(others, "row", "left_anti"), docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in an earlier one."""
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    numbered = stage(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("ord", order), "pipeline-numbered")
+    numbered = _numbered(docs, "pipeline-passages")
     found = suffixes.repeats(numbered.select("row", "ord", "text"))
-    cleaned = suffixes.remove(numbered, found).withColumn("n_chars", F.length("text").cast("bigint"))
-    return cleaned.select(*docs.columns)
+    return _plain(suffixes.remove(numbered, found), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
