@@ -2,9 +2,11 @@
 
 HyperLogLog sketches of the sites, one for each line hash, merge by
 aggregation. Lines whose estimate is near the threshold get an exact count.
-A line on enough sites is boilerplate if most texts that have it are
-different documents: a document is told by its longest line, so the lines of
-one document that was copied to many sites stay.
+A document that was copied to many sites has nothing but such lines; in a page
+they stand beside lines of its own. So the sites are counted twice: over all
+texts, which gives the shared lines, and then over the texts at least half of
+whose lines are not shared. Lines on enough sites there are boilerplate, and go
+from all texts.
 
 All steps are DataFrame expressions. Decisions are joined back by a hash of
 the text; whole texts move once.
@@ -31,33 +33,41 @@ def _lines(text: Column) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """(k1, k2, site, line, own): every line with a word, with its text's name and longest line."""
+    """(k1, k2, site, n, line): every different line with a word, with its text's name and number of such lines."""
+    own = F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: ~x.rlike(BLANK))
     named = docs.filter("text is not null").select(
         F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("text"), "text").alias("k2"), "site",
-        _lines(F.col("text")).alias("lines"))
-    longest = F.expr("array_max(transform(lines, x -> named_struct('n', length(x), 'x', x)))")
-    return (named.select("k1", "k2", "site", F.xxhash64(longest["x"]).alias("own"), F.explode("lines").alias("text"))
-            .filter(~F.col("text").rlike(BLANK))
-            .select("k1", "k2", "site", "own", F.xxhash64("text").alias("line")))
+        F.transform(own, lambda x: F.xxhash64(x)).alias("lines"))
+    return named.select("k1", "k2", "site", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+
+
+def _spread(lines: DataFrame, sites: int) -> DataFrame:
+    """(line, sites): estimated sites of the lines that may be on ``sites`` of them."""
+    sketch = F.hll_sketch_agg("site", F.lit(REGISTERS))
+    return (lines.groupBy("line").agg(F.hll_sketch_estimate(sketch).alias("sites"))
+            .filter(F.col("sites") >= sites * (1 - NEAR)))
+
+
+def _on_enough(spread: DataFrame, seen: DataFrame, sites: int) -> DataFrame:
+    """(line): those on ``sites`` sites; estimates near the threshold are counted exactly in ``seen`` (line, site)."""
+    clear = F.col("sites") >= sites * (1 + NEAR)
+    near = (seen.join(spread.filter(~clear).select("line"), "line").select("line", "site").distinct()
+            .groupBy("line").count().filter(F.col("count") >= sites))
+    return near.select("line").unionByName(spread.filter(clear).select("line"))
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """(line): hashes of the boilerplate lines of ``docs`` (text, site; a null site is a site)."""
     lines = _exploded(docs.withColumn("site", F.coalesce("site", F.lit(""))))
-    spread = (lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(REGISTERS))).alias("sites"))
-              .filter(F.col("sites") >= sites * (1 - NEAR)))
-    spread = stage(spread, "line-spread")
-    # of the lines that may be boilerplate, every (line, text) once
-    seen = stage(lines.join(spread, "line").groupBy("line", "k1", "k2")
-                 .agg(F.first("own").alias("own"), F.first("sites").alias("sites"),
-                      F.collect_set("site").alias("on")), "line-texts")
-    near = (seen.filter(F.col("sites") < sites * (1 + NEAR)).select("line", F.explode("on").alias("site"))
-            .distinct().groupBy("line").count().filter(F.col("count") >= sites).select("line"))
-    clear = spread.filter(F.col("sites") >= sites * (1 + NEAR)).select("line")
-    documents = seen.groupBy("line", "own").count().groupBy("line").agg(
-        F.count("*").alias("documents"), F.sum("count").alias("texts"))
-    return (near.unionByName(clear).join(documents, "line")
-            .filter((F.col("documents") >= sites) & (2 * F.col("documents") >= F.col("texts"))).select("line"))
+    spread = stage(_spread(lines, sites), "line-spread")
+    # of the lines that may be on enough sites, every (text, site, line) once
+    seen = stage(lines.join(spread.select("line"), "line").distinct(), "line-texts")
+    shared = stage(_on_enough(spread, seen, sites), "line-shared")
+    here = seen.join(shared, "line")
+    texts = (here.select("k1", "k2", "n", "line").distinct().groupBy("k1", "k2").agg(
+        F.count("*").alias("shared"), F.first("n").alias("n")).filter(2 * F.col("shared") <= F.col("n")))
+    own = stage(here.join(texts.select("k1", "k2"), ["k1", "k2"]).select("line", "site").distinct(), "line-own")
+    return _on_enough(_spread(own, sites), own, sites)
 
 
 def clean(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
@@ -65,38 +75,40 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", sites: int
 
     The remaining lines keep their order and are joined by line ends. Lines of
     blanks are never boilerplate. A null text stays null, an empty one empty,
-    both with 0 removed. Repeated rows are cleaned alike; other columns stay.
+    both with 0 removed; a null site is a site of its own. Repeated rows are
+    cleaned alike; other columns stay, but for one named ``n_removed``, which
+    is replaced. An empty table gives no rows.
     """
-    source = docs.select(F.col(text).alias("text"), F.col(site).alias("site"))
+    kept = [c for c in docs.columns if c != "n_removed"]
+    # the caller's columns stay apart from the own ones
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+    source = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{site}`").alias("site"))
     gone = stage(boilerplate(source, sites), "line-boilerplate")
     removed = (_exploded(source).select("k1", "k2", "line").join(gone, "line")
-               .groupBy("k1", "k2").agg(F.collect_set("line").alias("_gone")))
-    kept = F.filter(_lines(F.col(f"`{text}`")), lambda x: ~F.array_contains("_gone", F.xxhash64(x)))
-    joined = docs.join(removed.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}),
-                       (F.xxhash64(F.col(f"`{text}`")) == F.col("_k1"))
-                       & (F.xxhash64(F.lit("text"), F.col(f"`{text}`")) == F.col("_k2")), "left")
+               .groupBy("k1", "k2").agg(F.collect_set("line").alias("_gone")))  # lines of one text
+    left = F.filter(_lines(F.col("_text")), lambda x: ~F.array_contains("_gone", F.xxhash64(x)))
+    joined = whole.join(removed, (F.xxhash64("_text") == F.col("k1"))
+                        & (F.xxhash64(F.lit("text"), F.col("_text")) == F.col("k2")), "left")
     some = F.col("_gone").isNotNull()
-    counted = joined.withColumn("_kept", F.when(some, kept)).withColumn(
-        "n_removed", F.when(some, F.size(_lines(F.col(f"`{text}`"))) - F.size("_kept")).otherwise(0).cast("bigint"))
-    return counted.withColumn(text, F.when(some, F.array_join("_kept", "\n")).otherwise(F.col(f"`{text}`"))).select(
-        *docs.columns, "n_removed")
+    counted = joined.withColumn("_kept", F.when(some, left)).withColumn(
+        "_n", F.when(some, F.size(_lines(F.col("_text"))) - F.size("_kept")).otherwise(0).cast("bigint"))
+    cleaned = F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    return counted.select(*[(cleaned if c == text else F.col("_doc").getField(c)).alias(c) for c in kept],
+                          F.col("_n").alias("n_removed"))
 
 
 #: The same for DuckDB; {docs} is a relation with doc_id, text, source.
 SQL = r"""
 WITH numbered AS (SELECT *, row_number() OVER () AS _row FROM {docs}),
 texts AS (SELECT text, min(_row) AS t FROM numbered WHERE text IS NOT NULL GROUP BY text),
-split AS (SELECT t, text, unnest(string_split(text, chr(10))) AS line FROM texts),
-own AS (SELECT t, arg_max(line, (length(line), line)) AS own FROM split GROUP BY t),
-lines AS (SELECT DISTINCT t, line FROM split WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
-spread AS (
-  SELECT line, count(DISTINCT coalesce(n.source, '')) AS sites
-  FROM lines JOIN texts USING (t) JOIN numbered n ON n.text = texts.text GROUP BY line),
-varied AS (
-  SELECT line, count(DISTINCT own) AS documents, count(*) AS texts FROM lines JOIN own USING (t) GROUP BY line),
-gone AS (
-  SELECT line FROM spread JOIN varied USING (line)
-  WHERE sites >= {sites} AND documents >= {sites} AND 2 * documents >= texts)
+lines AS (SELECT DISTINCT t, line FROM (SELECT t, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
+placed AS (SELECT DISTINCT t, coalesce(n.source, '') AS site FROM texts JOIN numbered n ON n.text = texts.text),
+shared AS (SELECT line FROM lines JOIN placed USING (t) GROUP BY line HAVING count(DISTINCT site) >= {sites}),
+own AS (SELECT t FROM lines LEFT JOIN shared ON shared.line = lines.line GROUP BY t
+  HAVING 2 * count(shared.line) <= count(*)),
+gone AS (SELECT lines.line FROM lines JOIN shared ON shared.line = lines.line JOIN own USING (t) JOIN placed USING (t)
+  GROUP BY lines.line HAVING count(DISTINCT site) >= {sites})
 SELECT doc_id, CASE WHEN n.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(n_removed, 0) AS n_removed
 FROM numbered n LEFT JOIN (
   SELECT _row, string_agg(p.line, chr(10) ORDER BY i) FILTER (WHERE gone.line IS NULL) AS text, count(gone.line) AS n_removed
