@@ -5,9 +5,11 @@ dimensions of any difference are a random sample of it. Centres from a bounded
 sample split them into lists. A query probes its nearest lists; within a
 list, distances are summed block of dimensions by block of dimensions, and
 after each block a hypothesis test drops the candidates whose distance, as
-estimated from the part so far, exceeds the query's fifth best by more than
-chance allows. What is left is scored in double precision on the original
-vectors.
+estimated from the part so far, exceeds the query's bound by more than chance
+allows. The nearest list is scanned first; the distance within which it holds
+enough vectors is the query's bound in all others. Each scan gives as many
+candidates as are asked for at most, and only the best of all of them are
+joined with their vectors and scored in double precision.
 
 Equal vectors are one candidate that stands for its smallest ids, so a vector
 that a third of the rows share costs one row.
@@ -31,11 +33,13 @@ SAMPLE = 20_000
 BLOCK = 16
 #: Width of the test: a candidate is dropped if chance explains its distance with e^-8 at most, about.
 EPSILON = 2.1
-#: Share of the lists that a query probes, and the least number. Measured recall of the lists alone on vectors
-#: that hardly cluster: 0.75 at a share of 0.2, 0.90 at 0.4, 0.98 at 0.7.
-PROBE_SHARE, LEAST_PROBES = 0.7, 12
-#: Vectors of one list that one task scans against one block of queries.
-CELL_ROWS, CELL_QUERIES = 4096, 1024
+#: Share of points left below which the scan goes on pair by pair.
+SPARSE = 0.1
+#: Share of the lists that a query probes, and the least number. Measured recall of 226 lists alone on 51,000 vectors
+#: that hardly cluster: 0.75 at a share of 0.2, 0.90 at 0.4, 0.97 at 0.6.
+PROBE_SHARE, LEAST_PROBES = 0.6, 12
+#: Vectors of one list that are scanned at once against one block of queries.
+CELL_ROWS, CELL_QUERIES = 4096, 256
 
 
 def rotation(dimensions: int) -> np.ndarray:
@@ -63,41 +67,55 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
             .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)))
 
 
-def scan(points: np.ndarray, queries: np.ndarray, best: int) -> list[np.ndarray]:
-    """For each query the places of the points that may be among its ``best`` nearest.
+def scan(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, best: int, bound: np.ndarray | None = None):
+    """(query, point, distance): for each query the points that may be among its ``best`` nearest, ``best`` at most.
 
-    All are unit vectors in rotated space. The scan goes over column blocks;
-    the bound is the query's best-th smallest exact distance among the points
-    that are nearest in the first block.
+    All are unit vectors in rotated space; distances are squared. The scan goes
+    over column blocks, for all queries at once while many points are left, then
+    pair by pair. ``bound`` is a distance within which each query has ``best``
+    points already; without it, that of the points nearest in the first block
+    serves. After the last block a query's bound is its best-th distance here.
+    Equal distances go to smaller ids.
     """
-    n, d = points.shape
-    out = []
-    columns = [np.ascontiguousarray(points[:, k:k + BLOCK].T) for k in range(0, d, BLOCK)]
-    for q in queries:
-        bound = np.inf
-        alive = np.arange(n)
-        partial = np.zeros(n)
-        for k, block in enumerate(columns):
-            done = min(d, (k + 1) * BLOCK)
-            part = block if len(alive) == n else block[:, alive]
-            partial = partial + ((part - q[k * BLOCK:done, None]) ** 2).sum(0)
-            if k == 0 and n >= best:
-                few = np.argpartition(partial, min(n, 8 * best) - 1)[:8 * best]
-                exact = ((points[few] - q) ** 2).sum(1)
-                bound = np.partition(exact, best - 1)[best - 1]
-            # the estimate partial * d / done exceeds the bound by more than chance allows
-            limit = bound * (1 + EPSILON / np.sqrt(done)) ** 2 * done / d if done < d else bound
-            near = partial <= limit + 1e-12
-            alive, partial = alive[near], partial[near]
-        out.append(alive)
-    return out
+    m, (n, d) = len(queries), points.shape
+    partial = np.zeros((m, n))
+    bound = np.full(m, np.inf) if bound is None else bound
+    query = point = distance = None
+    for begin in range(0, d, BLOCK):
+        done = min(d, begin + BLOCK)
+        p, q = points[:, begin:done], queries[:, begin:done]
+        if query is None:
+            partial += (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (q @ p.T)
+        else:
+            distance = distance + ((p[point] - q[query]) ** 2).sum(1)
+        if begin == 0 and n >= best:
+            few = np.argpartition(partial, min(n, 8 * best) - 1, axis=1)[:, :8 * best]
+            exact = np.stack([((points[own] - one) ** 2).sum(1) for own, one in zip(few, queries)])
+            bound = np.minimum(bound, np.partition(exact, best - 1, axis=1)[:, best - 1])
+        # the estimate partial * d / done exceeds the bound by more than chance allows
+        limit = (bound * (1 + EPSILON / np.sqrt(done)) ** 2 * done / d if done < d else bound) + 1e-9
+        if query is not None:
+            near = distance <= limit[query]
+            query, point, distance = query[near], point[near], distance[near]
+        else:
+            near = partial <= limit[:, None]
+            if done == d or near.mean() < SPARSE:
+                query, point = np.nonzero(near)
+                distance = partial[near]
+            else:
+                partial[~near] = np.inf  # given up, if not yet left out
+    order = np.lexsort((ids[point], np.round(distance, 9), query))
+    query, point, distance = query[order], point[order], distance[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < best
+    return query[kept], point[kept], distance[kept]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by cosine, itself left out.
 
     ``queries`` has the same columns; a query's own id is no candidate of it.
-    Rows without a usable vector (see ``usable``) take no part; where ids
+    Rows without a usable vector (see ``usable``) or of another length than the
+    commonest take no part; where ids
     repeat with different vectors the first in order counts. Fewer than k
     candidates give all of them, none gives no rows. Ties go to the smaller id.
     """
@@ -115,10 +133,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if total == 0:
         return none
-    lengths = distinct.select(F.size("v").alias("n")).distinct().collect()
-    if len(lengths) > 1:
-        raise ValueError("vectors of different lengths")
-    d = lengths[0]["n"]
+    # the commonest length; vectors of another one can't be compared with these
+    d = distinct.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first().n
+    distinct = distinct.filter(F.size("v") == d)
     lists = max(1, int(round(np.sqrt(min(total, 16 * SAMPLE)))))
     share = min(1.0, SAMPLE / total)
     drawn = distinct.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
@@ -138,40 +155,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
                     continue
                 v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True) @ turn
-                near = np.argpartition(-(unit @ middle.T), probe - 1, axis=1)[:, :probe] if probe < len(middle) else \
-                    np.tile(np.arange(len(middle)), (len(v), 1))
+                near = np.argsort(-(unit @ middle.T), axis=1, kind="stable")[:, :probe]
                 at = np.repeat(np.arange(len(v)), probe)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(near.ravel().astype(np.int64)), batch.column("id").take(pa.array(at)),
-                     rows.list_array(unit[at].astype(np.float64).ravel(), np.arange(len(at) + 1) * unit.shape[1])],
-                    ["list", "id", "u"])
+                     rows.list_array(unit[at].astype(np.float64).ravel(), np.arange(len(at) + 1) * unit.shape[1]),
+                     pa.array(np.tile(np.arange(probe), len(v)))],
+                    ["list", "id", "u", "turn"])
         return run
 
-    schema = "list bigint, id bigint, u array<double>"
-    points = stage(distinct.select("id", "v").mapInArrow(placed(1), schema), "ann-points")
-    asked = stage(once(queries), "ann-queries")
+    schema = "list bigint, id bigint, u array<double>, turn bigint"
+    points = stage(distinct.select("id", "v").mapInArrow(placed(1), schema).drop("turn"), "ann-points")
+    asked = stage(once(queries).filter(F.size("v") == d), "ann-queries")
     probing = asked.mapInArrow(placed(probes), schema)
-    sizes = points.groupBy("list").count().withColumn("cells", F.ceil(F.col("count") / CELL_ROWS).cast("int")).select("list", "cells")
-    dealt = points.join(sizes, "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"), "id", "u")
-    spread = probing.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "id", "u")
-    many = probing.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL_QUERIES).cast("int").alias("turns"))
-    spread = spread.join(many, "list").withColumn("turn", F.pmod(F.xxhash64("id", F.lit("turn")), F.col("turns")).cast("int")).drop("turns")
-    dealt = dealt.join(many, "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+
+    def scanned(probing: DataFrame) -> DataFrame:
+        """(query_id, id, distance) of the probes (list, id, u, bound), a cell of a list and a block of queries at a time."""
+        sizes = points.groupBy("list").count().withColumn("cells", F.ceil(F.col("count") / CELL_ROWS).cast("int")).select("list", "cells")
+        many = probing.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL_QUERIES).cast("int").alias("blocks"))
+        spread = (probing.join(sizes, "list").join(many, "list")
+                  .select("list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
+                          F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "id", "u", "bound"))
+        dealt = (points.join(sizes, "list").join(many, "list")
+                 .select("list", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"),
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "u"))
+        by = ["list", "cell", "block"]
+        return dealt.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(pair, "query_id bigint, id bigint, distance double")
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"query_id": [], "id": []}
+        query = point = np.zeros(0, np.int64)
+        distance = np.zeros(0)
+        ids, asking = left.column("id").to_numpy(), right.column("id").to_numpy()
         if left.num_rows and right.num_rows:
             stack = lambda t: t.column("u").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            ids = left.column("id").to_numpy()
-            for query, near in zip(right.column("id").to_pylist(), scan(stack(left), stack(right), k + 1)):
-                found["query_id"] += [query] * len(near)
-                found["id"] += ids[near].tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in found.items()})
-
-    by = ["list", "cell", "turn"]
-    candidates = dealt.groupBy(*by).cogroup(spread.groupBy(*by)).applyInArrow(pair, "query_id bigint, id bigint")
-    scored = (candidates.distinct().join(distinct, "id")
+            query, point, distance = scan(stack(left), ids, stack(right), k + 1, right.column("bound").to_numpy())
+        return pa.table({"query_id": pa.array(asking[query], pa.int64()), "id": pa.array(ids[point], pa.int64()),
+                         "distance": pa.array(distance, pa.float64())})
+
+    # the nearest list gives each query's bound, which goes out with its other probes
+    nearest = stage(scanned(probing.filter("turn = 0").withColumn("bound", F.lit(float("inf")))), "ann-nearest")
+    ranked = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
+    bounds = (nearest.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") == k + 1)
+              .select(F.col("query_id").alias("id"), F.col("distance").alias("bound")))
+    others = probing.filter("turn > 0").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    candidates = (nearest.unionByName(scanned(others)).withColumn("place", F.row_number().over(ranked))
+                  .filter(F.col("place") <= 2 * (k + 1)))
+    scored = (candidates.select("query_id", "id").join(distinct, "id")
               .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
