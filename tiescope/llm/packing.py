@@ -190,38 +190,41 @@ def pack(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     rest = (cut.select("row", F.explode(pieces).alias("p")).select("row", "p.*").filter("length > 0")
             .select("row", "start", "length", F.expr(f"(at div {window}) * 3 + 2").alias("sequence_id"),
                     F.expr(f"at % {window}").alias("offset")))
+    count = lengths.agg(F.coalesce(F.sum(F.expr(f"n div {window}")), F.lit(0)).alias("n")).first().n
     numbered = _numbered(full.withColumn("row", F.struct("row", "k")).withColumn("one", F.lit(1)), ["one"],
-                         F.lit(1).cast("long"), int(histogram.sum()), "number")
+                         F.lit(1).cast("long"), int(count), "number")
     windows = numbered.select("row.row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"),
                               (F.col("number") * 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return windows.unionByName(whole).unionByName(rest)
 
 
-def checksums(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``pieces`` joined to their ids, with the checksum of each piece's ids.
+def checksums(pieces: DataFrame, tokens: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``pieces`` with the checksum of each piece's ids and the further columns of ``tokens``.
 
-    ``tokens`` has ``row``, ``ids`` and any further columns, which come along.
-    The checksum is crc32 over the ids as little-endian unsigned 32-bit numbers.
+    ``tokens`` (a written table) has ``row``, ``ids``, ``sums`` (the checksum of
+    every ``window`` ids, see ``wordids.tokenize``) and any further columns. A
+    piece that is one of these windows, whole, has its checksum there; only for
+    documents that were cut elsewhere, one in a sequence at most, are the ids
+    themselves looked up.
     """
     rows.ship(tokens.sparkSession)
-    parts = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "start", "length", "sequence_id", "offset"))).alias("pieces"))  # a document's windows and one or two more
-    kept = [c for c in tokens.columns if c not in ("row", "ids")]
+    made = {"start", "length", "sequence_id", "offset", "ids_crc32", "_whole", "_sum"}
+    kept = [c for c in tokens.columns if c not in ("row", "ids", "sums", *made)]
+    known = tokens.select("row", *kept, "sums", F.size("ids").alias("_whole"))
+    plain = (F.col("start") % window == 0) & (F.col("length") == F.least(F.lit(window), F.col("_whole") - F.col("start")))
+    joined = pieces.join(known, "row")
+    told = [*kept, "start", "length", "sequence_id", "offset"]
+    whole = joined.filter(plain).select(*told, F.get("sums", (F.col("start") / window).cast("int")).alias("ids_crc32"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            data, begin = ids.flatten().to_numpy(), np.cumsum([0] + ids.value_lengths().to_pylist())
-            own = batch.column("pieces")
-            each = own.flatten()
-            row = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy())
-            start, length = (each.field(c).to_numpy() for c in ("start", "length"))
-            at = begin[row] + start
-            sums = [zlib.crc32(data[a:a + n].astype("<u4").tobytes()) for a, n in zip(at.tolist(), length.tolist())]
-            columns = [batch.column(c).take(pa.array(row)) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                columns + [each.field(c) for c in ("start", "length", "sequence_id", "offset")] + [pa.array(sums, pa.int64())],
-                [*kept, "start", "length", "sequence_id", "offset", "ids_crc32"])
-
-    return tokens.join(parts, "row").mapInArrow(run, rows.extended(
-        tokens, kept, "start bigint, length bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"))
+            ids = batch.column("part")
+            data, begin = ids.flatten().to_numpy(), np.cumsum([0] + ids.value_lengths().to_pylist()).tolist()
+            sums = [zlib.crc32(data[a:b].astype("<u4").tobytes()) for a, b in zip(begin, begin[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in told] + [pa.array(sums, pa.int64())], [*told, "ids_crc32"])
+
+    cut = joined.filter(~plain).select("row", *told)
+    part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    own = cut.join(tokens.select("row", "ids"), "row").select(*told, part.alias("part"))
+    schema = own.drop("part").schema.add("ids_crc32", "bigint")
+    return whole.unionByName(own.mapInArrow(run, schema))

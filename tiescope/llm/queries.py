@@ -78,7 +78,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(documents: DataFrame) -> DataFrame:
     """Pieces of the documents' token sequences, with checksums."""
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = wordids.tokenize(numbered, public_tokenizers.path(WORDS), 2)
+    tokens = wordids.tokenize(numbered, public_tokenizers.path(WORDS), 2, window=packing.WINDOW)
     # written once: the row numbers hold from here on
     tokens = stage(tokens.withColumn("doc_tokens", F.size("ids").cast("long")), "packing-tokens")
     pieces_ = stage(packing.pack(tokens.select("row", F.col("doc_tokens").alias("n"))), "packing-pieces")
