@@ -38,10 +38,13 @@ from tiescope.session import stage
 SHINGLE = 5
 #: Sets of a block that are joined pair by pair.
 FULL_BLOCK = 16
+#: Pairs that a task remembers to have tried; a pair forgotten is tried again.
+RECENT = 1 << 16
 #: One of so many blocks takes part in the first pass.
 FIRST_PASS = 16
-#: Bits of the bitmaps that name sets and frequent shingles: a fixed size, it only saves work.
-FILTER_BITS = 25
+#: Bits, as a power of two, of the bitmaps that name sets and frequent shingles: eight for each value within these
+#: limits. They only save work; beyond 2 ** 24 values more and more others pass.
+LEAST_BITS, MOST_BITS = 16, 27
 LINK, OF = 75, 100
 _U = np.uint64
 
@@ -163,7 +166,7 @@ def describe(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows.slices(batch, text):
+            for part in rows.slices(batch, text, rows.SMALL_SLICE):
                 token, begin = shingle_sets(*rows.raw_text(part.column(text)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept] + [
@@ -180,7 +183,7 @@ def _each_set(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's documents
         for batch in batches:
-            for part in rows.slices(batch, "text"):
+            for part in rows.slices(batch, "text", rows.SMALL_SLICE):
                 token, begin = shingle_sets(*rows.raw_text(part.column("text")))
                 names = fingerprints(token, begin)
                 fresh = []
@@ -251,7 +254,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy() for c in ("ta", "tb"))
+                x, y = (batch.column(c)[k].values.to_numpy() for c in ("ta", "tb"))  # no copies
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(OF * both >= LINK * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())),
@@ -294,17 +297,16 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        tried: set[tuple[int, int]] = set()  # two sets share many blocks
+        recent: list = [None] * RECENT  # two sets share many blocks
 
         def pairs():
             found = set()
-            if len(tried) > 1_000_000:
-                tried.clear()
             for i, x in enumerate(held):
                 for y in held[:i]:
                     pair = (min(x[1], y[1]), max(x[1], y[1]))
-                    if x[2] != y[2] and x[1] != y[1] and pair not in tried:
-                        tried.add(pair)
+                    place = hash(pair) % RECENT
+                    if x[2] != y[2] and x[1] != y[1] and recent[place] != pair:
+                        recent[place] = pair
                         if near_enough(x[4], y[4], x[3], y[3]):
                             found.add(pair)
             return found
@@ -334,19 +336,20 @@ def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _mask(values: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the hashes of the values of the only column, a 64-bit number."""
+    """A bitmap with the hashes of the values of the only column, a 64-bit number, sized by their count."""
     name = values.columns[0]
-    place = F.col(name).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * values.count()).bit_length()))
+    place = F.col(name).bitwiseAND((1 << bits) - 1)
     found = (values.select((place / 64).cast("int").alias("w"), F.expr(
         f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** FILTER_BITS / 64 rows
-    mask = np.zeros(1 << FILTER_BITS - 6, np.int64)
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** MOST_BITS / 64 rows
+    mask = np.zeros(1 << bits - 6, np.int64)
     mask[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return mask
 
 
 def _in_mask(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values & (1 << FILTER_BITS) - 1
+    place = values & 64 * len(mask) - 1
     return (mask[place >> 6] >> (place & 63) & 1).astype(bool)
 
 
@@ -441,7 +444,7 @@ def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
     the order is the same for all.
     """
     context = docs.sparkSession.sparkContext
-    named = context.broadcast(_mask(crowded.select("s").distinct()))
+    named = context.broadcast(_mask(stage(crowded.select("s").distinct(), "jaccard-crowded-names")))
 
     def chosen(token, begin, names):
         good = np.flatnonzero(_in_mask(named.value, names))
@@ -455,7 +458,8 @@ def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key[times > 1]), pa.array(times[times > 1])], ["key", "n"])
 
     counted = _each_set(docs, repeated, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    frequent = context.broadcast(_mask(counted.filter(F.col("n") > FULL_BLOCK).select("key")))
+    counted = stage(counted.filter(F.col("n") > FULL_BLOCK).select("key"), "jaccard-frequent")
+    frequent = context.broadcast(_mask(counted))
 
     def first(token, begin, names):
         key, names, size = chosen(token, begin, names)

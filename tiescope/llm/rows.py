@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Text bytes handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: The same where many arrays of a word each are made.
+SMALL_SLICE = 1 << 19
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,9 +48,10 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``limit`` bytes of text, one row at least."""
-    _, offsets = raw_text(batch.column(column))
+def slices(batch: pa.RecordBatch, column: str | Sequence[str], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``limit`` bytes of text in its column or columns, one row at least."""
+    columns = [column] if isinstance(column, str) else column
+    offsets = sum(raw_text(batch.column(c))[1] for c in columns)
     at, rows = 0, batch.num_rows
     while at < rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

@@ -32,8 +32,9 @@ LEAST = 50
 GRAM = 5
 WINDOW = 16
 HEAD = LEAST - WINDOW + 1
-#: Bits of the filter for the documents whose texts are moved: a fixed size, it only saves work.
-FILTER_BITS = 22
+#: Bits, as a power of two, of the filter for the documents whose texts are moved: eight for each within these
+#: limits. It only saves work; beyond 2 ** 24 documents more and more others pass.
+LEAST_BITS, MOST_BITS = 16, 27
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -75,7 +76,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     """(key, ord, row, pos) of all kept suffixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows.slices(batch, "text"):
+            for part in rows.slices(batch, "text", rows.SMALL_SLICE):
                 data, offsets = rows.raw_text(part.column("text"))
                 starts, ends, row = words.spans(data, offsets)
                 key, owner, at = suffix_heads(words.hashes(data, starts, ends, lower=False), row)
@@ -171,26 +172,30 @@ def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ox, y = (batch.column(c).to_pylist() for c in ("x", "ox", "y"))
-            hashed = []
-            for side in ("tx", "ty"):
-                own = []
-                for part in rows.slices(batch, side):
-                    data, offsets = rows.raw_text(part.column(side))
-                    starts, ends, row = words.spans(data, offsets)
-                    own += np.split(words.hashes(data, starts, ends, lower=False),
-                                    np.searchsorted(row, np.arange(1, part.num_rows)))
-                hashed.append(own)
-            out = []
-            for k, places in enumerate(batch.column("anchors").to_pylist()):
-                anchors = [(p["px"], p["py"]) for p in places]
-                found = matches(hashed[0][k], hashed[1][k], anchors) if x[k] != y[k] else []
-                out += [(x[k], ox[k], y[k], *match[:3], None) for match in found]
-                at = open_runs(len(hashed[0][k]), anchors, found)
-                if len(at):
-                    values, first = np.unique(run_hashes(hashed[0][k], at, LEAST).astype(np.int64), return_index=True)
-                    out += [(x[k], ox[k], None, p, None, None, v) for p, v in zip(at[first].tolist(), values.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(7)], names)
+            for part in rows.slices(batch, ("tx", "ty"), rows.SMALL_SLICE):
+                yield extended(part)
+
+    def hashes_of(texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = rows.raw_text(texts)
+        starts, ends, row = words.spans(data, offsets)
+        return np.split(words.hashes(data, starts, ends, lower=False), np.searchsorted(row, np.arange(1, len(texts))))
+
+    def extended(part: pa.RecordBatch) -> pa.RecordBatch:
+        x, ox, y = (part.column(c).to_pylist() for c in ("x", "ox", "y"))
+        # a first document stands beside many others, row after row: its words are hashed once
+        firsts = np.flatnonzero([k == 0 or y[k] != y[k - 1] for k in range(len(y))])
+        second = hashes_of(part.column("ty").take(pa.array(firsts)))
+        of = np.searchsorted(firsts, np.arange(len(y)), "right") - 1
+        out = []
+        for k, (own, places) in enumerate(zip(hashes_of(part.column("tx")), part.column("anchors").to_pylist())):
+            anchors = [(p["px"], p["py"]) for p in places]
+            found = matches(own, second[of[k]], anchors) if x[k] != y[k] else []
+            out += [(x[k], ox[k], y[k], *match[:3], None) for match in found]
+            at = open_runs(len(own), anchors, found)
+            if len(at):
+                values, first = np.unique(run_hashes(own, at, LEAST).astype(np.int64), return_index=True)
+                out += [(x[k], ox[k], None, p, None, None, v) for p, v in zip(at[first].tolist(), values.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(7)], names)
 
     text = docs.select("row", "text")
     return (grouped.join(text.select(F.col("row").alias("x"), F.col("text").alias("tx")), "x")
@@ -200,11 +205,13 @@ def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents whose row is wanted, and few others."""
-    cell = f"pmod(xxhash64(row), {1 << FILTER_BITS})"
+    wanted = stage(wanted, "suffix-wanted")
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
+    cell = f"pmod(xxhash64(row), {1 << bits})"
     words_set = (wanted.select(F.expr(f"cast({cell} div 64 as int)").alias("w"),
                                F.expr(f"shiftleft(1L, cast({cell} % 64 as int))").alias("b"))
-                 .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** 22 / 64 rows
-    mask = np.zeros(1 << FILTER_BITS - 6, np.int64)
+                 .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most 2 ** MOST_BITS / 64 rows
+    mask = np.zeros(1 << bits - 6, np.int64)
     mask[words_set.column("w").to_numpy()] = words_set.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(mask)
     columns = docs.columns
