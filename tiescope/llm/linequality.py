@@ -3,7 +3,12 @@
 A linear-chain conditional random field marks each line with a word as
 content or boilerplate; Viterbi decoding finds the likeliest marking of a
 document, and the share of its words that stand in content lines decides.
-Line labels for training are the document's own quality label.
+
+Only documents are labelled, so the marks of their lines are hidden in training:
+the marks of a good document are the field's own under the condition that at
+least GOOD_SHARE of the lines are content, those of a bad one that at most
+BAD_SHARE are (posterior regularisation). A good document may have boilerplate
+lines and a bad one content, and the steps between both are learned.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ FIT_DOCUMENTS = 6_000
 CONTENT_SHARE = 0.5
 #: Added to every line's score of content: a good document lost costs more than a bad one kept.
 CONTENT_ODDS = 1.0
+#: Expected share of content lines in documents of either label, at least and at most.
+GOOD_SHARE, BAD_SHARE = 0.95, 0.25
+#: How fast a document's lines are pushed towards its share, in each round.
+PUSH = 1.0
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: Symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -152,10 +161,12 @@ def _expected(model: Model, scores, begin, lengths):
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
-        max_documents: int = FIT_DOCUMENTS, rounds: int = 300) -> Model:
+        max_documents: int = FIT_DOCUMENTS, rounds: int = 200) -> Model:
     """Model from documents with ``label`` 1 (good) or 0; others are skipped.
 
-    Without rows of both classes every line is content.
+    Repeated rows count as often as they stand there; null and empty texts
+    have no line and tell nothing. Without rows of both classes every line is
+    content.
     """
     rows.ship(labelled.sparkSession)
 
@@ -180,11 +191,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     lengths = column.value_lengths().to_numpy().astype(np.int64) // len(FEATURES)
     features = column.flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
     begin = np.cumsum(lengths) - lengths
-    # both classes weigh the same: lines of the smaller one count more, by repeating its documents' share
-    weight = np.where(y == 1, 0.5 / (lengths * (y == 1)).sum(), 0.5 / (lengths * (y == 0)).sum())
-    marks = np.repeat(y, lengths).astype(np.float64)
-    line_weight = np.repeat(weight, lengths)
+    # both classes weigh the same
     groups = [np.flatnonzero(y == value) for value in (0, 1)]
+    weight = [0.5 / lengths[members].sum() for members in groups]
+    places = [rows.ragged(begin[members], lengths[members]) for members in groups]
+    inner = [np.cumsum(lengths[members]) - lengths[members] for members in groups]
+    push = [np.zeros(len(members)) for members in groups]  # added to the lines of a document, to meet its share
     state = [np.zeros(len(FEATURES) + 6) for _ in range(3)]
     for step in range(1, rounds + 1):
         w = state[0]
@@ -192,14 +204,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
         scores = features @ model.weights
         grad = np.zeros_like(w)
         for value, members in enumerate(groups):
-            at = rows.ragged(begin[members], lengths[members])
-            inner = np.cumsum(lengths[members]) - lengths[members]
-            chance, steps, first = _expected(model, scores[at], inner, lengths[members])
-            grad[:-6] += features[at].T @ (line_weight[at] * (chance - marks[at]))
-            own_steps, own_first = np.zeros((2, 2)), np.zeros(2)
-            own_steps[value, value], own_first[value] = (lengths[members] - 1).sum(), len(members)
-            grad[-6:-2] += weight[members[0]] * (steps - own_steps).ravel()
-            grad[-2:] += weight[members[0]] * (first - own_first)
+            own, size = scores[places[value]], lengths[members]
+            chance, steps, first = _expected(model, own, inner[value], size)
+            told, own_steps, own_first = _expected(model, own + np.repeat(push[value], size), inner[value], size)
+            grad[:-6] += weight[value] * (features[places[value]].T @ (chance - told))
+            grad[-6:-2] += weight[value] * (steps - own_steps).ravel()
+            grad[-2:] += weight[value] * (first - own_first)
+            share = np.add.reduceat(told, inner[value]) / size
+            if value:
+                push[value] = np.maximum(0, push[value] + PUSH * (GOOD_SHARE - share))
+            else:
+                push[value] = np.minimum(0, push[value] + PUSH * (BAD_SHARE - share))
         grad += 1e-6 * w
         state[1] = 0.9 * state[1] + 0.1 * grad
         state[2] = 0.99 * state[2] + 0.01 * grad ** 2
