@@ -11,9 +11,13 @@ over its edges, without making tokens.
 
 A text is cut into blocks of a fixed size. Where a word begins, the state is
 the start state whatever came before, so a block's state map is constant
-after its first word start: all blocks run at once from there. The heads of
-the blocks (up to that place) then take the state of the block before; a
-block without a word start passes its own state on, in rounds.
+after its first word start: all blocks run at once from there. For the heads
+of the blocks (up to that place) the maps are filled lazily, for the entry
+states that occur: all heads run at once, entered in the state that the block
+before gives so far, and composed with it; heads whose entry changes by that run
+again. The first blocks of a chain are right after each round, and as BPE falls
+into step after a few bytes whatever it came from, so are nearly all others: a
+run of any length without a word start takes few rounds.
 """
 
 from __future__ import annotations
@@ -248,16 +252,20 @@ class CountingTransducer:
         places = np.append(np.flatnonzero(flags), len(data))
         sync = np.minimum(places[np.searchsorted(places, begin)], end)
         state, count = self.run(data, flags, sync, end, np.zeros(len(sync), np.int64))
-        known = sync < end  # the state at the block's end doesn't depend on its entry
+        # The blocks' heads: each block's map, filled for the entry states that occur. All run
+        # at once, entered in what the block before gives so far; those whose entry changes run again.
         pending = np.flatnonzero(sync > begin)
-        while len(pending):
-            ready = pending[known[pending - 1]]
-            left, more = self.run(data, flags, begin[ready], sync[ready], state[ready - 1])
-            count[ready] += more
-            through = ~known[ready]
-            state[ready[through]] = left[through]
-            pending = pending[~known[pending - 1]]
-            known[ready] = True
+        through = sync[pending] == end[pending]  # without a word start: the exit depends on the entry
+        entry, gain = state[pending - 1], np.zeros(len(pending), np.int64)
+        turn = np.arange(len(pending))
+        while len(turn):
+            own = pending[turn]
+            left, gain[turn] = self.run(data, flags, begin[own], sync[own], entry[turn])
+            state[own[through[turn]]] = left[through[turn]]
+            given = state[pending - 1]
+            turn = np.flatnonzero(given != entry)
+            entry = given
+        count[pending] += gain
         np.add.at(total, owner[text], count)
         return total
 
