@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiescope.llm import rows
+from tiescope.session import stage
 
 PROFILE = 300
-#: Languages at most that profiles are kept for; more raise an error.
-MAX_LANGUAGES = 2000
+#: Languages whose profiles are sent to the tasks, some 10 MB; more are joined as a table, with the same results.
+SENT_LANGUAGES = 2000
+#: Sums of (row, language) made at once.
+CELLS = 4_000_000
 UNKNOWN = "und"
 _folded = np.full(0x110000, -1, np.int32)  # lower-case letter of a code point, 32 for what is no letter
 
@@ -56,8 +59,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
     m = len(alphabet)
     base = m + m * m + m ** 3
     total = base * (int(group.max(initial=0)) + 1)
-    if total >= 1 << 62:
-        raise ValueError("too many different characters in one text slice")
+    if total >= 1 << 62:  # a great many different letters
+        return _wide_grams(line, row, group)
     kind = np.int32 if total < 1 << 31 else np.int64  # narrow keys sort faster
     number = np.zeros(0x110000, kind)
     number[alphabet] = np.arange(m)
@@ -91,6 +94,21 @@ def grams(data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
     return which, code, counts
 
 
+def _wide_grams(line: np.ndarray, row: np.ndarray, group: np.ndarray):
+    """The same by sorting groups and codes, for any number of letters."""
+    points = line.astype(np.int64)
+    letter, same = points != 32, row[1:] == row[:-1]
+    good = same & (letter[1:] | letter[:-1])
+    good3 = same[1:] & same[:-1] & letter[1:-1]
+    code = np.concatenate([points[letter], (points[:-1] << 21 | points[1:])[good],
+                           (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[good3]])
+    owner = group.astype(np.int64)[np.concatenate([row[letter], row[:-1][good], row[:-2][good3]])]
+    order = np.lexsort((code, owner))
+    code, owner = code[order], owner[order]
+    new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))
+    return owner[new], code[new], np.diff(np.append(new, len(code)))
+
+
 def _by_count(row: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Order by row, then the larger count, then the place given."""
     size, most = len(row), int(counts.max(initial=0))
@@ -122,49 +140,96 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
             .select("lang", (F.col("rank") - 1).alias("rank"), "gram"))
 
 
-def predict(df: DataFrame, profile: DataFrame, text: str = "text", size: int = PROFILE) -> DataFrame:
+def _leading(texts: pa.Array, size: int):
+    """(row, gram, rank) of the ``size`` most frequent n-grams of each text, ordered by row and rank."""
+    row, code, counts = grams(*rows.raw_text(texts), np.arange(len(texts)))
+    order = _by_count(row, counts)
+    row, code = row[order], code[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(texts)))[row]
+    top = rank < size
+    return row[top], code[top], rank[top]
+
+
+def predict(df: DataFrame, profile: DataFrame, text: str = "text", size: int = PROFILE,
+            sent: int = SENT_LANGUAGES) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` of every whole text.
 
     The language with the smallest distance, ties to the first name; the score
     is one less the distance as a share of the largest. Texts without a letter
     (null and empty too), and all if there is no profile, give 'und' and 0.
+    Repeated rows are predicted alike; other columns stay, but for ones named
+    like the new ones. Up to ``sent`` languages go to the tasks, more are joined.
     """
     rows.ship(df.sparkSession)
-    found = profile.limit(MAX_LANGUAGES * size + 1).toArrow()  # a few hundred rows for each language
+    if profile.select("lang").distinct().count() > sent:
+        return _predict_joined(df, profile, text, size)
+    found = profile.toArrow()  # ``size`` rows for each of ``sent`` languages at most
     names = sorted({*found.column("lang").to_pylist()})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    known = np.unique(found.column("gram").to_numpy().astype(np.int64))
-    ranks = np.full((len(known) + 1, len(names)), size, np.int32)  # the last row: in no profile
     place = {name: k for k, name in enumerate(names)}
-    ranks[np.searchsorted(known, found.column("gram").to_numpy()),
-          [place[x] for x in found.column("lang").to_pylist()]] = found.column("rank").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((names, known, ranks))
+    order = np.argsort(found.column("gram").to_numpy(), kind="stable")
+    gram = found.column("gram").to_numpy()[order].astype(np.int64)
+    known, first = np.unique(gram, return_index=True)
+    of = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)[order]
+    shared = df.sparkSession.sparkContext.broadcast(
+        (names, known, np.append(first, len(gram)), of, found.column("rank").to_numpy()[order].astype(np.int64)))
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known, ranks = shared.value
+        most = max(1, CELLS // max(1, len(shared.value[0])))
         for batch in batches:
-            for part in rows.slices(batch, text):
-                n = part.num_rows
-                row, code, counts = grams(*rows.raw_text(part.column(text)), np.arange(n))
-                order = _by_count(row, counts)
-                row, code = row[order], code[order]
-                begin = np.searchsorted(row, np.arange(n))
-                rank = np.arange(len(row)) - begin[row]
-                top = rank < size
-                row, code, rank = row[top], code[top], rank[top]
-                best, score = np.full(n, -1), np.zeros(n)
-                if len(names):
-                    at = np.searchsorted(known, code)
-                    at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != code)] = len(known)
-                    away = np.stack([np.bincount(row, np.where(ranks[at, k] == size, size, abs(ranks[at, k] - rank)), n)
-                                     for k in range(len(names))], 1)
-                    has = np.bincount(row, minlength=n)
-                    best = np.where(has > 0, away.argmin(1), -1)
-                    score = np.where(has > 0, 1 - away.min(1) / np.maximum(has * size, 1), 0.0)
-                named = pa.array([names[k] if k >= 0 else UNKNOWN for k in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [named, pa.array(score)],
-                                                 [*kept, "lang_pred", "score"])
+            for slice_ in rows.slices(batch, text):
+                for k in range(0, slice_.num_rows, most):
+                    yield named(slice_.slice(k, most))
+
+    def named(part: pa.RecordBatch) -> pa.RecordBatch:
+        names, known, first, of, ranks = shared.value
+        n = part.num_rows
+        best, score = np.full(n, -1), np.zeros(n)
+        if names:
+            row, code, rank = _leading(part.column(text), size)
+            has = np.bincount(row, minlength=n)
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            here = known[at] == code
+            at, row, rank = at[here], row[here], rank[here]
+            times = first[at + 1] - first[at]
+            entry = rows.ragged(first[at], times)
+            # what an n-gram in the profile saves of the largest distance
+            saved = size - abs(ranks[entry] - np.repeat(rank, times))
+            cell = np.repeat(row, times) * len(names) + of[entry]
+            saved = np.bincount(cell, saved, n * len(names)).reshape(n, -1)
+            best = np.where(has > 0, saved.argmax(1), -1)
+            away = has * size - saved.max(1)
+            score = np.where(has > 0, 1 - away / np.maximum(has * size, 1), 0.0)
+        told = pa.array([names[k] if k >= 0 else UNKNOWN for k in best.tolist()], pa.string())
+        return pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [told, pa.array(score)],
+                                          [*kept, "lang_pred", "score"])
 
     return df.mapInArrow(run, rows.extended(df, kept, "lang_pred string, score double"))
+
+
+def _predict_joined(df: DataFrame, profile: DataFrame, text: str, size: int) -> DataFrame:
+    """``predict`` with the profiles as a table that the documents' n-grams are joined with."""
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    numbered = stage(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(f"`{text}`").alias("_text"))
+                     .withColumn("_row", F.monotonically_increasing_id()), "language-documents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows.slices(batch, "_text"):
+                row, code, rank = _leading(part.column("_text"), size)
+                yield pa.RecordBatch.from_arrays([part.column("_row").take(pa.array(row)), pa.array(code), pa.array(rank)],
+                                                 ["_row", "gram", "place"])
+
+    own = stage(numbered.select("_row", "_text").mapInArrow(run, "_row bigint, gram bigint, place bigint"), "language-grams")
+    has = own.groupBy("_row").agg(F.count("*").alias("has"))
+    saved = (own.join(profile, "gram").groupBy("_row", "lang")
+             .agg(F.sum(size - F.abs(F.col("place") - F.col("rank"))).alias("saved"))
+             .groupBy("_row").agg(F.min(F.struct((-F.col("saved")).alias("less"), "lang")).alias("best")))
+    first = profile.agg(F.min("lang").alias("first"))
+    whole = F.col("has") * size
+    score = 1 - (whole + F.coalesce("best.less", F.lit(0))) / whole
+    named = (has.join(saved, "_row", "left").withColumn("first", first.scalar())
+             .select("_row", F.coalesce("best.lang", "first").alias("lang_pred"), score.alias("score")))
+    return numbered.join(named, "_row", "left").select(
+        *[F.col("_doc").getField(c).alias(c) for c in kept], F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce("score", F.lit(0.0)).alias("score"))
