@@ -173,12 +173,14 @@ def candidates(postings: DataFrame, queries: dict[str, frozenset[frozenset[str]]
             .agg(F.bitmap_and_agg("docs").alias("docs"), F.count("*").alias("n"), F.first("size").alias("size"))
             .filter("n = size"))
     either = both.groupBy("kind", "bucket").agg(F.bitmap_or_agg("docs").alias("docs"))
-    # a bitmap as text, two digits a byte: bytes that are not zero are opened
-    digits = F.hex("docs")
-    byte = F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("byte")
-    opened = (either.select("kind", "bucket", digits.alias("digits"), byte)
-              .select("kind", "bucket", "byte", F.conv(F.substring("digits", 2 * F.col("byte") + 1, F.lit(2)), 16, 10).cast("int").alias("bits"))
-              .filter("bits <> 0"))
+    # parts of 64 bytes, then bytes as two digits; only what isn't zero is opened
+    part = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at")
+    parts = either.select("kind", "bucket", "docs", part).select(
+        "kind", "bucket", "at", F.hex(F.substring("docs", 64 * F.col("at") + 1, F.lit(64))).alias("digits"))
+    byte = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("byte")
+    bits = F.conv(F.substring("digits", 2 * F.col("byte") + 1, F.lit(2)), 16, 10).cast("int")
+    opened = (parts.filter(F.col("digits") != "0" * 128).select("kind", "bucket", "at", "digits", byte)
+              .select("kind", "bucket", (64 * F.col("at") + F.col("byte")).alias("byte"), bits.alias("bits")).filter("bits <> 0"))
     bit = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")
     return (opened.select("kind", "bucket", "byte", "bits", bit).filter(F.expr("shiftright(bits, bit) & 1 = 1"))
             .select("kind", ((F.col("bucket") - 1) * 32768 + F.col("byte") * 8 + F.col("bit")).alias("_row")))
