@@ -10,8 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from tiescope.llm import ann, language, linequality, packing, queries, toxicity
+from tiescope.llm.words import hashes
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +39,31 @@ def test_toxicity_from_document_labels(spark):
         assert len(spots) == r.label and all("vile" in s or "awful" in s for s in spots)
 
 
+def test_noisy_or_by_loops(spark):
+    """Scores from the sums over each sentence's different features."""
+    draw = np.random.default_rng(3)
+    weights = draw.normal(size=1 << toxicity.FEATURE_BITS).astype(np.float32)
+    model = toxicity.Model(weights, -1.5)
+    words = ["Ab", "cd", "efghijklm", "é1", "ZZ"]
+    texts = ["".join(draw.choice([*words, " ", " ", ". ", "!", "\n", "-"], size=draw.integers(0, 40))) for _ in range(60)]
+
+    def features(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        shift, half = np.uint64(65 - toxicity.FEATURE_BITS), 1 << toxicity.FEATURE_BITS - 1
+        one = lambda n: int(hashes(data, np.array([0]), np.array([n]))[0] >> shift)
+        return {one(len(data)), one(min(len(data), toxicity.PREFIX)) + half}
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        clean, spots = 1.0, 0
+        for sentence in re.split("[.!?\n]", texts[r.doc_id]):
+            known = set().union(*(features(w) for w in re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", sentence)))
+            if known:
+                chance = 1 / (1 + np.exp(1.5 - sum(float(weights[f]) for f in known)))
+                clean, spots = clean * (1 - chance), spots + (chance >= toxicity.OFFENDING)
+        assert np.isclose(r.score, 1 - clean, atol=1e-5) and len(r.offending) == spots
+
+
 def test_toxicity_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "", "a"), (2, "...", "a"), (3, "x " * 30000, "a")],
                                "doc_id long, text string, offending string")
@@ -91,6 +116,25 @@ def test_language_of_odd_rows(spark):
     assert language.predict(df.filter("doc_id = 9"), profile).count() == 0
 
 
+def test_many_languages_and_letters(spark):
+    """Joined profiles give what sent ones give; a slice with very many letters takes wide keys."""
+    draw = random.Random(11)
+    letters = [chr(c) for c in range(0x4E00, 0x9F00)] + [chr(c) for c in range(0xAC00, 0xD7A0)]
+    texts = ["".join(draw.choices(letters[k * 200:k * 200 + 400], k=30)) for k in range(150)]
+    df = spark.createDataFrame([(k, t, f"l{k % 50:02d}") for k, t in enumerate(texts)] + [(200, None, "x"), (201, "12", "y")],
+                               "doc_id long, text string, lang string")
+    profile = language.profiles(df)
+    sent = language.predict(df, profile).collect()
+    joined = language.predict(df, profile, sent=10).collect()
+    assert sorted(map(str, sent)) == sorted(map(str, joined)) and len({r.lang_pred for r in sent}) > 10
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    group = np.arange(len(texts))
+    narrow = language.grams(data, offsets, group)
+    most = 1 << 40  # as many groups as make the keys too large
+    wide = language.grams(data, offsets, group + most)
+    assert all(np.array_equal(a, b) for a, b in zip(narrow, (wide[0] - most, *wide[1:])))
+
+
 def base(text):
     words = WORD.findall(text or "")
     windows = collections.Counter(zip(words, words[1:], words[2:]))
@@ -146,6 +190,38 @@ def test_quality_keeps_clean_documents(spark):
     assert np.mean([r.kept for r in found if labels[r.doc_id] == 0]) < 0.3
 
 
+def test_lines_of_mixed_documents(spark):
+    """Documents of both kinds of lines: the marks are those of the lines, not of the document."""
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    good = lambda: " ".join(draw.choices(words, k=draw.randint(12, 30))).capitalize() + "."
+    junk = lambda: " ".join(w.upper() + "!!" for w in draw.choices(words, k=draw.randint(12, 30)))
+
+    def document(label):
+        n = draw.randint(6, 14)
+        other = draw.randint(0, n // 4) if label else n - draw.randint(0, n // 4)  # junk lines
+        kinds = [0] * other + [1] * (n - other)
+        cut = draw.randint(0, n)
+        kinds = kinds[cut:] + kinds[:cut]  # in a row, so that steps between the kinds are few
+        return "\n".join(good() if k else junk() for k in kinds), kinds
+
+    made = [(document(k % 2), k % 2) for k in range(400)]
+    df = spark.createDataFrame([(k, text, label) for k, ((text, _), label) in enumerate(made)], "doc_id long, text string, label int")
+    model = linequality.fit(df.filter("doc_id < 300"))
+    held = [(text, kinds) for (text, kinds), _ in made[300:]]
+    wrong = total = 0
+    for text, kinds in held:
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        _, (_, _, features) = linequality.measures(data, offsets)
+        marks = linequality.viterbi(model, features @ model.weights, np.array([0]), np.array([len(kinds)]))
+        wrong += sum(a != b for a, b in zip(marks.tolist(), kinds))
+        total += len(kinds)
+    assert wrong < 0.03 * total
+    shares = [r.content_share for r in linequality.judge(df.filter("doc_id >= 300"), model).collect()]
+    between = [0.05 < s < 0.95 for s, (_, kinds) in zip(shares, held) if 0 < sum(kinds) < len(kinds)]
+    assert len(between) > 30 and np.mean(between) > 0.9
+
+
 def test_least_squares_plan():
     draw = np.random.default_rng(1)
     histogram = np.bincount(np.ceil(np.clip(draw.lognormal(4, 1, 20000), 1, 511) / 8).astype(int), minlength=65)
@@ -218,6 +294,28 @@ def test_nearest(spark):
         assert all(abs(truth[i] - s) < 1e-12 for i, s in own)
     assert ann.search(df.filter("vec_id < 0"), df).count() == 0
     assert ann.search(df.filter("vec_id in (0, 1)"), df.filter("vec_id = 0")).count() == 1
+    odd = spark.createDataFrame([(2000, [1.0, 2.0]), (2050, [1.0] * 19)], df.schema)
+    again = ann.search(df.unionByName(odd), df.unionByName(odd).filter("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))  # other lengths take no part
+
+
+def test_scan_keeps_the_nearest():
+    draw = np.random.default_rng(8)
+    points, asked = (draw.normal(size=(n, 64)) for n in (700, 40))
+    points[100:140] = points[99]  # ties
+    points, asked = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (points, asked))
+    ids = draw.permutation(700)
+    truth = ((points[None] - asked[:, None]) ** 2).sum(2)
+    kth = np.sort(truth, axis=1)[:, 5]
+    for bound, share in ((None, 1), (kth, 1), (kth * 0.8, 1), (kth * 1.5, 1)):
+        query, point, distance = ann.scan(points, ids, asked, 6, bound)
+        assert np.allclose(distance, truth[query, point], atol=1e-9)
+        for q in range(40):
+            best = sorted((round(truth[q, p], 9), ids[p]) for p in range(700) if bound is None or truth[q, p] <= bound[q] + 1e-9)[:6]
+            mine = [(round(truth[q, p], 9), ids[p]) for p in point[query == q]]
+            assert len(mine) <= 6 and len(set(mine) & set(best)) >= len(best) - 1
+    few = ann.scan(points[:3], ids[:3], asked, 6)
+    assert len(few[0]) == 120
 
 
 def test_recall(spark):
@@ -227,22 +325,3 @@ def test_recall(spark):
     for r in queries.op1_nearest(spark, SF).collect():
         got[r.query_id].add(r.vec_id)
     assert np.mean([len(got[q] & {i for _, i in expected[q]}) / 5 for q in expected]) >= 0.9
-
-
-def test_pipeline(spark, tmp_path):
-    """Each stage on what its predecessor kept; odd rows don't stop it."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (10 ** 9, "", "en", "s", 0)], docs.schema)
-    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
-    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    counts = []
-    for name, function in corpus_pipeline.STAGES[:-1]:
-        target = f"{tmp_path}/{name}"
-        function(spark, current, str(tmp_path)).write.parquet(target)
-        assert spark.read.parquet(target).columns == docs.columns
-        current = spark.read.parquet(target)
-        counts.append(current.count())
-    assert counts == sorted(counts, reverse=True) and counts[1] == counts[0] > 500 and counts[3] == counts[2]
-    pieces = corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path))
-    assert pieces.select("doc_id").distinct().count() == counts[3]

@@ -222,3 +222,23 @@ def test_lines(spark):
         ((clean(a), clean(b), int(c)) for a, b, c in sql), key=str)
     assert set(got[got.doc_id.between(1000, 1013)].text) == {copied}
     assert linededup.clean(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_footers(spark):
+    """A footer longer than the pages' own lines, and a line that pages of 20 sites share with near copies of one document."""
+    footer, shared = "All rights reserved, see the terms and the privacy notice of this site. " * 3, "Subscribe to the letter."
+    rows = [(k, f"own {k}\nshort {k}.\n{footer}", f"s{k % 30}", 0) for k in range(600)]
+    body = [f"line {j} of the copied document with some words" for j in range(20)]
+    rows += [(1000 + k, f"page {k}\ntext {k}\n{shared}", f"t{k % 20}", 1) for k in range(300)]
+    for k in range(900):  # near copies: one line differs
+        copy = [f"edited {k}" if j == k % 20 else line for j, line in enumerate(body)]
+        rows.append((2000 + k, "\n".join([*copy, shared]), f"t{k % 20}", 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")
+    for names in ({}, {"source": "line", "n_removed": "_gone"}):  # columns named like own ones
+        renamed = docs.withColumnsRenamed(names)
+        got = linededup.clean(renamed, site=names.get("source", "source"))
+        assert got.columns[:2] == ["doc_id", "text"] and got.columns[-1] == "n_removed" and len(set(got.columns)) == len(got.columns)
+        for r in got.select("doc_id", "text", "n_removed").collect():
+            lines = r.text.split("\n")
+            assert r.n_removed == 1 and footer not in lines and shared not in lines
+            assert len(lines) == (2 if r.doc_id < 2000 else 20)  # the copies keep their text
