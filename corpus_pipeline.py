@@ -18,28 +18,32 @@ from tiescope.session import stage
 LAST = (1 << 63) - 1
 
 
+def _apart(docs: DataFrame) -> list:
+    """The documents whole as ``_doc``, so that no column of theirs meets an operator's own, and their text."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text")]
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """(_doc, row, ord, text): the documents whole, their row number, order (by doc_id, null last) and text; written."""
-    return stage(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("ord"), "text"), name)
+    """(_doc, text, row, ord): with the row number and the order (by doc_id, null last); written."""
+    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    return stage(docs.select(*_apart(docs), F.monotonically_increasing_id().alias("row"), order.alias("ord")), name)
 
 
 def _plain(table: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of a numbered table, with its texts and their lengths."""
+    """The documents, with the texts of ``table`` and their lengths."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return table.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the line model."""
-    return judged(spark, docs, sf_dir).filter("kept").select(*docs.columns)
+    kept = judged(spark, docs.select(*_apart(docs)), sf_dir).filter("kept")
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines."""
-    cleaned = linededup.clean(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return cleaned.select(*docs.columns)
+    return _plain(linededup.clean(docs.select(*_apart(docs), "source")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
