@@ -226,5 +226,4 @@ def checksums(pieces: DataFrame, tokens: DataFrame, window: int = WINDOW) -> Dat
     cut = joined.filter(~plain).select("row", *told)
     part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
     own = cut.join(tokens.select("row", "ids"), "row").select(*told, part.alias("part"))
-    schema = own.drop("part").schema.add("ids_crc32", "bigint")
-    return whole.unionByName(own.mapInArrow(run, schema))
+    return whole.unionByName(own.mapInArrow(run, rows.extended(own, told, "ids_crc32 bigint")))
