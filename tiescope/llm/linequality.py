@@ -4,11 +4,13 @@ A linear-chain conditional random field marks each line with a word as
 content or boilerplate; Viterbi decoding finds the likeliest marking of a
 document, and the share of its words that stand in content lines decides.
 
-Only documents are labelled, so the marks of their lines are hidden in training:
-the marks of a good document are the field's own under the condition that at
-least GOOD_SHARE of the lines are content, those of a bad one that at most
-BAD_SHARE are (posterior regularisation). A good document may have boilerplate
-lines and a bad one content, and the steps between both are learned.
+Only documents are labelled, so the marks of their lines are hidden in training.
+The scores of the lines are learned by expectation and maximisation: a line's
+mark is expected from its own score and from what the document's label says of
+its lines, LABEL_ODDS for or against content; a kind of line that stands mostly
+in documents of one label ends with its mark, in documents of the other label
+too. The scores of the steps from mark to mark then follow from how often two
+marks are expected to follow each other (piecewise training of the chain).
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ FIT_DOCUMENTS = 6_000
 CONTENT_SHARE = 0.5
 #: Added to every line's score of content: a good document lost costs more than a bad one kept.
 CONTENT_ODDS = 1.0
-#: Expected share of content lines in documents of either label, at least and at most.
-GOOD_SHARE, BAD_SHARE = 0.95, 0.25
-#: How fast a document's lines are pushed towards its share, in each round.
-PUSH = 1.0
+#: Log odds of content that a document's label gives each of its lines in training.
+LABEL_ODDS = 1.0
+#: Rounds in which the steps from mark to mark are learned.
+STEP_ROUNDS = 2
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: Symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -191,36 +193,35 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     lengths = column.value_lengths().to_numpy().astype(np.int64) // len(FEATURES)
     features = column.flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
     begin = np.cumsum(lengths) - lengths
+    value = np.repeat(y, lengths)
     # both classes weigh the same
-    groups = [np.flatnonzero(y == value) for value in (0, 1)]
-    weight = [0.5 / lengths[members].sum() for members in groups]
-    places = [rows.ragged(begin[members], lengths[members]) for members in groups]
-    inner = [np.cumsum(lengths[members]) - lengths[members] for members in groups]
-    push = [np.zeros(len(members)) for members in groups]  # added to the lines of a document, to meet its share
-    state = [np.zeros(len(FEATURES) + 6) for _ in range(3)]
+    weight = np.where(value == 1, 0.5 / np.maximum(1, (value == 1).sum()), 0.5 / np.maximum(1, (value == 0).sum()))
+    push = np.where(value == 1, LABEL_ODDS, -LABEL_ODDS)
+    w, first, second = (np.zeros(len(FEATURES)) for _ in range(3))
     for step in range(1, rounds + 1):
-        w = state[0]
-        model = Model(w[:-6], w[-6:-2].reshape(2, 2), w[-2:])
-        scores = features @ model.weights
-        grad = np.zeros_like(w)
-        for value, members in enumerate(groups):
-            own, size = scores[places[value]], lengths[members]
-            chance, steps, first = _expected(model, own, inner[value], size)
-            told, own_steps, own_first = _expected(model, own + np.repeat(push[value], size), inner[value], size)
-            grad[:-6] += weight[value] * (features[places[value]].T @ (chance - told))
-            grad[-6:-2] += weight[value] * (steps - own_steps).ravel()
-            grad[-2:] += weight[value] * (first - own_first)
-            share = np.add.reduceat(told, inner[value]) / size
-            if value:
-                push[value] = np.maximum(0, push[value] + PUSH * (GOOD_SHARE - share))
-            else:
-                push[value] = np.minimum(0, push[value] + PUSH * (BAD_SHARE - share))
-        grad += 1e-6 * w
-        state[1] = 0.9 * state[1] + 0.1 * grad
-        state[2] = 0.99 * state[2] + 0.01 * grad ** 2
-        state[0] = w - 0.1 * (state[1] / (1 - 0.9 ** step)) / (np.sqrt(state[2] / (1 - 0.99 ** step)) + 1e-9)
-    state[0][0] += CONTENT_ODDS
-    return Model(state[0][:-6], state[0][-6:-2].reshape(2, 2), state[0][-2:])
+        scores = features @ w
+        # a line's chance by itself, and with what the document's label says
+        grad = features.T @ (weight * (_chance(scores) - _chance(scores + push))) + 1e-6 * w
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad ** 2
+        w = w - 0.1 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-9)
+    model = Model(w, np.zeros((2, 2)), np.zeros(2))
+    groups = [np.flatnonzero(y == label_) for label_ in (0, 1)]
+    for _ in range(STEP_ROUNDS):
+        scores, pairs = features @ w + push, np.zeros((2, 2))
+        for members in groups:
+            at = rows.ragged(begin[members], lengths[members])
+            inner = np.cumsum(lengths[members]) - lengths[members]
+            pairs += _expected(model, scores[at], inner, lengths[members])[1] * weight[begin[members[0]]]
+        pairs = (pairs + 1e-6) / (pairs + 1e-6).sum()
+        # how much more often two marks follow each other than by chance
+        model.steps = np.log(pairs / pairs.sum(1)[:, None] / pairs.sum(0))
+    model.weights[0] += CONTENT_ODDS
+    return model
+
+
+def _chance(scores: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+
 
 
 ADDED = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
