@@ -19,12 +19,12 @@ LAST = (1 << 63) - 1
 
 
 def _apart(docs: DataFrame) -> list:
-    """The documents whole as ``_doc``, so that no column of theirs meets an operator's own, and their text."""
-    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text")]
+    """All columns but the text as ``_doc``, so that none of them meets an operator's own, and the text."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"), F.col("text")]
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """(_doc, text, row, ord): with the row number and the order (by doc_id, null last); written."""
+    """(_doc, text, row, ord): ``_apart`` with the row number and the order (by doc_id, null last); written."""
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     return stage(docs.select(*_apart(docs), F.monotonically_increasing_id().alias("row"), order.alias("ord")), name)
 
@@ -32,13 +32,13 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 def _plain(table: DataFrame, columns: list[str]) -> DataFrame:
     """The documents, with the texts of ``table`` and their lengths."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return table.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns])
+    return table.select(*[(new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the line model."""
     kept = judged(spark, docs.select(*_apart(docs)), sf_dir).filter("kept")
-    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[(F.col("text") if c == "text" else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
