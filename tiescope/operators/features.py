@@ -225,7 +225,7 @@ def app_sets(apps: DataFrame) -> DataFrame:
     used = stage(apps.select("useruuid", "package_name").filter(F.col("package_name").isNotNull()).distinct(), "used")
     slots = encode(used, "package_name").select(
         "package_name", F.shiftright("code", 6).alias("word"), F.expr("shiftleft(1L, cast(code % 64 as int))").alias("bit"))
-    words = lookup(used, "package_name", slots).groupBy("useruuid", "word").agg(F.bit_or("bit").alias("bits"))
+    words = lookup(used, "package_name", slots, most=used.count()).groupBy("useruuid", "word").agg(F.bit_or("bit").alias("bits"))
     return words.groupBy("useruuid").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("word").cast("bigint"), "bits"))).alias("apps"),
         F.sum(F.bit_count("bits")).alias("n_apps"))

@@ -117,19 +117,19 @@ def contractions(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
     """
     links = stage(pairs.select(*PAIR), "links")
     maps = []
-    while not links.isEmpty():
+    while count := links.count():  # of a written table
         ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("u"))
         first = ends(links).groupBy("useruuid").agg(F.min(ranked("contact")).alias("best")).select(
             "useruuid", F.least("best", ranked("useruuid"))["u"].alias("parent"))
         chosen = stage(first, "chosen")
         further = chosen.filter(F.col("useruuid") != F.col("parent")).select(
             F.col("useruuid").alias("parent"), F.col("parent").alias("further"))
-        step = stage(lookup(chosen, "parent", further, "left", hot_rows).select(
+        step = stage(lookup(chosen, "parent", further, "left", hot_rows, 2 * count).select(
             "useruuid", F.coalesce("further", "parent").alias("parent")), "contracted")
         maps.append(step)
         for side in PAIR:
             renamed = step.select(F.col("useruuid").alias(side), F.col("parent").alias(f"new_{side}"))
-            links = lookup(links, side, renamed, "inner", hot_rows)
+            links = lookup(links, side, renamed, "inner", hot_rows, count)
         a, b = F.col("new_user1"), F.col("new_user2")
         links = stage(links.filter(a != b).select(F.least(a, b).alias("user1"), F.greatest(a, b).alias("user2")).distinct(),
                       "links")
@@ -149,10 +149,10 @@ def components(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     roots = maps[-1]
     for step in reversed(maps[:-1]):
         then = roots.select(F.col("useruuid").alias("parent"), F.col("parent").alias("root"))
-        roots = stage(lookup(step, "parent", then, "left", hot_rows).select(
+        roots = stage(lookup(step, "parent", then, "left", hot_rows, step.count()).select(
             "useruuid", F.coalesce("root", "parent").alias("parent")), "roots")
     names = roots.groupBy("parent").agg(F.min("useruuid").alias("component"))
-    return lookup(roots, "parent", names, "inner", hot_rows).select("useruuid", "component")
+    return lookup(roots, "parent", names, "inner", hot_rows, roots.count()).select("useruuid", "component")
 
 
 def eigenvector(weighted: DataFrame, tolerance: float = 1e-9, limit: int = 1000, stage_every: int = 5) -> DataFrame:

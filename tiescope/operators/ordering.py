@@ -20,7 +20,7 @@ from tiescope.session import stage
 PIVOTS = 255
 SKETCH_K = 1024
 #: Rows of one key in a lookup from which on it is cut.
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 
 
 def running_total(df: DataFrame, order: Sequence[Column], bucket: Sequence[Column],
@@ -173,13 +173,17 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk:
             .drop("_chunk", "_before", "_carried"))
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", hot_rows: int = HOT_ROWS,
+           most: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per value of ``key``.
 
     A key that more than ``hot_rows`` rows share is cut into parts; the table's
     row goes to each of them. There are fewer such keys than rows / hot_rows,
-    and they are found with a count that is combined before it is moved.
+    and they are found with a count that is combined before it is moved. Where
+    it is known that there are at most ``most`` rows, that may settle it.
     """
+    if most is not None and most <= hot_rows:
+        return rows.join(table, key, how)
     heavy = (rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
              .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts")))
     heavy = stage(heavy, "hot-keys")
