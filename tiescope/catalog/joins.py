@@ -11,12 +11,12 @@ from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 
 
 def of_one_user(t: Inputs):
-    return pairing.co_occurrences_of(t.binned, 7).select(
+    return pairing.co_occurrences_of(t.stored_binned, 7).select(
         "id", "useruuid", "spatial_bin", "time_bins", "own_bins", "own_user")
 
 
 def of_two_users(t: Inputs):
-    return pairing.co_occurrences_of(t.binned, 12, 16, PERIODS[0], t.perimeters).select(
+    return pairing.co_occurrences_of(t.stored_binned, 12, 16, PERIODS[0], t.perimeters).select(
         "id", "spatial_bin", "time_bins", "own_bins")
 
 

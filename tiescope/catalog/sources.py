@@ -116,7 +116,7 @@ def edge_list(inputs: Inputs) -> DataFrame:
 
 def geojson(inputs: Inputs) -> DataFrame:
     path = scratch_path(inputs.spark, "geojson")
-    writers.write_geojson(cooccurrence_points(inputs.binned, 7), path)
+    writers.write_geojson(cooccurrence_points(inputs.stored_binned, 7), path)
     text = inputs.spark.read.text(path)
     return (text.select(F.get_json_object("value", "$.geometry.type").alias("type"),
                         F.get_json_object("value", "$.properties.id2").cast("bigint").alias("useruuid"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tiescope.config import BinConfig, Period
 from tiescope.operators.pairing import co_occurrences
 from tiescope.operators.presence import presence, stored
+from tiescope.session import stage
 from tiescope.sources.readers import with_age
 from tiescope.sources.writers import with_bins
 
@@ -63,6 +64,11 @@ class Inputs:
     def binned(self) -> DataFrame:
         return with_bins(self.locations, CONFIG)
 
+    @cached_property
+    def stored_binned(self) -> DataFrame:
+        """Locations with their bins, written once: lookups read plain columns."""
+        return stage(self.binned, "binned")
+
     @cached_property
     def presence(self) -> DataFrame:
         return presence(self.locations, CONFIG)
