@@ -66,6 +66,18 @@ def forest(t: Inputs):
     return scores(forest_model(train), test)
 
 
+def forest_checks(t: Inputs):
+    """What holds for every forest: a score for each pair of the test set, from 0 to 1, and the class it says."""
+    return forest(t).select("user1", "user2", "label", F.col("score").between(0, 1).alias("in_range"),
+                            (F.col("prediction") == (F.col("score") > 0.5).cast("int")).alias("by_score"))
+
+
+def importance_checks(t: Inputs):
+    """Importances are one for each feature, not negative, 1 together."""
+    return forest_importances(t).agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                                     (F.min("importance") >= 0).alias("positive"))
+
+
 def scaled_forest(t: Inputs):
     train, test = both_sets(t)
     return scores(models.fit_forest(sampling.drawn_pairs(train, FIT_ROWS), CORE_FEATURES, scaled=True), test)
@@ -139,6 +151,9 @@ GRID_SQL = """SELECT step, max(CASE WHEN f1 > f0 THEN t0 + least(greatest((step
 QUERIES = {
     "k1_baseline": Query(baseline, two_level_sql("SELECT user1, user2, label, prediction, round(score, 4) + 0.0 AS score FROM scored_")),
     "k2_forest": Query(forest),
+    "k2_forest_checks": Query(forest_checks, sql(
+        """SELECT user1, user2, CAST(EXISTS (SELECT 1 FROM c3 n WHERE n.user1 = c.user1 AND n.user2 = c.user2) AS BIGINT) AS label,
+ true AS in_range, true AS by_score FROM (SELECT DISTINCT user1, user2 FROM c2) c""")),
     "k3_search": Query(search),
     "k3_best": Query(best),
     "k4_two_fold": Query(two_fold),
@@ -173,5 +188,6 @@ QUERIES = {
         f"""SELECT {r6('(tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn))')} AS mcc
  FROM {CELLS_SQL}""", rule_sql())),
     "k10_importances": Query(forest_importances),
+    "k10_importance_checks": Query(importance_checks, f"SELECT CAST({len(CORE_FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, true AS positive"),
     "k12_scaled_forest": Query(scaled_forest),
 }
