@@ -223,7 +223,8 @@ def checksums(pieces: DataFrame, tokens: DataFrame, window: int = WINDOW) -> Dat
             sums = [zlib.crc32(data[a:b].astype("<u4").tobytes()) for a, b in zip(begin, begin[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in told] + [pa.array(sums, pa.int64())], [*told, "ids_crc32"])
 
-    cut = joined.filter(~plain).select("row", *told)
+    # written, so that its size is known before the ids of all documents would be moved
+    cut = stage(joined.filter(~plain).select("row", *told), "packing-cut")
     part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
     own = cut.join(tokens.select("row", "ids"), "row").select(*told, part.alias("part"))
     return whole.unionByName(own.mapInArrow(run, rows.extended(own, told, "ids_crc32 bigint")))
