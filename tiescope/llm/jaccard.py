@@ -160,8 +160,9 @@ def block_keys(token: np.ndarray, begin: np.ndarray):
 
 
 def describe(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without the text, with n_shingles, the set's name ``s`` and its bit sketch."""
+    """``df`` without the text, with n_shingles, the set's name ``s``, its bit sketch and the text's hash ``t``."""
     rows.ship(df.sparkSession)
+    df = df.withColumn("t", F.xxhash64(text))
     kept = [c for c in df.columns if c not in (text, "n_shingles", "s", "sketch")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +177,26 @@ def describe(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, rows.extended(df, kept, "n_shingles bigint, s bigint, sketch binary"))
 
 
-def _each_set(df: DataFrame, make, schema: str) -> DataFrame:
-    """What ``make(token, begin, names)`` gives for the sets of the texts, each set once a task."""
+def _each_set(df: DataFrame, make, schema: str, wanted=None) -> DataFrame:
+    """What ``make(token, begin, names)`` gives for the sets of the texts, each set once a task.
+
+    Texts that the task has had, and those whose hash is not in the bitmap
+    ``wanted`` (a broadcast one), are left out before they are cut into words.
+    """
     rows.ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's documents
+        known: set[int] = set()
         for batch in batches:
+            hashed = batch.column("t").to_numpy()
+            new = np.zeros(len(hashed), bool)
+            new[np.unique(hashed, return_index=True)[1]] = True
+            if wanted is not None:
+                new &= _in_mask(wanted.value, hashed)
+            new &= np.array([t not in known for t in hashed.tolist()], bool)
+            known.update(hashed[new].tolist())
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for part in rows.slices(batch, "text", rows.SMALL_SLICE):
                 token, begin = shingle_sets(*rows.raw_text(part.column("text")))
                 names = fingerprints(token, begin)
@@ -196,7 +210,7 @@ def _each_set(df: DataFrame, make, schema: str) -> DataFrame:
                 token = token[rows.ragged(begin[fresh], size)]
                 yield make(token, np.concatenate([[0], np.cumsum(size)]), names[fresh])
 
-    return df.select("text").mapInArrow(run, schema)
+    return df.select("text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
 
 
 def _emit(token, begin, names):
@@ -353,11 +367,17 @@ def _in_mask(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (mask[place >> 6] >> (place & 63) & 1).astype(bool)
 
 
+def _texts_of(names: DataFrame, described: DataFrame):
+    """A bitmap, broadcast, of the hashes of the texts whose sets are named."""
+    texts = stage(described.join(names, "s", "left_semi").select("t").distinct(), "jaccard-texts")
+    return names.sparkSession.sparkContext.broadcast(_mask(texts))
+
+
 class Sets:
     """Shingles of the sets that were candidates so far, in the shared folder."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs, self.parts, self.names = docs, [], None
+    def __init__(self, docs: DataFrame, described: DataFrame):
+        self.docs, self.described, self.parts, self.names = docs, described, [], None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The staged pairs (a, b) whose sets link; sets that aren't held yet are made from the texts."""
@@ -366,17 +386,11 @@ class Sets:
             wanted = wanted.join(self.names, "s", "left_anti")
         wanted = stage(wanted, "jaccard-names")
         if not wanted.isEmpty():
-            mask = self.docs.sparkSession.sparkContext.broadcast(_mask(wanted))
-
             def make(token, begin, names):
-                good = np.flatnonzero(_in_mask(mask.value, names))
-                size = np.diff(begin)[good]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(names[good]), rows.list_array(
-                        token[rows.ragged(begin[good], size)].astype(np.int64), np.concatenate([[0], np.cumsum(size)]))],
-                    ["s", "tokens"])
-
-            self.parts.append(stage(_each_set(self.docs, make, "s bigint, tokens array<bigint>"), "jaccard-sets"))
+                return pa.RecordBatch.from_arrays([pa.array(names), rows.list_array(token.astype(np.int64), begin)], ["s", "tokens"])
+
+            texts = _texts_of(wanted, self.described)
+            self.parts.append(stage(_each_set(self.docs, make, "s bigint, tokens array<bigint>", texts), "jaccard-sets"))
             self.names = wanted if self.names is None else stage(self.names.unionByName(wanted), "jaccard-names")
         held = self.parts[0]
         for part in self.parts[1:]:
@@ -397,7 +411,7 @@ def components(described: DataFrame, docs: DataFrame) -> DataFrame:
     """
     sizes = stage(described.filter("n_shingles > 0").groupBy("s").agg(
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "jaccard-sizes")
-    sets = Sets(docs)
+    sets = Sets(docs, described)
     shared = stage(_shared(_sorted(_each_set(docs, _emit, "key bigint, s bigint"))), "jaccard-shared")
     label = stage(shared.select("s").distinct().select("s", F.col("s").alias("c")), "jaccard-labels")
 
@@ -412,7 +426,7 @@ def components(described: DataFrame, docs: DataFrame) -> DataFrame:
 
     label, crowded = _settled(shared, label, sizes, sets)
     if crowded is not None:
-        label, crowded = _settled(stage(_again(crowded, docs), "jaccard-shared"), label, sizes, sets)
+        label, crowded = _settled(stage(_again(crowded, docs, described), "jaccard-shared"), label, sizes, sets)
     if crowded is not None:
         label = _linked(label, _all_pairs(crowded, sizes), sets)
     return label
@@ -433,7 +447,7 @@ def _settled(shared: DataFrame, label: DataFrame, sizes: DataFrame, sets: Sets):
     return label, None if crowded.isEmpty() else crowded
 
 
-def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
+def _again(crowded: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
     """(key, head, s): what the sets of crowded blocks share by their rarer shingles.
 
     A pair with a set of no crowded block has been found. Among the others
@@ -444,20 +458,17 @@ def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
     the order is the same for all.
     """
     context = docs.sparkSession.sparkContext
-    named = context.broadcast(_mask(stage(crowded.select("s").distinct(), "jaccard-crowded-names")))
+    named = _texts_of(crowded.select("s").distinct(), described)
 
     def chosen(token, begin, names):
-        good = np.flatnonzero(_in_mask(named.value, names))
-        size = np.diff(begin)[good]
-        key = words.mix(token[rows.ragged(begin[good], size)] + _U(41)).astype(np.int64)
-        return key, names[good], size
+        return words.mix(token + _U(41)).astype(np.int64), names, np.diff(begin)
 
     def repeated(token, begin, names):
         # a slice of texts has hundreds of sets: what only one of them has is not frequent
         key, times = np.unique(chosen(token, begin, names)[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(key[times > 1]), pa.array(times[times > 1])], ["key", "n"])
 
-    counted = _each_set(docs, repeated, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = _each_set(docs, repeated, "key bigint, n bigint", named).groupBy("key").agg(F.sum("n").alias("n"))
     counted = stage(counted.filter(F.col("n") > FULL_BLOCK).select("key"), "jaccard-frequent")
     frequent = context.broadcast(_mask(counted))
 
@@ -469,7 +480,7 @@ def _again(crowded: DataFrame, docs: DataFrame) -> DataFrame:
         kept = order[place < (size - -(-3 * size // 4) + 1)[owner]]
         return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(names[owner[kept]])], ["key", "s"])
 
-    return _shared(_sorted(_each_set(docs, first, "key bigint, s bigint")))
+    return _shared(_sorted(_each_set(docs, first, "key bigint, s bigint", named)))
 
 
 def _all_pairs(crowded: DataFrame, sizes: DataFrame) -> DataFrame:
