@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from tiescope.llm import rows, words
 
 #: Units, and their ids, that a task remembers; beyond that it starts anew.
-TABLE_UNITS = 2_000_000
-TABLE_IDS = 16_000_000
+TABLE_UNITS = 1_000_000
+TABLE_IDS = 8_000_000
 #: A longer unit is not remembered.
 KEPT_BYTES = 64
 _tables: dict[str, "UnitTable"] = {}
@@ -93,7 +93,7 @@ class UnitTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = self.size = np.zeros(0, np.int64)
+        self.at = self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
 
@@ -131,8 +131,8 @@ class UnitTable:
             self.flat[self.used:self.used + total] = np.concatenate(ids)
         place = np.searchsorted(self.keys, names)
         self.keys = np.insert(self.keys, place, names)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
+        self.at = np.insert(self.at, place, (self.used + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.insert(self.size, place, size.astype(np.int32))
         self.used += total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ class UnitTable:
             raw = data.tobytes()
             self.learn(names[new], [raw[s:e] for s, e in zip(a.tolist(), b.tolist())])
             place = np.searchsorted(self.keys, names)
-        at, size = self.at[place][inverse], self.size[place][inverse]
+        at, size = (column[place].astype(np.int64)[inverse] for column in (self.at, self.size))
         ids = self.flat[rows.ragged(at, size)]
         counts = np.bincount(row, size, len(offsets) - 1).astype(np.int64)
         long_ = names[new][(b - a) > KEPT_BYTES] if new.any() else names[:0]
@@ -197,7 +197,7 @@ def tokenize(df: DataFrame, path: str, end: int, text: str = "text", ids: str =
         if path not in _tables:
             _tables[path] = UnitTable(path)
         for batch in batches:
-            for part in rows.slices(batch, text):
+            for part in rows.slices(batch, text, rows.SMALL_SLICE):
                 found, begin = with_end(*_tables[path].encode(*rows.raw_text(part.column(text))), end)
                 columns = [rows.list_array(found, begin)]
                 if window is not None:
