@@ -9,6 +9,7 @@ found, named by a hash and looked up as arrays; nothing is done word by word.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ _KIND[33:127] = _MARK
 _KIND[48:58] = _DIGIT
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[39] = _ODD  # an apostrophe may start a part of its own
+#: Letters of one word, or one digit: the library numbers each as one word of a line.
+_PART = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -110,7 +113,7 @@ class UnitTable:
 
     def new_ids(self, texts: list[bytes]) -> list[np.ndarray]:
         found: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if (_KIND[t[0]] != _ODD if len(t) == 1 else t.isalnum() and t.isascii())]
+        plain = [k for k, t in enumerate(texts) if _PART.fullmatch(t)]
         odd = sorted(set(range(len(texts))) - set(plain))
         for k in range(0, len(plain), 4096):
             for place, ids in zip(plain[k:k + 4096], self.at_once([texts[p].decode() for p in plain[k:k + 4096]])):
