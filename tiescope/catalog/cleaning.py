@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tiescope.catalog.base import Query, sql
 from tiescope.operators import cleaning, features, heatmaps, profiles
 from tiescope.operators.cohorts import cross_occupancy
+from tiescope.operators.graph import edges
 from tiescope.operators.pairing import both_selected, dyads
 from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 
@@ -70,7 +71,7 @@ QUERIES = {
     "c13_missing_country": Query(lambda t: ids(t.locations.filter(cleaning.country_is_missing())),
                                  sql(f"{ROWS} WHERE coalesce(country, '') = ''")),
     "c14_selected_pairs": Query(
-        lambda t: both_selected(dyads(t.met), cross_occupancy(t.presence, PERIODS, 0.2)),
+        lambda t: both_selected(dyads(t.met_by_pair), cross_occupancy(t.presence, PERIODS, 0.2)),
         sql("""SELECT DISTINCT user1, user2 FROM co WHERE user1 IN (SELECT useruuid FROM often)
  AND user2 IN (SELECT useruuid FROM often)""", """occ AS (SELECT useruuid, time_bin // 240 AS p,
  count(DISTINCT time_bin) AS n FROM pr WHERE time_bin BETWEEN 0 AND 719 GROUP BY ALL),
@@ -107,7 +108,7 @@ def _specificity(t: Inputs):
     from tiescope.operators.pairing import attach_both
     from tiescope.operators.presence import user_activity
     people = t.presence_in(1)
-    counted = t.met_in(1).groupBy("user1", "user2").agg(F.count("*").alias("num_coocs"))
+    counted = edges(t.met_in(1)).withColumnRenamed("weight", "num_coocs")
     return attach_both(counted, user_activity(people)).select(
         "user1", "user2", (F.col("num_coocs") >= 2).cast("int").alias("label"),
         (features.specificity_of("bins") * 20).alias("specificity"))
