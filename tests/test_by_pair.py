@@ -1,9 +1,12 @@
 """Co-occurrences and contacts grouped by pairs of blocks of users."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tiescope.config import Period
 from tiescope.operators import features, graph, pairing
+from tiescope.plans.inputs import CONFIG, PERIODS, Inputs
 
 
 def test_pairs_of_blocks_stay_where_they_are_made(spark, people_of):
@@ -45,3 +48,12 @@ def test_label_of_the_following_period(people_of):
     found = features.labelled_places(pairing.co_occurrences(people), Period(0, 10), Period(10, 20))
     assert {tuple(row) for row in found.select("user1", "user2", "num_coocs", "unique_coocs", "label").collect()} == {
         ("a", "b", 2, 2, 1), ("a", "c", 1, 1, 0)}
+
+
+def test_features_of_all_pairs_are_not_moved_to_the_users(spark):
+    """Tables with a row per user are written first, so that Spark knows their size."""
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    found = features.dyad_features(t.presence, CONFIG, PERIODS[0], apps=t.apps, demographics=t.people)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1] for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert keys and not [key for key in keys if re.match(r"user[12]#\d+L?, \d", key)]
