@@ -5,6 +5,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tiescope.llm import jaccard, linededup, suffixes
@@ -242,3 +244,30 @@ def test_footers(spark):
             lines = r.text.split("\n")
             assert r.n_removed == 1 and footer not in lines and shared not in lines
             assert len(lines) == (2 if r.doc_id < 2000 else 20)  # the copies keep their text
+
+
+@pytest.mark.parametrize("cell_sets", [7, 1024])
+def test_crowded_blocks_give_each_pair_once(spark, cell_sets):
+    """All pairs of components that sizes and sketches allow, from one of the blocks that the two share."""
+    draw = random.Random(9)
+    sets = {}
+    for k in range(60):
+        base = range(1000 * (k % 3), 1000 * (k % 3) + 40 * (1 + k % 3))
+        token = np.unique(np.array([draw.randint(0, 9) if draw.random() < 0.1 else x for x in base], np.uint64))
+        sketch = jaccard.bit_sketches(jaccard.words.mix(token), np.array([0, len(token)]))[0]
+        sets[k + 1] = (len(token), sketch, 1 + k % 10)
+    blocks = {key: draw.sample(sorted(sets), 45) for key in (-5, 0, 8, 77)}
+    member = [(key, s, sets[s][2], len(of)) for key, of in blocks.items() for s in of]
+    crowded = spark.createDataFrame(member, "key bigint, s bigint, c bigint, many bigint")
+    sizes = spark.createDataFrame([(s, n, x) for s, (n, x, _) in sets.items()], "s bigint, n bigint, sketch binary")
+    found = sorted(tuple(r) for r in jaccard._all_pairs(crowded, sizes, cell_sets).collect())
+    wanted = sorted({(a, b) for of in blocks.values() for a in of for b in of if a < b and sets[a][2] != sets[b][2]
+                     and jaccard.near_enough(sets[a][1], sets[b][1], sets[a][0], sets[b][0])})
+    assert found == wanted and len(wanted) > 100
+
+
+def test_lists_that_met_before():
+    lists = [[], [1, 4, 9], [2, 9], [3], [-7, 3], []]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(6) for j in range(6)]))
+    found = jaccard.met_before(pa.array(lists, pa.list_(pa.int64())), a, b)
+    assert found.tolist() == [bool(set(lists[i]) & set(lists[j])) for i, j in zip(a, b)]

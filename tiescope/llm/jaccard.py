@@ -38,6 +38,9 @@ from tiescope.session import stage
 SHINGLE = 5
 #: Sets of a block that are joined pair by pair.
 FULL_BLOCK = 16
+#: Sets of a cell of a block in which all sets are compared, and words of sketches that are compared at once.
+CELL_SETS = 1024
+COMPARED_WORDS = 1 << 18
 #: Pairs that a task remembers to have tried; a pair forgotten is tried again.
 RECENT = 1 << 16
 #: One of so many blocks takes part in the first pass.
@@ -280,15 +283,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def pruned(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bit sketches allow to link."""
+    """The pairs (a, b) that sizes and bit sketches allow to link; sketches are moved only where the sizes do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")]
             good = pa.array([near_enough(*x) for x in zip(*columns)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    side = lambda c: sizes.select(F.col("s").alias(c), F.col("sketch").alias("x" + c), F.col("n").alias("n" + c))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    side = lambda c, name, out: sizes.select(F.col("s").alias(c), F.col(name).alias(out + c))
+    near = (pairs.select("a", "b").join(side("a", "n", "n"), "a").join(side("b", "n", "n"), "b")
+            .filter(OF * F.least("na", "nb") >= LINK * F.greatest("na", "nb")).distinct())
+    return (near.join(side("a", "sketch", "x"), "a").join(side("b", "sketch", "x"), "b")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,9 +311,9 @@ def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in blocks of at most FULL_BLOCK sets, sketches permitting.
+    """Pairs (a, b) of different components in blocks of at most FULL_BLOCK sets, sizes permitting.
 
-    ``members`` has key, s, c, n, sketch and ``many``, the sets of the block.
+    ``members`` has key, s, c, n and ``many``, the sets of the block.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -317,17 +323,17 @@ def _open_pairs(members: DataFrame) -> DataFrame:
             found = set()
             for i, x in enumerate(held):
                 for y in held[:i]:
-                    pair = (min(x[1], y[1]), max(x[1], y[1]))
-                    place = hash(pair) % RECENT
-                    if x[2] != y[2] and x[1] != y[1] and recent[place] != pair:
-                        recent[place] = pair
-                        if near_enough(x[4], y[4], x[3], y[3]):
+                    if x[2] != y[2] and OF * min(x[3], y[3]) >= LINK * max(x[3], y[3]):
+                        pair = (min(x[1], y[1]), max(x[1], y[1]))
+                        place = hash(pair) % RECENT
+                        if recent[place] != pair:
+                            recent[place] = pair
                             found.add(pair)
             return found
 
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "s", "c", "n", "sketch"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "s", "c", "n"))):
                 if held and held[0][0] != row[0]:
                     found |= pairs()
                     held = []
@@ -336,10 +342,66 @@ def _open_pairs(members: DataFrame) -> DataFrame:
         found = pairs()
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    small = members.filter(F.col("many") <= FULL_BLOCK).select("key", "s", "c", "n", "sketch")
+    small = members.filter(F.col("many") <= FULL_BLOCK).select("key", "s", "c", "n")
     return _sorted(small).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def close_pairs(name: np.ndarray, c: np.ndarray, n: np.ndarray, sketch: list[bytes],
+                first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets of different components that sizes and sketches allow to link.
+
+    Where ``first`` marks some sets, a pair has one that is marked and one
+    that isn't; with all of them marked any two sets are a pair.
+    """
+    out = [np.zeros((2, 0), np.int64)]
+    width = np.array([len(x) // 8 for x in sketch], np.int64)
+    inner = bool(first.all())
+    words_of = {w: np.frombuffer(b"".join(sketch[k] for k in np.flatnonzero(width == w)), np.uint64).reshape(-1, w)
+                for w in np.unique(width).tolist()}
+    for w, low in words_of.items():
+        left = np.flatnonzero(width == w)
+        # sizes that may link differ by a third at most, so a sketch is as long as the other or twice that
+        for v in (w, 2 * w):
+            if v not in words_of:
+                continue
+            right = np.flatnonzero(width == v)
+            high = words_of[v] if v == w else words_of[v][:, :w] ^ words_of[v][:, w:]
+            step = max(1, COMPARED_WORDS // (w * len(right)))
+            for at in range(0, len(left), step):
+                i, j = left[at:at + step, None], right[None, :]
+                fit = (c[i] != c[j]) & (OF * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j]))
+                if not inner:
+                    fit &= first[i] != first[j]
+                if v == w:
+                    fit &= name[i] < name[j] if inner else first[i]
+                x, y = np.nonzero(fit)
+                apart = np.zeros(len(x), np.int64)
+                for k in range(0, len(x), COMPARED_WORDS // w + 1):
+                    part = slice(k, k + COMPARED_WORDS // w + 1)
+                    apart[part] = np.bitwise_count(low[at + x[part]] ^ high[y[part]]).sum(1, dtype=np.int64)
+                a, b = left[at + x], right[y]
+                good = apart <= (n[a] + n[b]) // 7
+                out.append(np.stack([a[good], b[good]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def met_before(lower: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the ascending lists at the places ``a`` and ``b`` have a value in common."""
+    size = lower.value_lengths().to_numpy().astype(np.int64)
+    found = np.zeros(len(a), bool)
+    if not size.sum():
+        return found
+    values, code = np.unique(lower.flatten().to_numpy(), return_inverse=True)
+    held = np.repeat(np.arange(len(size)), size) * len(values) + code  # ascending
+    begin, step = np.cumsum(size) - size, max(1, COMPARED_WORDS // int(size.max()))
+    for at in range(0, len(a), step):
+        x, y = a[at:at + step], b[at:at + step]
+        asked = np.repeat(y, size[x]) * len(values) + code[rows.ragged(begin[x], size[x])]
+        hit = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+        found[at:at + step] = np.bincount(np.repeat(np.arange(len(x)), size[x]), hit, len(x)) > 0
+    return found
+
+
 def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(key, s, c, many) of the blocks that hold more than one component."""
     members = shared.join(label, "s")
@@ -441,8 +503,9 @@ def _settled(shared: DataFrame, label: DataFrame, sizes: DataFrame, sets: Sets):
     crowded = members.filter(F.col("many") > FULL_BLOCK)
     heads = crowded.groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("z"))
     tried = crowded.join(heads, "key").select(F.explode(F.array("a", "z")).alias("a"), F.col("s").alias("b"))
-    pairs = _open_pairs(members.join(sizes, "s")).unionByName(pruned(tried.filter("a <> b").distinct(), sizes))
-    label = _linked(label, pairs.distinct(), sets)
+    pairs = _open_pairs(members.join(sizes.select("s", "n"), "s")).unionByName(
+        tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b"))
+    label = _linked(label, pruned(pairs, sizes), sets)
     crowded = stage(_unsettled(crowded.select("key", "s"), label), "jaccard-crowded")
     return label, None if crowded.isEmpty() else crowded
 
@@ -483,20 +546,47 @@ def _again(crowded: DataFrame, docs: DataFrame, described: DataFrame) -> DataFra
     return _shared(_sorted(_each_set(docs, first, "key bigint, s bigint", named)))
 
 
-def _all_pairs(crowded: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of different components in blocks that stay crowded: sets of hardly anything else.
+def _all_pairs(crowded: DataFrame, sizes: DataFrame, cell_sets: int = CELL_SETS) -> DataFrame:
+    """Pairs of different components in blocks that stay crowded, sketches permitting: sets of hardly anything else.
 
-    Members are dealt to cells of FULL_BLOCK sets; each pair of cells of a block is one group.
+    Members are dealt to cells of about ``cell_sets`` sets; each pair of cells of a block is one group, whose
+    sketches are compared as arrays. Two sets may share many of these blocks; the first of them gives the pair.
     """
-    cells = F.ceil(F.col("many") / FULL_BLOCK).cast("int")
-    member = crowded.join(sizes, "s").withColumn("cells", cells).withColumn(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the group so far
+
+        def pairs():
+            group = pa.Table.from_batches(held)
+            name, c, n, cell = (group.column(x).to_numpy() for x in ("s", "c", "n", "cell"))
+            a, b = close_pairs(name, c, n, group.column("sketch").to_pylist(), cell == cell.min())
+            new = ~met_before(pa.concat_arrays(group.column("lower").chunks), a, b)
+            a, b = name[a[new]], name[b[new]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            begin = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+            for at, end in zip(begin, [*begin[1:], len(key)]):
+                if held and key[at] != last:
+                    yield pairs()
+                    held = []
+                last = key[at]
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield pairs()
+
+    blocks = crowded.groupBy("s").agg(F.sort_array(F.collect_set("key")).alias("blocks"))
+    member = crowded.join(sizes.join(blocks, "s"), "s").withColumn(
+        "lower", F.filter("blocks", lambda block: block < F.col("key"))).withColumn("cells", F.ceil(F.col("many") / cell_sets).cast("int")).withColumn(
         "cell", F.pmod(F.xxhash64("s"), F.col("cells")).cast("int"))
-    spread = member.select("key", "s", "c", "n", "sketch", "cell",
+    spread = member.select("key", "s", "c", "n", "sketch", "lower", "cell",
                            F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    grouped = spread.select(
-        F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("key"),
-        "s", "c", "n", "sketch", F.lit(1).alias("many"))
-    return _open_pairs(grouped.distinct())
+    grouped = spread.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("key"),
+                            "s", "c", "n", "sketch", "lower", "cell")
+    return _sorted(grouped).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
