@@ -57,3 +57,26 @@ def test_features_of_all_pairs_are_not_moved_to_the_users(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     keys = [line.split("hashpartitioning(")[1] for line in plan.split("\n") if "hashpartitioning(" in line]
     assert keys and not [key for key in keys if re.match(r"user[12]#\d+L?, \d", key)]
+
+
+def test_pairs_are_not_moved_between_features_contacts_and_label(people_of, monkeypatch):
+    """Features, contacts and label of a pair are made in the task that pairs two blocks of users."""
+    rows = [(f"u{user}", cell, when) for user in range(120) for cell in (1, 2, 3) for when in (0, 1, 5, 11)
+            if (user * 31 + cell * 7 + when * 5) % 11 < 5] + [(None, 1, 0), ("u1", None, 0), ("u2", None, 0)]
+    people, now, then = people_of(rows), Period(0, 10), Period(10, 20)
+    some = people_of([(f"u{user}", 0, 0) for user in range(0, 120, 2)])
+    found = []
+    for blocks in (None, 3):  # moved by pair, and by pairs of blocks
+        monkeypatch.setattr(features, "pair_blocks", lambda cells, task_rows: blocks)
+        found.append([features.labelled_features(people, CONFIG, now, then, users=users) for users in (None, some)])
+    (few, _), (table, chosen) = found
+
+    def rows_of(df):
+        return sorted(map(tuple, df.select(*[F.round(name, 9) if kind == "double" else name for name, kind in few.dtypes]).collect()))
+
+    expected = rows_of(few)
+    assert len(expected) > 500 and {row[few.columns.index("label")] for row in expected} == {0, 1}
+    assert rows_of(table) == expected
+    assert rows_of(chosen) == [row for row in expected if int(row[0][1:]) % 2 == int(row[1][1:]) % 2 == 0]
+    moved = "".join(re.findall(r"(?:hash|range)partitioning\(.*", table._jdf.queryExecution().executedPlan().toString()))
+    assert "user1" not in moved and "small" not in moved
