@@ -88,3 +88,18 @@ def test_near_patterns_by_flips_and_by_bands(spark):
                 if bin(words[a] ^ words[b]).count("1") <= 3}
     for near in (cohorts._near_by_flips, cohorts._near_by_bands):
         assert {tuple(row) for row in near(patterns, 20, 3).collect()} == expected
+
+
+def test_counts_of_quantiles_are_made_once(spark, tmp_path):
+    """The rows are read for the counts only, however many steps follow."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(0, 500, 1, 4).selectExpr("id % 2 AS label", "cast(id AS double) AS v").mapInArrow(seen, "label bigint, v double")
+    found = ordering.quantiles(table, "v", [0.0, 0.5, 1.0], ["label"]).collect()
+    assert sorted(map(tuple, found)) == [(0, 250, 0.0, 249.0, 498.0), (1, 250, 1.0, 250.0, 499.0)]
+    assert reads.value == 500
