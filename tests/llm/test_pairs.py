@@ -155,6 +155,22 @@ def test_passages(spark):
             assert r.text.split() == [w for k, w in enumerate(text.split()) if k not in got[r.ord]]
 
 
+def test_texts_without_removed_passages_are_not_joined(spark, monkeypatch):
+    """Only the documents that lose a passage, and few others, meet the spans."""
+    draw = random.Random(5)
+    passage = [f"p{draw.random()}" for _ in range(60)]
+    texts = [" ".join(f"{k}x{n}" for n in range(40)) for k in range(200)] + [None, ""]
+    texts += [" ".join([f"{k}a", *passage, f"{k}b"]) for k in range(3)]
+    docs = suffixes.numbered(spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], DOC).repartition(3))
+    found = suffixes.repeats(docs)
+    parted, parts = suffixes._parted, []
+    monkeypatch.setattr(suffixes, "_parted", lambda *given: parts.append(parted(*given)) or parts[-1])
+    got = {r.ord: r.text for r in suffixes.remove(docs, found).collect()}
+    assert got == dict(enumerate(texts)) | {203: "1a 1b", 204: "2a 2b"}
+    touched, others = ({r.ord for r in part.collect()} for part in parts[0])
+    assert {203, 204} <= touched and len(touched) < 10 and others == set(range(len(texts))) - touched
+
+
 def templates(seed):
     """Documents around templates of 35 to 49 words, of which some share the words beside the template too."""
     draw = random.Random(seed)

@@ -203,8 +203,8 @@ def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .mapInArrow(run, ", ".join(f"{name} bigint" for name in names)))
 
 
-def _within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose row is wanted, and few others."""
+def _parted(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents whose row is wanted, with few others, and the rest."""
     wanted = stage(wanted, "suffix-wanted")
     bits = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
     cell = f"pmod(xxhash64(row), {1 << bits})"
@@ -216,13 +216,16 @@ def _within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(mask)
     columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("cell").to_numpy()
-            good = shared.value[at >> 6] >> (at & 63) & 1
-            yield batch.select(columns).filter(pa.array(good.astype(bool)))
+    def part(bit: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("cell").to_numpy()
+                good = (shared.value[at >> 6] >> (at & 63) & 1) == bit
+                yield batch.select(columns).filter(pa.array(good))
+
+        return docs.withColumn("cell", F.expr(cell)).mapInArrow(run, docs.schema)
 
-    return docs.withColumn("cell", F.expr(cell)).mapInArrow(run, docs.schema)
+    return part(1), part(0)
 
 
 def numbered(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -246,7 +249,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = stage(_candidates(_suffixes(docs)), "suffix-candidates")
     shared = found.filter("x <> y")
     own = found.filter("x = y").join(shared.select("key").distinct(), "key", "left_semi")
-    part = stage(_within(docs, shared.select(F.explode(F.array("x", "y")).alias("row")).distinct())
+    part = stage(_parted(docs, shared.select(F.explode(F.array("x", "y")).alias("row")).distinct())[0]
                  .select("row", "text"), "suffix-texts")
     first = stage(_extended(shared.unionByName(own).drop("key"), part), "suffix-matches")
     # runs that the first document of the head does not have, or not at this place
@@ -265,9 +268,13 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (with ``row``) without the removed passages; a text without any is as it was."""
-    spans = (found.filter("removed").groupBy("row")
-             .agg(F.collect_set(F.struct("start", "size")).alias("_spans")))  # a document's own passages
+    """``docs`` (with ``row``) without the removed passages; a text without any is as it was and is not moved.
+
+    ``docs`` is read twice, so give a stored table.
+    """
+    spans = stage(found.filter("removed").groupBy("row")
+                  .agg(F.collect_set(F.struct("start", "size")).alias("_spans")), "suffix-spans")  # a document's own passages
+    touched, others = _parted(docs, spans.select("row"))
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +293,6 @@ def remove(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
                 out.append(data[~gone].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.string())], [*kept, text])
 
-    joined = docs.select(*kept, text).join(spans, "row", "left")
+    joined = touched.select(*kept, text).join(spans, "row", "left")
     ordered = rows.extended(docs, kept, f"`{text}` string")
-    return joined.mapInArrow(run, ordered).select(*docs.columns)
+    return joined.mapInArrow(run, ordered).select(*docs.columns).unionByName(others)
