@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tiescope.llm import jaccard, linededup, suffixes
+from tiescope.llm import jaccard, linededup, rows, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, source string, s string"
@@ -287,3 +287,59 @@ def test_lists_that_met_before():
     a, b = (np.array(x) for x in zip(*[(i, j) for i in range(6) for j in range(6)]))
     found = jaccard.met_before(pa.array(lists, pa.list_(pa.int64())), a, b)
     assert found.tolist() == [bool(set(lists[i]) & set(lists[j])) for i, j in zip(a, b)]
+
+
+def test_shared_blocks_given_out_in_parts(spark, monkeypatch):
+    """Blocks of more rows than a task holds keep every set and one head; sets from several tasks count once."""
+    monkeypatch.setattr(jaccard, "HELD_ROWS", 6)
+    draw = random.Random(5)
+    rows = [(key, 1 + draw.randrange(most)) for key, most in ((-7, 1), (-3, 40), (2, 2), (5, 900), (8, 1), (9, 30))
+            for _ in range(60)] + [(key, 5) for key in range(20, 60)]
+    emitted = jaccard._sorted(spark.createDataFrame(rows, "key long, s long").repartition(4))
+    plan = emitted._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort [key#" in plan and "s#" not in plan.split("Sort [")[1].split("]")[0]  # one number is sorted by its digits
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = jaccard._shared(emitted).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sets = collections.defaultdict(set)
+    for key, s in rows:
+        sets[key].add(s)
+    assert {(r.key, r.s) for r in got} == {(k, s) for k, found in sets.items() if len(found) > 1 for s in found}
+    heads = collections.defaultdict(set)
+    for r in got:
+        heads[r.key].add(r.head)
+    assert all(len(found) == 1 and found <= sets[k] for k, found in heads.items())
+
+
+def test_texts_come_in_batches_of_limited_bytes(spark):
+    """A worker holds a few megabytes of text at once, not 10,000 texts."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('some words ', 600) text")
+    rows.ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    found = [r.n for r in docs.mapInArrow(run, "n long").collect()]
+    assert max(found) < 4 << 20 and len(found) > 4
+
+
+def test_shingles_of_other_sets_are_not_moved(spark):
+    """Sets that are held from earlier pairs stay where they are."""
+    sets = spark.createDataFrame([(k, list(range(k, k + 8))) for k in range(200)], "s long, tokens array<long>")
+    pairs = spark.createDataFrame([(3, 4), (3, 9)], "a long, b long")
+    found = jaccard.verified(pairs, sets)
+    assert [tuple(r) for r in found.collect()] == [(3, 4)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_components_where_names_of_blocks_fall_together(spark, monkeypatch):
+    """Short names of blocks put others together; no link is lost and none is made by that."""
+    monkeypatch.setattr(jaccard, "NAME_BITS", 7)
+    rows_ = near_copies(11)
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in rows_], DOC).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == components(rows_)

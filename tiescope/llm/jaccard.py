@@ -43,6 +43,10 @@ CELL_SETS = 1024
 COMPARED_WORDS = 1 << 18
 #: Pairs that a task remembers to have tried; a pair forgotten is tried again.
 RECENT = 1 << 16
+#: Bits of a block's name that are moved. Blocks that fall together by that are one block: work, no lost link.
+NAME_BITS = 40
+#: Rows of a block that a task holds before it gives them out.
+HELD_ROWS = 1 << 16
 #: One of so many blocks takes part in the first pass.
 FIRST_PASS = 16
 #: Bits, as a power of two, of the bitmaps that name sets and frequent shingles: eight for each value within these
@@ -216,53 +220,71 @@ def _each_set(df: DataFrame, make, schema: str, wanted=None) -> DataFrame:
     return df.select("text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
 
 
+def _named(key: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, s) of blocks, by the first bits of their 64-bit names."""
+    short = (key.astype(np.uint64) >> _U(64 - NAME_BITS)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(short), pa.array(names)], ["key", "s"])
+
+
 def _emit(token, begin, names):
     key, owner, rank, limit = block_keys(token, begin)
     first = rank < limit
-    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(names[owner[first]])], ["key", "s"])
+    return _named(key[first], names[owner[first]])
 
 
 def _shared(emitted: DataFrame) -> DataFrame:
     """(key, head, s) of the blocks that more than one set emits, from a stream sorted by key.
 
-    ``head`` is the block's smallest set. A task holds one batch and the last row.
+    ``head`` is the block's smallest set. A task holds one batch and the last
+    block so far. A block of HELD_ROWS rows or more is given out in parts: its
+    head is the smallest set of the first part, and a set that several tasks
+    emitted may come again in a later part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, head, set of the last row, and whether it has been given out
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last block, which may go on
+        size, given = 0, None  # their number, and (key, head) of a block of which a part has been given out
+
+        def blocks(key, s):
+            nonlocal given
+            order = np.lexsort((s, key))
+            key, s = key[order], s[order]
+            new = np.append(True, key[1:] != key[:-1])
+            twin = np.append(False, ~new[1:] & (s[1:] == s[:-1]))  # the same set from several tasks
+            group = np.cumsum(new) - 1
+            heads, many = s[new], np.bincount(group, ~twin) > 1
+            if given is not None and given[0] == key[0]:
+                heads[0], many[0] = given[1], True
+            give = many[group] & ~twin
+            given = (key[-1], heads[-1])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[give], heads[group[give]], s[give])],
+                                              ["key", "head", "s"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, s = batch.column("key").to_numpy(), batch.column("s").to_numpy()
-            head = None
-            if last is not None:
-                key, s = np.append(last[0], key), np.append(last[2], s)
-                head = last[1]
-            new = np.append(True, (key[1:] != key[:-1]))
-            begin = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            heads = s[begin]
-            if head is not None:
-                heads[0] = head
-            twin = np.append(False, (key[1:] == key[:-1]) & (s[1:] == s[:-1]))  # the same set from several tasks
-            distinct = np.bincount(group, ~twin)
-            started = head is not None and last[3]
-            if started:
-                distinct[0] += 1  # the row carried over was given out with its block's first rows
-            give = (distinct[group] > 1) & ~twin
-            tail = group == group[-1]
-            given = bool((give & tail).any()) or (started and group[-1] == 0)
-            if started:
-                give[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(key[give]), pa.array(heads[group][give]), pa.array(s[give])],
-                                             ["key", "head", "s"])
-            last = (key[-1], heads[-1], s[-1], given)
+            begin = int(np.searchsorted(key, key[-1]))  # of the batch's last block
+            if begin or (held and held[0][0][0] != key[0]):  # what is held is whole with the batch's first rows
+                yield blocks(*(np.concatenate(x) for x in zip(*held, (key[:begin], s[:begin]))))
+                held, size = [], 0
+            held.append((key[begin:], s[begin:]))
+            size += len(key) - begin
+            if size >= HELD_ROWS:
+                part = [np.concatenate(x) for x in zip(*held)]
+                if given is not None and given[0] == key[-1] or (part[1] != part[1][0]).any():
+                    yield blocks(*part)
+                    held, size = [], 0
+                else:  # one set so far: one row tells as much
+                    held, size = [(part[0][:1], part[1][:1])], 1
+        if held:
+            yield blocks(*(np.concatenate(x) for x in zip(*held)))
 
     return emitted.mapInArrow(run, "key bigint, head bigint, s bigint")
 
 
 def _sorted(df: DataFrame) -> DataFrame:
-    """Rows dealt by key and sorted by key and set: sorting spills, so a crowded key needs no memory."""
-    return df.repartition("key").sortWithinPartitions("key", "s")
+    """Rows dealt and sorted by key: sorting spills, so a crowded key needs no memory. One number is sorted by its digits."""
+    return df.repartition("key").sortWithinPartitions("key")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,9 +299,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())),
                                               batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    return (pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a")
-            .join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b")
-            .mapInArrow(run, "a bigint, b bigint"))
+    def side(c: str) -> DataFrame:  # shingles of other sets are not moved
+        named = sets.join(pairs.select(F.col(c).alias("s")).distinct(), "s", "left_semi")
+        return named.select(F.col("s").alias(c), F.col("tokens").alias(f"t{c}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def pruned(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -541,7 +565,7 @@ def _again(crowded: DataFrame, docs: DataFrame, described: DataFrame) -> DataFra
         order = np.lexsort((key, _in_mask(frequent.value, key), owner))
         place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
         kept = order[place < (size - -(-3 * size // 4) + 1)[owner]]
-        return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(names[owner[kept]])], ["key", "s"])
+        return _named(key[kept], names[owner[kept]])
 
     return _shared(_sorted(_each_set(docs, first, "key bigint, s bigint", named)))
 
@@ -551,6 +575,7 @@ def _all_pairs(crowded: DataFrame, sizes: DataFrame, cell_sets: int = CELL_SETS)
 
     Members are dealt to cells of about ``cell_sets`` sets; each pair of cells of a block is one group, whose
     sketches are compared as arrays. Two sets may share many of these blocks; the first of them gives the pair.
+    Blocks go by 32 bits of a hash here, as their names are most of what is moved; those of one hash are one block.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the group so far
@@ -578,6 +603,8 @@ def _all_pairs(crowded: DataFrame, sizes: DataFrame, cell_sets: int = CELL_SETS)
         if held:
             yield pairs()
 
+    crowded = crowded.select(F.hash("key").alias("key"), "s", "c").distinct()
+    crowded = stage(crowded.join(crowded.groupBy("key").agg(F.count("*").alias("many")), "key"), "jaccard-crowded")
     blocks = crowded.groupBy("s").agg(F.sort_array(F.collect_set("key")).alias("blocks"))
     member = crowded.join(sizes.join(blocks, "s"), "s").withColumn(
         "lower", F.filter("blocks", lambda block: block < F.col("key"))).withColumn("cells", F.ceil(F.col("many") / cell_sets).cast("int")).withColumn(

@@ -18,11 +18,18 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 2 << 20
 #: The same where many arrays of a word each are made.
 SMALL_SLICE = 1 << 19
+#: Bytes of rows, whole rows at least, that Spark hands to a Python worker at once.
+BATCH_BYTES = "2m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each Spark application."""
+    """Send the package to the executors, once for each Spark application.
+
+    Batches of Arrow rows are limited by BATCH_BYTES in the session: 10,000
+    texts, the default, are held several times over in the executor and its workers.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(context, "_tiescope_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
