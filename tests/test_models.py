@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tiescope.catalog import models as catalog
 from tiescope.ml import metrics, models
 from tiescope.operators import sampling
+from tiescope.operators.features import CORE_FEATURES
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +87,58 @@ def test_resampling_sizes(spark):
     assert sizes(over) == {0: 300, 1: 300}
     assert over.filter("label = 0").distinct().count() == 300
     assert over.filter("label = 1").join(table, ["user1", "user2", "label"], "left_anti").count() == 0
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More pairs than forests and search were once fitted on."""
+    return spark.range(30_000).select(
+        F.col("id").alias("user1"), (F.col("id") + 1).alias("user2"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        (F.col("id") % 2).cast("int").alias("two_unique"), *[(F.col("id") % (k + 2)).cast("double").alias(name) for k, name in enumerate(CORE_FEATURES)])
+
+
+def test_forests_are_fitted_on_all_pairs(many, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(catalog, "both_sets", lambda t: (many, many))
+    monkeypatch.setattr(catalog, "train_set", lambda t: many)
+    monkeypatch.setattr(catalog, "scores", lambda model, table: table)
+    monkeypatch.setattr(models, "importances", lambda model, *a: model)
+    monkeypatch.setattr(models, "two_fold", lambda train, test, fit: (fit(train), fit(test)))
+    monkeypatch.setattr(models, "fold_report", lambda found, *a: found)
+    monkeypatch.setattr(models, "out_of_fold", lambda train, test, fit: ((fit(train), fit(test)), None))
+    monkeypatch.setattr(models, "fit_forest", lambda train, *a, **b: fitted.append(train.count()))
+    for name, fits in (("forest", 1), ("scaled_forest", 1), ("forest_importances", 1), ("two_fold", 2), ("fold_report", 2)):
+        fitted.clear()
+        getattr(catalog, name)(type("Tables", (), {"spark": many.sparkSession}))
+        assert fitted == [30_000] * fits, name
+
+
+@pytest.mark.parametrize("name", ["search", "best"])
+def test_search_is_fitted_on_all_pairs(many, monkeypatch, name):
+    """Each setting on the pairs of two folds, the best one on all of them."""
+    fitted = []
+    monkeypatch.setattr(catalog, "both_sets", lambda t: (many, many))
+    monkeypatch.setattr(catalog, "train_set", lambda t: many)
+    monkeypatch.setattr(models, "_areas_of", lambda settings, train, *a: fitted.append((len(settings), train.count())) or [0.5] * len(settings))
+    getattr(catalog, name)(type("Tables", (), {"spark": many.sparkSession}))
+    if name == "best":
+        assert fitted.pop() == (1, 30_000)
+    assert sum(settings for settings, _ in fitted) == 18 * 3
+    assert sum(settings * rows for settings, rows in fitted) == 18 * 2 * 30_000
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_forest_in_groups_of_trees(table, scaled):
+    """Trees that are fitted some at a time make one forest; every tree draws as many rows as there are."""
+    table = table.withColumnRenamed("score", "strength")
+    model = models.fit_forest(table, ["strength", "other"], trees=7, scaled=scaled, bag_draws=3 * 300)
+    forest = model.stages[-1]
+    assert len(forest.trees) == forest.getNumTrees == forest.getOrDefault("numTrees") == 7
+    drawn = [sum(tree._java_obj.rootNode().impurityStats().stats()) for tree in forest.trees]
+    assert all(200 < rows < 400 for rows in drawn) and drawn[:3] != drawn[3:6]
+    assert metrics.roc_auc(models.scored(model, table)).first()["auc"] > 0.8
+    ranked = models.importances(model, ["strength", "other"], table.sparkSession).collect()
+    assert sum(row["importance"] for row in ranked) == pytest.approx(1)
+    whole = models.fit_forest(table, ["strength", "other"], trees=3, scaled=scaled)
+    same = models.fit_forest(table, ["strength", "other"], trees=3, scaled=scaled, bag_draws=3 * 300)
+    assert whole.stages[-1].toDebugString.split("\n", 1)[1] == same.stages[-1].toDebugString.split("\n", 1)[1]
