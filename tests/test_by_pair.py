@@ -80,3 +80,20 @@ def test_pairs_are_not_moved_between_features_contacts_and_label(people_of, monk
     assert rows_of(chosen) == [row for row in expected if int(row[0][1:]) % 2 == int(row[1][1:]) % 2 == 0]
     moved = "".join(re.findall(r"(?:hash|range)partitioning\(.*", table._jdf.queryExecution().executedPlan().toString()))
     assert "user1" not in moved and "small" not in moved
+
+
+def test_presence_is_moved_by_cells_of_a_block(spark):
+    """A row for each cell and block, not for each user; numbers of 64 bits come back whole, null too."""
+    edge = [0, 1, -1, 32767, 32768, -32768, 65535, 65536, -65537, 1 << 31, (1 << 40) + 5, -(1 << 63), (1 << 63) - 1]
+    users = edge + list(range(100_000, 100_060))
+    rows = [(user, cell, 0, None if n % 5 == 0 else -user - 1, n % 2 == 0, f"u{n}") for n, user in enumerate(users) for cell in (1, 2)]
+    people = spark.createDataFrame(rows, "useruuid bigint, spatial_bin bigint, time_bin bigint, other bigint, odd boolean, name string")
+    carry = ("other", "odd", "name")
+    found = pairing.co_occurrences_by_pair(people, carry=carry, blocks=3)
+    wanted = pairing.co_occurrences(people, carry=carry)
+    columns = ["user1", "user2", "spatial_bin", "time_bin", "people", *[f"{name}{side}" for name in carry for side in (1, 2)]]
+    assert found.select(*columns).exceptAll(wanted.select(*columns)).count() == 0
+    assert found.count() == wanted.count() == 2 * len(users) * (len(users) - 1) // 2
+    blocked = people.withColumn("block", pairing.user_block("useruuid", 3))
+    assert pairing._packed(blocked, ["useruuid", *carry]).count() == 2 * 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 2
